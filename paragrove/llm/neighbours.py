@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from paragrove.runtime import Shelf, broadcast_if_small, small
 
 LIST_ROWS = 512        # rows that a list holds on average
-MOST_LISTS = 16_384    # bound on the centroids: 4 MB
-FIT_ROWS_PER_LIST = 32  # sampled rows per list for fitting, so at most 524,288 rows
+MOST_LISTS = 8_192     # bound on the centroids: 2 MB
+FIT_ROWS_PER_LIST = 24  # sampled rows per list for fitting, so at most 196,608 rows
 BASE_BLOCK = 4_096     # rows of one list in one task
 QUERY_BLOCK = 16_384   # queries of one list in one task
 BLOCKS = (16, 32, 48)  # column boundaries that a pair is tested at
@@ -119,7 +119,7 @@ class Index:
         self.n_lists = lists = int(min(MOST_LISTS, max(1, round(n / LIST_ROWS))))
         want = lists * FIT_ROWS_PER_LIST
         bucket = max(1, n // want)
-        sample = src.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(bucket)) == 0).select("vec").limit(2 * want).toArrow()
+        sample = src.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(bucket)) == 0).select("vec").limit(want + want // 4).toArrow()
         x, _ = unit_rows(sample["vec"].combine_chunks() if sample.num_rows else pa.array([], pa.list_(pa.float32())), dim)
         turn = rotation(dim, seed)
         self.empty = not len(x)

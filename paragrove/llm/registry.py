@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paragrove.llm import neighbours
+from paragrove.llm import mixing, neighbours, packing, repetition, splitting
 from paragrove.runtime import table
 
 QUERIES, ORACLE = {}, {}
@@ -29,3 +29,64 @@ def p1_nearest(spark, sf):
     """The 10 nearest of every row whose id is divisible by 20, against all rows."""
     parts = [neighbours.nearest(table(spark, sf, t), F.col("id") % 20 == 0, 10, name=t).select(F.lit(t).alias("collection"), "id_q", "rank", "id", "cosine") for t in COLLECTIONS]
     return parts[0].unionByName(parts[1])
+
+
+@query
+def p2_found(spark, sf):
+    return splitting.split_oversized(table(spark, sf, "chunks"), table(spark, sf, "size_limits")).where("piece_no = 0").select("chunk_id")
+
+
+@query
+def p2_pieces(spark, sf):
+    return splitting.split_oversized(table(spark, sf, "chunks"), table(spark, sf, "size_limits"))
+
+
+@query
+def p7_found(spark, sf):
+    return packing.pack_documents(table(spark, sf, "documents")).where("piece_no = 0 AND n_tokens > 1024").select("doc_id")
+
+
+@query
+def p7_containers(spark, sf):
+    return packing.pack_documents(table(spark, sf, "documents"))
+
+
+@query
+def p8_found(spark, sf):
+    return mixing.Mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).plan().where("short").select("source")
+
+
+@query
+def p8_selection(spark, sf):
+    return mixing.Mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).selection()
+
+
+@query
+def p8_report(spark, sf):
+    return mixing.Mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).report()
+
+
+#: Documents below this posterior are no candidates for the exact share check.
+P9_CANDIDATE = 0.01
+
+
+@query
+def p9_found(spark, sf):
+    rows = repetition.repetition(table(spark, sf, "documents"))
+    return rows.where((F.col("posterior") >= P9_CANDIDATE) & (F.col("share") >= 0.30)).select("doc_id")
+
+
+@query
+def p9_shares(spark, sf):
+    return repetition.repetition(table(spark, sf, "documents")).select("doc_id", F.round("share", 6).alias("share"), "posterior")
+
+
+_TOKENS = r"len(regexp_extract_all(text, '[\pL\pN_]+|[^\pL\pN_\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'))"
+ORACLE["p2_found"] = r"""
+SELECT DISTINCT chunk_id FROM chunks c JOIN size_limits l ON lower(trim(c.content_type)) = lower(trim(l.content_type)) WHERE length(text) > max_chars"""
+ORACLE["p7_found"] = f"SELECT doc_id FROM documents WHERE {_TOKENS} > 1024"
+ORACLE["p8_found"] = f"""
+WITH d AS (SELECT nullif(lower(trim(source)), '') AS src, {_TOKENS} AS n FROM documents),
+t AS (SELECT src, sum(n) AS n FROM d WHERE src IS NOT NULL GROUP BY src)
+SELECT m.source FROM mix_targets m LEFT JOIN t ON lower(trim(m.source)) = t.src
+WHERE coalesce(t.n, 0) * m.max_repeats < m.target_share * (SELECT sum(n) FROM t)"""
