@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paragrove.llm import mixing, neighbours, packing, repetition, splitting
+from paragrove.llm import mixing, neighbours, packing, pairs, repetition, splitting, truncation
 from paragrove.runtime import table
 
 QUERIES, ORACLE = {}, {}
@@ -90,3 +90,31 @@ WITH d AS (SELECT nullif(lower(trim(source)), '') AS src, {_TOKENS} AS n FROM do
 t AS (SELECT src, sum(n) AS n FROM d WHERE src IS NOT NULL GROUP BY src)
 SELECT m.source FROM mix_targets m LEFT JOIN t ON lower(trim(m.source)) = t.src
 WHERE coalesce(t.n, 0) * m.max_repeats < m.target_share * (SELECT sum(n) FROM t)"""
+
+
+def _cut(spark, sf):
+    """Truncation of the answers; placeholders, failure messages and mere copies of the question are whole texts."""
+    whole = pairs.is_empty(F.col("answer")) | pairs.is_failure(F.col("answer"), F.coalesce("error", F.lit(""))) | pairs.is_copy(F.col("answer"), F.col("question"))
+    return truncation.truncated(table(spark, sf, "runs"), complete=whole)
+
+
+@query
+def p3_found(spark, sf):
+    return _cut(spark, sf).where("posterior >= 0.5").select("record_id")
+
+
+@query
+def p3_rates(spark, sf):
+    return truncation.truncation_rates(_cut(spark, sf)).withColumnRenamed("source", "model_alias")
+
+
+@query
+def p6_found(spark, sf):
+    return pairs.broken_pairs(table(spark, sf, "runs")).where("defect IS NOT NULL").select("record_id", "defect")
+
+
+@query
+def p6_rates(spark, sf):
+    """Share of every defect per model_alias."""
+    per = pairs.broken_pairs(table(spark, sf, "runs")).groupBy("model_alias").pivot("defect", list(pairs.DEFECTS)).count().fillna(0)
+    return per
