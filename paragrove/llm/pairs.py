@@ -37,7 +37,7 @@ REFUSAL = r"(?iu)(?:" + "|".join((
 )) + ")"
 #: Frequent words and letters that tell the four languages apart.
 LANGUAGES = {
-    "en": r"\b(?:the|of|to|and|is|are|was|shall|should|may|must|be|for|at|with|where|when|on|that|not|which|what|who|how|whether|by|from|a|an|if)\b",
+    "en": r"\b(?:the|of|to|and|is|are|was|shall|should|may|must|be|for|at|with|where|when|that|not|which|what|who|how|whether|by|from|this|it|its|under|until|unless)\b",
     "es": r"\b(?:el|los|las|del|por|para|con|una|debe|y|al|puede|fue|lo|su|cuándo|quién|sobre|hasta|conviene|junto|sin|más|como|desde|entre|sus|cuando|donde|según|mis)\b|[ñ¿¡áíóú]",
     "fr": r"\b(?:le|les|des|du|est|dans|pour|une|doit|et|sur|au|aux|être|peut|qui|quand|où|avec|par|lorsque|lors|hors|ne|pas|il|elle|ce|cette|ces|son|sa|ses|sans|sous|plus|après|avant|vers|mes)\b|\b[ldnqsc]['’]|[çèêàùœ]",
     "de": r"\b(?:der|die|das|den|dem|des|und|ist|auf|für|ein|eine|einen|einer|muss|wird|von|mit|zu|nicht|am|im|wer|wann|wenn|falls|ob|wo|sich|nach|vor|in|an|kann|werden|um|soll|sollte|muss|bei|wurde)\b|[äöüß]",
@@ -73,7 +73,8 @@ def is_copy(answer: Column, question: Column) -> Column:
     frame = F.array(*[F.lit(w) for w in "q question pregunta frage you want to know asked is the ask asks ### vous demandez voulez savoir usted quiere saber sie möchten wissen fragen".split()])
     new = F.array_except(a, F.array_union(q, frame))
     shared = F.size(F.array_intersect(a, q))
-    return (F.size(q) >= 3) & (F.size(a) > 0) & (F.size(a) <= 3 * F.size(q) + 6) & (F.size(new) <= F.floor(0.1 * F.size(F.array_distinct(a)))) & (shared >= 0.6 * F.size(F.array_distinct(q)))
+    # the arrays are only made for answers short enough
+    return F.when(F.length(answer) <= 3 * F.length(question) + 80, (F.size(q) >= 3) & (F.size(a) > 0) & (F.size(a) <= 3 * F.size(q) + 6) & (F.size(new) <= F.floor(0.1 * F.size(F.array_distinct(a)))) & (shared >= 0.6 * F.size(F.array_distinct(q)))).otherwise(False)
 
 
 def is_refusal(c: Column) -> Column:

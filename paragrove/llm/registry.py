@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paragrove.llm import mixing, neighbours, packing, pairs, repetition, splitting, truncation
+from paragrove.llm import mixing, neighbours, packing, pairs, repetition, scannoise, splitting, truncation
 from paragrove.runtime import table
 
 QUERIES, ORACLE = {}, {}
@@ -118,3 +118,8 @@ def p6_rates(spark, sf):
     """Share of every defect per model_alias."""
     per = pairs.broken_pairs(table(spark, sf, "runs")).groupBy("model_alias").pivot("defect", list(pairs.DEFECTS)).count().fillna(0)
     return per
+
+
+@query
+def p4_found(spark, sf):
+    return scannoise.noisy(table(spark, sf, "chunks"), table(spark, sf, "figures")).select("source_table", "record_key").distinct()

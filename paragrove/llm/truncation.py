@@ -9,15 +9,19 @@ elsewhere in the whole corpus, against how often they go on.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paragrove.runtime import Shelf, broadcast_if_small
 
 BASE_RATE = 0.05   # prior of a cut away from any limit (a transfer that ended)
+MARKED_RATE = 0.8   # prior where the text itself shows a cut
 MOST_CENSORED = 0.98  # a text may be as long as the limit and whole
 LEAST_LENGTH = 40  # shorter values say nothing about a length distribution
 
@@ -25,7 +29,10 @@ LEAST_LENGTH = 40  # shorter values say nothing about a length distribution
 TERMINAL = r"[.!?。][\"'”’»)\]*_]*(?:\s*(?:\[[^\]]*\]|\([^()]*\)))?\s*$"
 #: a cut that the text itself shows: an ellipsis at the end, perhaps with a note in brackets, a note of continuation, or half a character
 CUT_MARK = r"(?i)(?:(?:…|\.\.\.)\s*(?:[\[(][^\])]{0,30}[\])]?)?|[\[(](?:cont|truncated|more)[^\])]{0,20}[\])]?|�)\s*$"
-LIST_LINE = r"^\s*(?:[-*•–]|0[.)])\s"
+LISTED = re.compile(r"^\s*(?:[-*•–]|0[.)])\s")
+DIGITS = re.compile(r"\d+")
+CODE = re.compile(r"[^\W_]*0[^\W_]*(?:[-‑–.][^\W_]+)*")
+CUT, END = re.compile(CUT_MARK), re.compile(TERMINAL)
 
 
 def _phi(x: float) -> float:
@@ -89,49 +96,70 @@ def limit_posteriors(lengths: DataFrame) -> DataFrame:
     return lengths.where(f"length >= {LEAST_LENGTH}").groupBy("source").applyInPandas(fit, "source string, length int, censored double")
 
 
-def _shape(text: Column) -> Column:
-    """Lower case; every code or number as 0, so that endings of one form are counted together."""
-    return F.regexp_replace(F.lower(text), r"[\p{L}\p{N}]*\p{N}[\p{L}\p{N}]*(?:[-‑–.][\p{L}\p{N}]+)*", "0")
+def _code(token: str) -> str:
+    """A token with digits: the code or number in it as 0, so that endings of one form are counted together."""
+    return CODE.sub("0", token)
 
 
-def _lines(text: Column) -> Column:
-    """The tokens of every line that has any; those of list lines are marked."""
-    lines = F.filter(F.split(_shape(text), r"[\r\n]+"), lambda v: v.rlike(r"\S"))
-    def words(line):
-        bare = F.split(F.trim(F.regexp_replace(line, r"[\s ]+", " ")), " ")
-        return F.when(line.rlike(LIST_LINE), F.transform(bare, lambda w: F.concat(F.lit("•"), w))).otherwise(bare)
-    return F.transform(lines, words)
+def last_words(text: str) -> tuple[list[list[str]], bool, bool]:
+    """The tokens of every line that has any (those of list lines marked), whether the text shows a cut, whether it ends a sentence."""
+    bare = CUT.sub("", text, count=1)
+    lines = []
+    for line in DIGITS.sub("0", bare.lower()).splitlines():
+        words = line.split()
+        if words:
+            if "0" in line:
+                words = [_code(w) if "0" in w else w for w in words]
+            lines.append(["•" + w for w in words] if LISTED.match(line) else words)
+    return lines, len(bare) < len(text.rstrip()) or "�" in text[-2:], END.search(bare) is not None
 
 
-def _key(*words) -> Column:
-    return F.xxhash64(*words)
+def passage(texts: DataFrame, flush: int = 300_000) -> DataFrame:
+    """One pass over the texts, with two kinds of rows.
 
-
-def endings(texts: DataFrame) -> DataFrame:
-    """texts with their last words' keys: k1, k2 (last word, last two), kp1, kp2 (those before the last), listed, marked, terminal."""
-    bare = F.regexp_replace("text", CUT_MARK, "")
-    last = F.element_at("lines", -1)
-    at = lambda i: F.coalesce(F.try_element_at(last, F.lit(-i)), F.lit("^"))
-    return texts.withColumn("lines", _lines(bare)).where("size(lines) > 0").select(
-        *[c for c in texts.columns if c != "text"], "lines", F.col("text").rlike(CUT_MARK).alias("marked"), bare.rlike(TERMINAL).alias("terminal"),
-        at(1).startswith("•").alias("listed"), _key(at(1)).alias("k1"), _key(at(2), at(1)).alias("k2"), _key(at(3), at(2), at(1)).alias("k3"), _key(at(2)).alias("kp1"), _key(at(3), at(2)).alias("kp2"))
-
-
-def continuation_counts(ends: DataFrame) -> DataFrame:
-    """key, go_on, stop, final: how often one or two words go on in their line, end a line within a text, or end a text."""
-    def events(line, is_last):
-        prev = F.concat(F.array(F.lit("^")), line)
-        here = F.zip_with(prev, line, lambda p, w: F.struct(F.coalesce(p, F.lit("")).alias("p"), F.coalesce(w, F.lit("")).alias("w")))
-        n = F.size(line)
-        return F.transform(F.slice(here, F.lit(1), n), lambda e, i: F.struct(
-            _key(e["w"]).alias("k1"), _key(e["p"], e["w"]).alias("k2"),
-            F.when(i < n - 1, F.lit(0)).when(~is_last, F.lit(1)).otherwise(F.lit(2)).alias("e")))
-
-    per = ends.select(F.posexplode("lines").alias("at", "line"), F.size("lines").alias("n_lines")).select(F.explode(events(F.col("line"), F.col("at") == F.col("n_lines") - 1)).alias("v")).select("v.*")
-    sums = [F.sum((F.col("e") == i).cast("bigint")).alias(name) for i, name in enumerate(("go_on", "stop", "final"))]
-    two = per.groupBy("k1", "k2").agg(*sums)
-    one = two.groupBy(F.col("k1").alias("key")).agg(*[F.sum(c).alias(c) for c in ("go_on", "stop", "final")])
-    return two.select(F.col("k2").alias("key"), "go_on", "stop", "final").unionByName(one)
+    An ending: record_id, source, whole, length, marked, terminal, listed and the last words w1, w2, w3 (w1 the last). A count
+    (record_id null): how often w2 followed by w1 goes on in its line, ends a line within a text, ends a text; counted per
+    task before the shuffle.
+    """
+    def run(batches):
+        go_on, stop, final = Counter(), Counter(), Counter()
+
+        def counts():
+            keys = {**go_on, **stop, **final}
+            rows = [{"w2": p, "w1": w, "go_on": go_on[p, w], "stop": stop[p, w], "final": final[p, w]} for p, w in keys]
+            go_on.clear(), stop.clear(), final.clear()
+            return pa.RecordBatch.from_pylist(rows, schema=schema)
+
+        for b in batches:
+            out = {n: [] for n in ("record_id", "source", "whole", "length", "marked", "terminal", "listed", "w1", "w2", "w3")}
+            for key, source, text, whole in zip(*(b.column(n).to_pylist() for n in ("record_id", "source", "text", "whole"))):
+                lines, marked, terminal = last_words(text)
+                if not lines:
+                    continue
+                for at, words in enumerate(lines):
+                    before = ["^", *words[:-1]]
+                    go_on.update(zip(before[:-1], before[1:]))
+                    (final if at == len(lines) - 1 else stop)[before[-1], words[-1]] += 1
+                tail = ["^", "^", *words[-3:]]
+                for n, v in zip(out, (key, source, whole, len(text), marked, terminal, words[-1].startswith("•"), tail[-1], tail[-2], tail[-3])):
+                    out[n].append(v)
+            n = len(out["w1"])
+            yield pa.RecordBatch.from_pydict({f.name: pa.array(out.get(f.name, [None] * n), f.type) for f in schema}, schema=schema)
+            if len(go_on) > flush:
+                yield counts()
+        yield counts()
+
+    schema = pa.schema([("record_id", pa.int64()), ("source", pa.string()), ("whole", pa.bool_()), ("length", pa.int32()), ("marked", pa.bool_()), ("terminal", pa.bool_()), ("listed", pa.bool_()),
+                        ("w1", pa.string()), ("w2", pa.string()), ("w3", pa.string()), ("go_on", pa.int64()), ("stop", pa.int64()), ("final", pa.int64())])
+    return texts.mapInArrow(run, "record_id bigint, source string, whole boolean, length int, marked boolean, terminal boolean, listed boolean, w1 string, w2 string, w3 string, go_on bigint, stop bigint, final bigint")
+
+
+def continuation_counts(rows: DataFrame) -> DataFrame:
+    """key, go_on, stop, final for every last word and pair of words; keys are hashes."""
+    sums = [F.sum(c).alias(c) for c in ("go_on", "stop", "final")]
+    two = rows.groupBy("w2", "w1").agg(*sums)
+    one = two.groupBy(F.xxhash64("w1").alias("key")).agg(*sums)
+    return two.select(F.xxhash64("w2", "w1").alias("key"), "go_on", "stop", "final").unionByName(one)
 
 
 def ending_probability(ends: DataFrame, counts: DataFrame) -> DataFrame:
@@ -163,18 +191,19 @@ def truncated(records: DataFrame, key: str = "record_id", text: str = "answer",
     is a source of its own. An empty table gives an empty result.
     """
     shelf = Shelf(records.sparkSession)
-    src = records.select(F.col(key).alias("record_id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"), (F.coalesce(complete, F.lit(False)) if complete is not None else F.lit(False)).alias("whole"))
-    src = src.where(F.col("text").rlike(r"\S") & F.col("record_id").isNotNull())
-    ends = endings(src.withColumn("length", F.length("text")))
-    counts = shelf.keep(continuation_counts(ends), "counts")
-    rows = ends.drop("lines").groupBy("record_id").agg(F.max_by(F.struct("source", "whole", "length", "marked", "terminal", "listed", "k1", "k2", "k3", "kp1", "kp2"), F.struct("length", "k2")).alias("r")).select("record_id", "r.*")
-    rows = shelf.keep(rows, "endings")
+    src = records.select(F.col(key).cast("bigint").alias("record_id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"), (F.coalesce(complete, F.lit(False)) if complete is not None else F.lit(False)).alias("whole"))
+    both = shelf.keep(passage(src.where("text IS NOT NULL AND record_id IS NOT NULL")), "passage")
+    counts = shelf.keep(continuation_counts(both.where("record_id IS NULL")), "counts")
+    words = {"k1": F.xxhash64("w1"), "k2": F.xxhash64("w2", "w1"), "k3": F.xxhash64("w3", "w2", "w1"), "kp1": F.xxhash64("w2"), "kp2": F.xxhash64("w3", "w2")}
+    ends = both.where("record_id IS NOT NULL").select("record_id", "source", "whole", "length", "marked", "terminal", "listed", *[e.alias(n) for n, e in words.items()])
+    body = F.struct(*[c for c in ends.columns if c != "record_id"])
+    rows = shelf.keep(ends.groupBy("record_id").agg(F.max_by(body, F.struct("length", "k2")).alias("r")).select("record_id", "r.*"), "endings")
     limits = limit_posteriors(rows.groupBy("source", "length").agg(F.count("*").alias("n")))
     natural = ending_probability(rows, counts)
     joined = rows.join(broadcast_if_small(limits), ["source", "length"], "left").join(natural, "record_id", "left").fillna({"censored": 0.0})
     p = F.when(F.col("terminal") & ~F.col("marked"), F.lit(0.995)).when(F.col("terminal"), F.lit(0.3)).otherwise(F.coalesce("natural", F.lit(0.5)))
     p = F.greatest(F.least(F.when(F.col("marked"), p * 0.3).otherwise(p), F.lit(0.999)), F.lit(0.001))
-    prior = F.greatest(F.least("censored", F.lit(MOST_CENSORED)), F.lit(BASE_RATE))
+    prior = F.greatest(F.least("censored", F.lit(MOST_CENSORED)), F.when(F.col("marked"), F.lit(MARKED_RATE)).otherwise(F.lit(BASE_RATE)))
     odds = prior / (1 - prior) * (1 - p) / p
     posterior = F.when(F.col("whole"), 0.0).otherwise(odds / (1 + odds))
     return joined.select("record_id", "source", "length", "censored", p.alias("natural"), posterior.alias("posterior"))
