@@ -2,16 +2,16 @@
 
 Responses are range-sorted by text; each one's common prefix with its right neighbour shows whether it is a shortened
 version of another (if any response begins with a text, its right neighbour does). Length-limit spikes and ending evidence
-come from the truncation model. Copy, refusal, placeholder, failure-message and language rules, as SQL expressions, do the
-rest. A pair gets at most one defect, the first that holds in the order of DEFECTS.
+come from the truncation model. Copy, refusal, placeholder, failure-message and language rules do the rest, in one Arrow pass. A pair gets at most one defect, the first that holds in the order of DEFECTS.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paragrove.llm.truncation import TERMINAL, truncated
@@ -44,57 +44,95 @@ LANGUAGES = {
 }
 
 
-def visible(c: Column) -> Column:
-    """Text without blanks, controls and invisible signs at its ends."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"^[\s\p{Z}\p{C}⠀ㅤ]+|[\s\p{Z}\p{C}⠀ㅤ]+$", "")
+#: Signs that stripping removes besides white space.
+INVISIBLE = "".join(map(chr, (*range(0x20), 0x7F, 0x85, 0xA0, 0xAD, 0x1680, *range(0x2000, 0x2010), *range(0x2028, 0x2030), 0x205F, *range(0x2060, 0x2065), 0x2800, 0x3000, 0x3164, 0xFEFF))) + " "
+#: Words of which a refusal has at least one.
+TRIGGERS = frozenset("i i'm i’m i'd i’d i've my no prefiero debo tengo mis je j'ai il mes ich meine lehne gebe muss kann darf werde möchte outside against permitted policy model".split())
+#: Words that frame a restated question.
+FRAME = frozenset("q question pregunta frage you want to know asked is the ask asks vous demandez voulez savoir usted quiere saber sie möchten wissen fragen".split())
+HEADING = re.compile(r"#{1,6}\s*[^\n.!?]{0,40}|\*{0,2}[^\W\d_]+(?: [^\W\d_]+){0,3}:\*{0,2}:?")
+FAILED, REFUSED, NO_ANSWER = re.compile(FAILURE), re.compile(REFUSAL), re.compile(DECLINED)
+MARKS = {lang: re.compile(p) for lang, p in LANGUAGES.items()}
+SENTENCE = re.compile(r"(?<=[.!?])\s+")
+WORD = re.compile(r"[^\W_]+")
+NAMES = frozenset(PLACEHOLDERS.split("|"))
 
 
-def is_empty(c: Column) -> Column:
+def is_empty(text: str) -> bool:
     """Nothing, blanks, invisible signs, marks without any letter or digit, a placeholder or a bare heading."""
-    core = F.lower(F.regexp_replace(visible(c), r"[^\p{L}\p{N} ]+", ""))
-    core = F.trim(F.regexp_replace(core, r"\s+", " "))
-    heading = visible(c).rlike(r"^#{1,6}\s*[^\n.!?]{0,40}$") | visible(c).rlike(r"^\*{0,2}[\p{L} ]{1,20}:\*{0,2}:?$")
-    return (core == "") | core.rlike(f"^(?:{PLACEHOLDERS})$") | heading
+    v = text.strip(INVISIBLE)
+    if not any(map(str.isalnum, v)):
+        return True
+    return len(v) <= 60 and (" ".join(WORD.findall(v.lower().replace("/", ""))) in NAMES or HEADING.fullmatch(v) is not None)
 
 
-def is_failure(c: Column, error: Column) -> Column:
+def is_failure(text: str, error: str) -> bool:
     """A failure message of software: of a known form, or the record's own error."""
-    own = (F.length(visible(error)) > 10) & (F.lower(visible(c)) == F.lower(visible(error)))
-    return visible(c).rlike(FAILURE) | F.coalesce(own, F.lit(False))
+    v = text.strip(INVISIBLE)
+    return FAILED.match(v) is not None or len(error.strip()) > 10 and v.lower() == error.strip(INVISIBLE).lower()
 
 
-def _words(c: Column) -> Column:
-    return F.filter(F.split(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"['’]", "")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def is_refusal(text: str) -> bool:
+    """A declining phrase in the first three sentences."""
+    head = " ".join(SENTENCE.split(text.strip(INVISIBLE), maxsplit=3)[:3])
+    return not TRIGGERS.isdisjoint(head.lower().split()) and REFUSED.search(head) is not None
 
 
-def is_copy(answer: Column, question: Column) -> Column:
-    """The answer only restates the question: nearly all its words are the question's and it covers most of them."""
-    a, q = _words(answer), _words(question)
-    frame = F.array(*[F.lit(w) for w in "q question pregunta frage you want to know asked is the ask asks ### vous demandez voulez savoir usted quiere saber sie möchten wissen fragen".split()])
-    new = F.array_except(a, F.array_union(q, frame))
-    shared = F.size(F.array_intersect(a, q))
-    # the arrays are only made for answers short enough
-    return F.when(F.length(answer) <= 3 * F.length(question) + 80, (F.size(q) >= 3) & (F.size(a) > 0) & (F.size(a) <= 3 * F.size(q) + 6) & (F.size(new) <= F.floor(0.1 * F.size(F.array_distinct(a)))) & (shared >= 0.6 * F.size(F.array_distinct(q)))).otherwise(False)
+@lru_cache(100_000)
+def question_words(question: str) -> frozenset[str]:
+    return frozenset(WORD.findall(question.lower().replace("'", "").replace("’", "")))
 
 
-def is_refusal(c: Column) -> Column:
-    """The answer declines: a declining phrase in its first two sentences, and little else that states something."""
-    head = F.regexp_extract(visible(c), r"(?s)^((?:.*?[.!?](?:\s|$)){0,2}.{0,200})", 1)
-    return head.rlike(REFUSAL)
+def is_copy(answer: str, question: str) -> bool:
+    """The answer only restates the question: nearly all its words are the question's, and it covers most of them."""
+    q = question_words(question)
+    if len(q) < 3 or len(answer) > 3 * len(question) + 80:
+        return False
+    a = set(WORD.findall(answer.lower().replace("'", "").replace("’", "")))
+    return bool(a) and len(a - q - FRAME) <= len(a) // 10 and len(a & q) >= 0.6 * len(q)
 
 
-def language(c: Column) -> Column:
-    """The language whose marks are most frequent, with at least two; null if none or a tie."""
-    low = F.lower(c)
-    score = F.array(*[F.struct(F.regexp_count(low, F.lit("(?U)" + p)).alias("n"), F.lit(k).alias("lang")) for k, p in LANGUAGES.items()])
-    best = F.sort_array(score, asc=False)
-    return F.when((best[0]["n"] >= 2) & (best[0]["n"] > best[1]["n"]), best[0]["lang"])
+def marks(text: str) -> dict[str, int]:
+    """How many frequent words and letters of each language a text has."""
+    low = text.lower()
+    return {lang: len(p.findall(low)) for lang, p in MARKS.items()}
 
 
-def language_margin(c: Column) -> Column:
-    """Marks of every language, as a map."""
-    low = F.lower(c)
-    return F.map_from_arrays(F.array(*[F.lit(k) for k in LANGUAGES]), F.array(*[F.regexp_count(low, F.lit("(?U)" + p)) for p in LANGUAGES.values()]))
+@lru_cache(100_000)
+def question_language(question: str) -> str | None:
+    n = marks(question)
+    best = max(n, key=lambda k: n[k])
+    return best if n[best] >= 2 else None
+
+
+def judge(answer: str | None, question: str | None, error: str | None) -> tuple[str | None, str | None, str | None, bool]:
+    """The defect by rule, the languages of answer and question, and whether they differ clearly."""
+    answer, question, error = answer or "", question or "", error or ""
+    if is_empty(answer):
+        return ("refusal" if NO_ANSWER.search(error) else "empty"), None, None, False
+    if is_failure(answer, error):
+        return "error_text", None, None, False
+    if is_refusal(answer):
+        return "refusal", None, None, False
+    if is_copy(answer, question):
+        return "copies_question", None, None, False
+    asked, n = question_language(question), marks(answer)
+    best = max(n, key=lambda k: n[k])
+    other = asked is not None and best != asked and n[best] >= 2 and n[best] >= 2 * n[asked]
+    return None, best if n[best] else None, asked, other
+
+
+def judged(runs: DataFrame) -> DataFrame:
+    """record_id, model_alias, answer, rule, answer_lang, question_lang, other for every row with a record_id."""
+    def run(batches):
+        for b in batches:
+            found = [judge(*x) for x in zip(*(b.column(c).to_pylist() for c in ("answer", "question", "error")))]
+            rule, la, lq, other = zip(*found) if found else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([b.column("record_id"), b.column("model_alias"), b.column("answer"), pa.array(rule, pa.string()), pa.array(la, pa.string()), pa.array(lq, pa.string()), pa.array(other, pa.bool_())],
+                                             names=["record_id", "model_alias", "answer", "rule", "answer_lang", "question_lang", "other"])
+
+    src = runs.select(F.col("record_id").cast("bigint").alias("record_id"), "model_alias", "answer", "question", "error").where("record_id IS NOT NULL")
+    return src.mapInArrow(run, "record_id bigint, model_alias string, answer string, rule string, answer_lang string, question_lang string, other boolean")
 
 
 def shortened(texts: DataFrame, shelf: Shelf, least: int = 20) -> DataFrame:
@@ -140,20 +178,7 @@ def broken_pairs(runs: DataFrame, least_posterior: float = 0.5) -> DataFrame:
     neither copies nor a language. Repeated record_ids count once. An empty table gives an empty result.
     """
     shelf = Shelf(runs.sparkSession)
-    answer, question, error = F.col("answer"), F.col("question"), F.coalesce(F.col("error"), F.lit(""))
-    blank = is_empty(answer)
-    declined = error.rlike(DECLINED)
-    marks_a, marks_q = language_margin(answer), language_margin(question)
-    rules = runs.where("record_id IS NOT NULL").select(
-        "record_id", "model_alias", "answer",
-        F.when(blank & declined, "refusal").when(blank, "empty").when(is_failure(answer, error), "error_text").when(is_refusal(answer), "refusal")
-        .when(is_copy(answer, question), "copies_question").alias("rule"),
-        F.xxhash64("answer").alias("key"), marks_a.alias("ma"), marks_q.alias("mq"))
-    top = lambda m: F.element_at(F.sort_array(F.transform(F.map_entries(m), lambda e: F.struct(e["value"].alias("n"), e["key"].alias("lang")))), -1)
-    rules = rules.withColumns({"ta": top(F.col("ma")), "tq": top(F.col("mq"))})
-    other = (F.col("ta.lang") != F.col("tq.lang")) & (F.col("tq.n") >= 2) & (F.col("ta.n") >= 2) & (F.col("ta.n") >= 2 * F.coalesce(F.try_element_at("ma", F.col("tq.lang")), F.lit(0)))
-    rules = rules.withColumn("other", F.coalesce(other, F.lit(False)))
-    rows = shelf.keep(rules.select("record_id", "model_alias", "answer", "rule", "key", "other", F.col("ta.lang").alias("answer_lang"), F.col("tq.lang").alias("question_lang")), "rules")
+    rows = shelf.keep(judged(runs).withColumn("key", F.xxhash64("answer")), "rules")
     cut = truncated(rows, complete=F.col("rule").isNotNull()).select("record_id", F.col("posterior").alias("truncation"))
     texts = rows.where("rule IS NULL AND answer IS NOT NULL").groupBy("key").agg(F.first("answer").alias("text"))
     short = shortened(texts, shelf).withColumn("shortened", F.lit(True))

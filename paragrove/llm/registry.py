@@ -94,8 +94,7 @@ WHERE coalesce(t.n, 0) * m.max_repeats < m.target_share * (SELECT sum(n) FROM t)
 
 def _cut(spark, sf):
     """Truncation of the answers; placeholders, failure messages and mere copies of the question are whole texts."""
-    whole = pairs.is_empty(F.col("answer")) | pairs.is_failure(F.col("answer"), F.coalesce("error", F.lit(""))) | pairs.is_copy(F.col("answer"), F.col("question"))
-    return truncation.truncated(table(spark, sf, "runs"), complete=whole)
+    return truncation.truncated(pairs.judged(table(spark, sf, "runs")), complete=F.col("rule").isNotNull())
 
 
 @query
