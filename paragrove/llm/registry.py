@@ -122,3 +122,8 @@ def p6_rates(spark, sf):
 @query
 def p4_found(spark, sf):
     return scannoise.noisy(table(spark, sf, "chunks"), table(spark, sf, "figures")).select("source_table", "record_key").distinct()
+
+
+@query
+def p4_repaired(spark, sf):
+    return scannoise.repaired(table(spark, sf, "chunks"), table(spark, sf, "figures"))
