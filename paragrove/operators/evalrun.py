@@ -9,6 +9,7 @@ from dataclasses import dataclass, field, replace
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paragrove.runtime import broadcast_if_small
 
@@ -124,7 +125,7 @@ def answer_all(calls: DataFrame, ask: Callable[[str, str], str], attempts: int =
 
     ask(selector, question) returns the answer or raises; an empty answer counts as a failure.
     """
-    schema = calls.schema.add("answer", "string").add("status", "string").add("attempts", "int").add("error", "string")
+    schema = T.StructType([*calls.schema.fields, T.StructField("answer", T.StringType()), T.StructField("status", T.StringType()), T.StructField("attempts", T.IntegerType()), T.StructField("error", T.StringType())])
 
     def run(batches):
         for b in batches:

@@ -55,17 +55,16 @@ def orphan_references(chunks: DataFrame, figures: DataFrame, heavy_refs: int = 5
         return hit.select("chunk_id", "ref_kind", "ref_id", reason.alias("reason"), "ref_at").where("reason IS NOT NULL")
 
     # null-safe on manual: a chunk without manual has a key of its own
-    def on(a: DataFrame, b: DataFrame):
-        return [a.manual.eqNullSafe(b.manual), a.ref_kind == b.ref_kind, a.ref_id == b.ref_id]
+    same = F.col("a.manual").eqNullSafe(F.col("b.manual")) & (F.col("a.ref_kind") == F.col("b.ref_kind")) & (F.col("a.ref_id") == F.col("b.ref_id"))
 
     def joined(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.join(b, on(a, b)).select(a.chunk_id, a.ref_kind, a.ref_id, a.ref_at, b.live, b.first_seen)
+        return a.alias("a").join(b.alias("b"), same).select("a.chunk_id", "a.ref_kind", "a.ref_id", "a.ref_at", "b.live", "b.first_seen")
 
     heavy, light = suspect.where(F.col("n_refs") > heavy_refs), suspect.where(F.col("n_refs") <= heavy_refs)
     if heavy.isEmpty() or not small(heavy, BROADCAST_ROWS):
         return judged(joined(refs, suspect))
     hot = F.broadcast(heavy)
-    rest = refs.join(hot, on(refs, hot), "left_anti")
+    rest = refs.alias("a").join(hot.alias("b"), same, "left_anti")
     return judged(joined(refs, hot)).unionByName(judged(joined(rest, light)))
 
 
