@@ -37,11 +37,12 @@ REFUSAL = r"(?iu)(?:" + "|".join((
 )) + ")"
 #: Frequent words and letters that tell the four languages apart.
 LANGUAGES = {
-    "en": r"\b(?:the|of|to|and|is|are|was|shall|should|may|must|be|for|at|with|where|when|that|not|which|what|who|how|whether|by|from|this|it|its|under|until|unless)\b",
-    "es": r"\b(?:el|los|las|del|por|para|con|una|debe|y|al|puede|fue|lo|su|cuándo|quién|sobre|hasta|conviene|junto|sin|más|como|desde|entre|sus|cuando|donde|según|mis)\b|[ñ¿¡áíóú]",
-    "fr": r"\b(?:le|les|des|du|est|dans|pour|une|doit|et|sur|au|aux|être|peut|qui|quand|où|avec|par|lorsque|lors|hors|ne|pas|il|elle|ce|cette|ces|son|sa|ses|sans|sous|plus|après|avant|vers|mes)\b|\b[ldnqsc]['’]|[çèêàùœ]",
-    "de": r"\b(?:der|die|das|den|dem|des|und|ist|auf|für|ein|eine|einen|einer|muss|wird|von|mit|zu|nicht|am|im|wer|wann|wenn|falls|ob|wo|sich|nach|vor|in|an|kann|werden|um|soll|sollte|muss|bei|wurde)\b|[äöüß]",
+    "en": "the of to and is are was shall should may must be for at with where when that not which what who how whether by from this it its under until unless",
+    "es": "el los las del por para con una debe y al puede fue lo su cuándo quién sobre hasta conviene junto sin más como desde entre sus cuando donde según mis",
+    "fr": "le les du est dans pour une doit et sur au aux être peut qui quand où avec par lorsque lors hors ne pas il elle ce cette ces son sa ses sans sous plus après avant vers mes l' d' n' s' c' qu'",
+    "de": "der die das den dem des und ist auf für ein eine einen einer muss wird von mit zu nicht am im wer wann wenn falls ob wo sich nach vor kann werden um soll sollte muss bei wurde",
 }
+LETTERS = {"es": "ñ¿¡áíóú", "fr": "çèêàùœ", "de": "äöüß"}
 
 
 #: Signs that stripping removes besides white space.
@@ -52,7 +53,13 @@ TRIGGERS = frozenset("i i'm i’m i'd i’d i've my no prefiero debo tengo mis j
 FRAME = frozenset("q question pregunta frage you want to know asked is the ask asks vous demandez voulez savoir usted quiere saber sie möchten wissen fragen".split())
 HEADING = re.compile(r"#{1,6}\s*[^\n.!?]{0,40}|\*{0,2}[^\W\d_]+(?: [^\W\d_]+){0,3}:\*{0,2}:?")
 FAILED, REFUSED, NO_ANSWER = re.compile(FAILURE), re.compile(REFUSAL), re.compile(DECLINED)
-MARKS = {lang: re.compile(p) for lang, p in LANGUAGES.items()}
+MARKS: dict[str, tuple[str, ...]] = {}
+for _lang, _words in LANGUAGES.items():
+    for _w in _words.split():
+        MARKS[_w] = (*MARKS.get(_w, ()), _lang)
+LETTER_MARKS = {c: lang for lang, cs in LETTERS.items() for c in cs}
+PLAIN_APART = str.maketrans(dict.fromkeys(".,;:!?()[]{}\"*#|/", " "))
+APART = str.maketrans({c: " " for c in ".,;:!?()[]{}\"“”«»*#|/"} | {"'": "' ", "’": "' "})
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 WORD = re.compile(r"[^\W_]+")
 NAMES = frozenset(PLACEHOLDERS.split("|"))
@@ -95,7 +102,16 @@ def is_copy(answer: str, question: str) -> bool:
 def marks(text: str) -> dict[str, int]:
     """How many frequent words and letters of each language a text has."""
     low = text.lower()
-    return {lang: len(p.findall(low)) for lang, p in MARKS.items()}
+    n = dict.fromkeys(LANGUAGES, 0)
+    flat = low.replace("'", "' ").translate(PLAIN_APART) if low.isascii() else low.translate(APART)
+    for w in flat.split():
+        for lang in MARKS.get(w, ()):
+            n[lang] += 1
+    if not low.isascii():
+        for c in low:
+            if c in LETTER_MARKS:
+                n[LETTER_MARKS[c]] += 1
+    return n
 
 
 @lru_cache(100_000)
