@@ -1,17 +1,20 @@
 """Vector search and ranking over many queries at once.
 
 Dense scoring multiplies blocks of queries with batches of the collection in numpy inside an Arrow stage, keeps the k best of
-each query per batch, and merges these partial lists by a window; no pair is materialised. Sparse scoring joins on token ids,
-as an inverted index does. The query side is shared by broadcast only where its counted size allows it, else in blocks.
+each query per batch, and merges these partial lists by a window; no pair is materialised. Sparse scoring does the same
+with a token-by-query matrix. The query side is shared by broadcast only where its counted size allows it, else in blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paragrove.runtime import spread
+
 QUERY_BLOCK = 4_096
 
 
@@ -68,7 +71,7 @@ def dense_topk(queries: DataFrame, items: DataFrame, k: int, dim: int = 64, keep
                 cat = lambda v, t: np.concatenate(v) if v else np.zeros(0, t)
                 yield pa.RecordBatch.from_arrays([pa.array(cat(out[0], np.int64)), pa.array(cat(out[1], np.int64)), pa.array(cat(out[2], np.float64))], names=["qid", "id", "score"])
 
-        parts.append(items.select("id", "vec").mapInArrow(score, "qid bigint, id bigint, score double"))
+        parts.append(spread(items.select("id", "vec")).mapInArrow(score, "qid bigint, id bigint, score double"))
     if not parts:
         return spark.createDataFrame([], "qid bigint, id bigint, score double, rank int")
     hits = parts[0]
@@ -83,15 +86,56 @@ def ranked(hits: DataFrame, k: int, score: str = "score", digits: int = 9) -> Da
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def sparse_topk(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """qid, id, score, rank by the dot product of sparse vectors (map of token to weight), joined on the token.
+def sparse_topk(queries: DataFrame, items: DataFrame, k: int, block: int = 512) -> DataFrame:
+    """qid, id, score, rank by the dot product of sparse vectors (map of token to weight).
 
-    Empty and null maps give no hits.
+    A block of queries is shared as a token-by-query matrix, over its own tokens alone; batches of items gather the rows of
+    their tokens, add them up per item and keep the k best of each query. Pairs without a common token, and those whose
+    product is 0, are no hits; empty and null maps have none.
     """
-    q = queries.select("qid", F.explode("sparse").alias("token", "wq"))
-    d = items.select("id", F.explode("sparse").alias("token", "wd"))
-    dots = q.join(d, "token").groupBy("qid", "id").agg(F.sum(F.col("wq").cast("double") * F.col("wd").cast("double")).alias("score"))
-    return ranked(dots, k)
+    spark = items.sparkSession
+    parts, last = [], None
+    items = items.select(F.col("id").cast("bigint").alias("id"), F.map_keys("sparse").alias("t"), F.map_values("sparse").alias("w")).where("size(t) > 0")
+    while True:
+        rows = queries.where("size(sparse) > 0") if last is None else queries.where((F.size("sparse") > 0) & (F.col("qid") > last))
+        rows = rows.orderBy("qid").limit(block).select("qid", "sparse").toArrow().to_pylist()
+        if not rows:
+            break
+        last = rows[-1]["qid"]
+        pairs = [(t, i, w) for i, r in enumerate(rows) for t, w in r["sparse"] if w is not None]
+        tokens, at = np.unique(np.array([p[0] for p in pairs], dtype=np.int64), return_inverse=True)
+        m = np.zeros((len(tokens), len(rows)))
+        m[at, [p[1] for p in pairs]] = [p[2] for p in pairs]
+        shared = spark.sparkContext.broadcast((np.array([r["qid"] for r in rows], dtype=np.int64), tokens, m))
+
+        def score(batches, shared=shared):
+            qid, tokens, m = shared.value
+            for b in batches:
+                t, ids = b.column("t"), np.asarray(b.column("id"))
+                n = np.asarray(pc.list_value_length(t))
+                doc, tok = np.repeat(np.arange(len(n)), n), np.asarray(t.flatten()).astype(np.int64)
+                w = np.nan_to_num(np.asarray(b.column("w").flatten(), dtype=np.float64))
+                col = np.minimum(np.searchsorted(tokens, tok), max(0, len(tokens) - 1))
+                hit = tokens[col] == tok if len(tokens) else np.zeros(len(tok), bool)
+                doc, col, w = doc[hit], col[hit], w[hit]
+                s = np.zeros((len(n), len(qid)))
+                for lo in range(0, len(doc), 4_096):  # rows of one item may lie in two steps, so they are added up
+                    d = doc[lo:lo + 4_096]
+                    first = np.flatnonzero(np.r_[True, np.diff(d) > 0])
+                    s[d[first]] += np.add.reduceat(w[lo:lo + 4_096, None] * m[col[lo:lo + 4_096]], first, axis=0)
+                s = np.where(s == 0, -np.inf, s).T
+                top = min(k, s.shape[1])
+                cut = np.partition(s, -top, axis=1)[:, -top] if top else np.zeros(len(s))
+                i, j = np.nonzero((s >= cut[:, None] - 1e-9) & np.isfinite(s))
+                yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids[j]), pa.array(s[i, j])], names=["qid", "id", "score"])
+
+        parts.append(spread(items).mapInArrow(score, "qid bigint, id bigint, score double"))
+    if not parts:
+        return spark.createDataFrame([], "qid bigint, id bigint, score double, rank int")
+    hits = parts[0]
+    for p in parts[1:]:
+        hits = hits.unionByName(p)
+    return ranked(hits, k)
 
 
 def rrf(lists: list[DataFrame], k: int, constant: int = 60) -> DataFrame:

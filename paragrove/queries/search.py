@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paragrove.functions import text
 from paragrove.operators import search
 from paragrove.queries.text import C, KIND, WEIGHT, chunks
-from paragrove.runtime import table
+from paragrove.runtime import Shelf, table
 
 
 def vec_chunks(spark, sf):
@@ -30,13 +30,14 @@ def dense_topk(spark, sf):
 
 
 def sparse_topk(spark, sf):
-    v = vec_chunks(spark, sf)
+    v = table(spark, sf, "vec_chunks").groupBy("id").agg(F.max_by("sparse", "upserted_at").alias("sparse"))
+    v = Shelf(spark).keep(v, "sparse")
     return search.sparse_topk(asked(v), v, 10).select("qid", "id", "rank", F.round("score", 5).alias("score"))
 
 
 def hybrid_rrf_topk(spark, sf):
     """Dense and sparse top 30, fused by rank, weighted by rule type, top 6 of each query."""
-    v = vec_chunks(spark, sf).persist()
+    v = Shelf(spark).keep(vec_chunks(spark, sf), "vectors")
     q = asked(v)
     fused = search.rrf([search.dense_topk(q, v, 30), search.sparse_topk(q, v, 30)], 30)
     kind = F.coalesce(text.content_type(F.col("payload.content_type")), F.lit("Support"))
@@ -107,7 +108,7 @@ _D = lambda k, extra="": f"d AS (SELECT q.id AS qid, e.id, list_cosine_similarit
 V = """v AS (SELECT id, CAST(dense AS DOUBLE[]) AS vec, sparse, payload FROM vec_chunks QUALIFY row_number() OVER (PARTITION BY id ORDER BY upserted_at DESC) = 1),
 ok AS (SELECT * FROM v WHERE len(vec) = 64 AND list_dot_product(vec, vec) > 0),
 t AS (SELECT id, unnest(map_keys(sparse)) AS token, CAST(unnest(map_values(sparse)) AS DOUBLE) AS w FROM v)"""
-_S = lambda k: f"s AS (SELECT q.id AS qid, d.id, sum(q.w * d.w) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round(sum(q.w * d.w), 9) DESC, d.id) AS rank FROM t q JOIN t d ON q.token = d.token WHERE q.id % 20 = 0 GROUP BY 1, 2 QUALIFY rank <= {k})"
+_S = lambda k: f"s AS (SELECT q.id AS qid, d.id, sum(q.w * d.w) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round(sum(q.w * d.w), 9) DESC, d.id) AS rank FROM t q JOIN t d ON q.token = d.token WHERE q.id % 20 = 0 GROUP BY 1, 2 HAVING sum(q.w * d.w) <> 0 QUALIFY rank <= {k})"
 _words = lambda c: f"list_distinct(list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda w: length(w) > 0))"
 ORACLE = {
     "dense_topk": f"WITH {E}, {_D(10)} SELECT qid, id, rank, round(score, 6) AS score FROM d",

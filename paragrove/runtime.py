@@ -65,3 +65,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its size, counted first, is within the bound; else df for a shuffle join."""
     return F.broadcast(df) if small(df, rows) else df
+
+
+#: Input of a stage of Python that a core should get at least, before its rows are spread over more tasks.
+SPREAD_BYTES = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it is so small that its files would make fewer tasks; unchanged otherwise."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(n) if size < n * SPREAD_BYTES else df
