@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paragrove.runtime import Shelf, broadcast_if_small, small
+from paragrove.runtime import Shelf, broadcast_if_small, spread
 
 LIST_ROWS = 512        # rows that a list holds on average
 MOST_LISTS = 8_192     # bound on the centroids: 2 MB
@@ -154,7 +154,7 @@ class Index:
                     yield pa.RecordBatch.from_pydict(out)
 
         schema = "id bigint, h1 bigint, h2 bigint, home int, probes array<int>, code binary" + (", seq timestamp" if seq_col else "")
-        coded = src.mapInArrow(encode, schema)
+        coded = spread(src).mapInArrow(encode, schema)
         if seq_col:
             body = F.struct("h1", "h2", "home", "probes", "code")
             # null seq counts as the earliest; ties go to the larger hash, so the choice is fixed

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paragrove.llm.truncation import TERMINAL, truncated
-from paragrove.runtime import Shelf
+from paragrove.runtime import Shelf, spread
 
 DEFECTS = ("refusal", "empty", "error_text", "copies_question", "truncated", "other_language")
 
@@ -148,7 +148,7 @@ def judged(runs: DataFrame) -> DataFrame:
                                              names=["record_id", "model_alias", "answer", "rule", "answer_lang", "question_lang", "other"])
 
     src = runs.select(F.col("record_id").cast("bigint").alias("record_id"), "model_alias", "answer", "question", "error").where("record_id IS NOT NULL")
-    return src.mapInArrow(run, "record_id bigint, model_alias string, answer string, rule string, answer_lang string, question_lang string, other boolean")
+    return spread(src).mapInArrow(run, "record_id bigint, model_alias string, answer string, rule string, answer_lang string, question_lang string, other boolean")
 
 
 def shortened(texts: DataFrame, shelf: Shelf, least: int = 20) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paragrove.runtime import Shelf
+from paragrove.runtime import Shelf, spread
 
 GRAM = 8
 WORDS = re.compile(r"[^\W\d_]+")
@@ -116,7 +116,7 @@ def measured(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id")} | {m: pa.array(c, pa.float64()) for m, c in zip(MEASURES, columns)})
 
     kind = dict(src.dtypes)["doc_id"]
-    return src.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{m} double" for m in MEASURES))
+    return spread(src).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{m} double" for m in MEASURES))
 
 
 def repetition(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
