@@ -83,3 +83,20 @@ def rescue(mentioned: DataFrame, figures: DataFrame, pages: DataFrame, by: str)
     kind = F.when(F.lower("m").startswith("figure"), "Figure").otherwise("Table")
     seen = seen.select(by, "page", kind.alias("kind"), reference_key(F.col("m")).alias("canonical_id")).distinct()
     return missing.join(seen, [by, "kind", "canonical_id"])
+
+
+def regions_first_generation(captions: DataFrame, page: list[str], width: float = 612.0, height: float = 792.0, line: float = 12.0) -> DataFrame:
+    """The captions with x0, y0, x1, y1 by the older rule: a figure stands above its caption, a table below.
+
+    captions as for regions(), all of one line height. A figure reaches up to the nearest caption that ends above it, a table
+    down to the nearest that begins below; too small regions are dropped.
+    """
+    by = ", ".join(page)
+    caps = captions.withColumns({
+        "above": F.expr(f"max(y_bot) OVER (PARTITION BY {by} ORDER BY y_top RANGE BETWEEN UNBOUNDED PRECEDING AND {line}D PRECEDING)"),
+        "below": F.expr(f"min(y_top) OVER (PARTITION BY {by} ORDER BY y_top RANGE BETWEEN {line}D FOLLOWING AND UNBOUNDED FOLLOWING)")})
+    figure = F.col("kind") == "Figure"
+    y0 = F.when(figure, F.greatest(F.lit(30.0), F.col("above") + 8)).otherwise(F.col("y_bot") + 4)
+    y1 = F.when(figure, F.col("y_top") - 4).otherwise(F.least(F.lit(height - 30), F.col("below") - 8))
+    out = caps.withColumns({"x0": F.lit(24.0), "y0": y0, "x1": F.lit(width - 24), "y1": y1})
+    return out.where((F.col("y1") - F.col("y0") >= MIN_H) & (F.col("x1") - F.col("x0") >= MIN_W)).drop("above", "below")

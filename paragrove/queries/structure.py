@@ -66,6 +66,12 @@ def figure_regions(spark, sf):
     return r.select("key", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
+def figure_regions_v1(spark, sf):
+    """The older geometry: figures above their captions, tables below."""
+    r = fig.regions_first_generation(captions(spark, sf), ["manual", "page_pdf"])
+    return r.select("key", "kind", *[F.round(c, 6).alias(c) for c in ("y0", "y1")])
+
+
 def caption_dedup(spark, sf):
     return fig.dedup_captions(captions(spark, sf), ["manual", "page_pdf"]).select("key", "kind", "canonical_id", "sheet")
 
@@ -109,7 +115,7 @@ def router_decisions(spark, sf):
     return router.route(q, prior="prior").select("question_id", "needs_figures", "confidence", "max_figures", "soft_score", "rules_fired")
 
 
-QUERIES = {f.__name__: f for f in (segment_paragraphs, outline_carry_forward, sections_on_pages, toc_page_guard, figure_regions, caption_dedup, mention_census, coverage_report, coverage_gate, rescue_candidates, figure_sheets, figure_kind_counts, router_decisions)}
+QUERIES = {f.__name__: f for f in (segment_paragraphs, outline_carry_forward, sections_on_pages, toc_page_guard, figure_regions, figure_regions_v1, caption_dedup, mention_census, coverage_report, coverage_gate, rescue_candidates, figure_sheets, figure_kind_counts, router_decisions)}
 
 _LINES = f"""{C}, n AS (SELECT *, {KIND} AS kind, row_number() OVER (PARTITION BY manual, section_id ORDER BY page_pdf NULLS FIRST, ordinal NULLS FIRST, chunk_id) AS nth FROM c),
 ln AS (SELECT manual, section_id, nth, page_pdf AS page, list_concat(CASE WHEN nth = 1 THEN ['Section ' || section_id || ' ' || coalesce(section_title, 'Untitled')] ELSE [] END, list_concat([kind || ':', printf('%02d', ordinal)], string_split(text, chr(10)))) AS a FROM n),
@@ -143,6 +149,8 @@ FROM j WHERE bound = 0 AND rule IS NOT NULL AND ordinal IS NOT NULL AND NOT coal
 x AS (SELECT *, CASE WHEN inset THEN greatest(22.0, x_left - 10) ELSE 22.0 END AS a0, list_min(list_filter(r, lambda v: v > x_left)) AS rt, len(list_filter(r, lambda v: v < x_left)) > 0 AS lf FROM w),
 y AS (SELECT key, CASE WHEN lf THEN greatest(a0, x_left - 10) ELSE a0 END AS x0, y_bot + 4 AS y0, least(590.0, coalesce(rt - 8, 590.0)) AS x1, least(746.0, coalesce(below - 6, 746.0)) AS y1 FROM x)
 SELECT key, round(x0, 6)::DOUBLE AS x0, round(y0, 6)::DOUBLE AS y0, round(x1, 6)::DOUBLE AS x1, round(y1, 6)::DOUBLE AS y1 FROM y WHERE y1 - y0 >= 60 AND x1 - x0 >= 80""",
+    "figure_regions_v1": f"""WITH {_CAPS}, w AS (SELECT *, max(y_bot) OVER (PARTITION BY manual, page_pdf ORDER BY y_top RANGE BETWEEN UNBOUNDED PRECEDING AND 12.0 PRECEDING) AS above, min(y_top) OVER (PARTITION BY manual, page_pdf ORDER BY y_top RANGE BETWEEN 12.0 FOLLOWING AND UNBOUNDED FOLLOWING) AS below FROM cap),
+x AS (SELECT key, kind, CASE kind WHEN 'Figure' THEN greatest(30.0, coalesce(above + 8, 30.0)) ELSE y_bot + 4 END AS y0, CASE kind WHEN 'Figure' THEN y_top - 4 ELSE least(762.0, coalesce(below - 8, 762.0)) END AS y1 FROM w) SELECT key, kind, round(y0, 6)::DOUBLE AS y0, round(y1, 6)::DOUBLE AS y1 FROM x WHERE y1 - y0 >= 60""",
     "caption_dedup": f"WITH {_CAPS} SELECT key, kind, canonical_id, sheet FROM k",
     "mention_census": f"WITH {_CENSUS} SELECT * FROM census",
     "coverage_report": f"WITH {_COV} SELECT * FROM cov",
