@@ -146,14 +146,23 @@ def trim(reached: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     return reached.join(nodes.select("id", "kind"), "id").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).drop("rn")
 
 
-def query_entities(questions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """qid, id: the figures, tables, sections and codes that a question names and the graph knows (of any manual)."""
+def named(questions: DataFrame) -> DataFrame:
+    """qid, tail: the figures, tables, sections and codes that texts name, as kind/reference; distinct over all rows of a qid."""
     q = F.translate("question", "‐‑‒–—", "-----")
     pick = lambda pattern, f: questions.select("qid", F.explode(F.regexp_extract_all(q, F.lit(pattern), F.lit(1))).alias("x")).select("qid", f(F.col("x")).alias("tail"))
     named = pick(r"(?i)\b(Figure\s+[0-9A-Z]+-[0-9]+[A-Za-z0-9]*)\b", lambda x: F.concat(F.lit("figure/"), reference_key(x)))
     named = named.unionByName(pick(r"(?i)\b(Table\s+[0-9A-Z]+-[0-9]+[A-Za-z0-9]*)\b", lambda x: F.concat(F.lit("table/"), reference_key(x))))
     named = named.unionByName(pick(r"\b(?:Section\s+)?([0-9]+[A-Z]\.[0-9]+)\b", lambda x: F.concat(F.lit("section/"), x)))
     named = named.unionByName(pick(r"\b([RWDIMOE][A-Z]?\d{1,3}(?:-\d{1,3})?[a-zA-Z]?P?)\b", lambda x: F.concat(F.lit("signcode/"), F.upper(x))))
+    return named.distinct()
+
+
+def nameable(nodes: DataFrame) -> DataFrame:
+    """id, tail of the resolved nodes that a text can name."""
     tail = F.concat_ws("/", F.split_part("id", F.lit(":"), F.lit(1)), F.element_at(F.split("id", "[:/]"), -1))
-    known = nodes.where("NOT unresolved AND kind IN ('Figure', 'Table', 'Section', 'SignCode')").select("id", tail.alias("tail"))
-    return named.distinct().join(known, "tail").select("qid", "id")
+    return nodes.where("NOT unresolved AND kind IN ('Figure', 'Table', 'Section', 'SignCode')").select("id", tail.alias("tail"))
+
+
+def query_entities(questions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """qid, id: the figures, tables, sections and codes that a question names and the graph knows (of any manual)."""
+    return named(questions).join(nameable(nodes), "tail").select("qid", "id")

@@ -125,9 +125,10 @@ def kg_subgraph(spark, sf):
 
 
 def query_entities(spark, sf):
-    """Known entities that the answers' citations name, per question."""
-    runs = table(spark, sf, "runs").where("answer IS NOT NULL").groupBy(F.col("question_id").alias("qid")).agg(F.min("answer").alias("question"))
-    return graph.query_entities(runs, built(spark, sf).nodes).groupBy("qid").agg(F.count("*").alias("n_entities"), F.min("id").alias("first_entity"))
+    """Known entities that any answer to a question names, per question; nodes of one name are counted before the join."""
+    answers = table(spark, sf, "runs").where("answer IS NOT NULL").select(F.col("question_id").alias("qid"), F.col("answer").alias("question"))
+    known = graph.nameable(built(spark, sf).nodes).groupBy("tail").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    return graph.named(answers).join(known, "tail").groupBy("qid").agg(F.sum("n").alias("n_entities"), F.min("first").alias("first_entity"))
 
 
 def citation_valid(spark, sf):
