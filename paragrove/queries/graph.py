@@ -64,13 +64,12 @@ def kg_degree_top15(spark, sf):
 
 
 def kg_nhop(spark, sf):
-    """Two undirected hops around every section of id ending in '.05', hubs (parts, chapters, categories) not passed."""
+    """Two undirected hops around every section."""
     shelf = Shelf(spark)
     g = built(spark, sf)
     edges = shelf.keep(g.edges, "edges")
-    seeds = g.nodes.where("kind = 'Section' AND id LIKE '%.05'").select(F.col("id").alias("qid"), "id")
-    hub = F.col("id").rlike("^(part|chapter|category):")
-    return graph.reach(edges, seeds, 2, hub).groupBy("qid", "depth").agg(F.count("*").alias("n"))
+    seeds = g.nodes.where("kind = 'Section'").select(F.col("id").alias("qid"), "id")
+    return graph.reach(edges, seeds, 2).groupBy("qid", "depth").agg(F.count("*").alias("n"))
 
 
 def kg_proximity(spark, sf):

@@ -22,3 +22,9 @@ def test_query_entities_reads_every_answer(spark, duck):
     one, every = "SELECT question_id AS qid, translate(min(answer), '‐‑‒–—', '-----') AS t FROM runs WHERE answer IS NOT NULL GROUP BY 1", "SELECT question_id AS qid, translate(answer, '‐‑‒–—', '-----') AS t FROM runs WHERE answer IS NOT NULL"
     assert one in graph.ORACLE["query_entities"]
     same(graph.query_entities(spark, SF), duck, graph.ORACLE["query_entities"].replace(one, every))
+
+
+def test_nhop_starts_at_every_section_and_passes_hubs(spark, duck):
+    sql, seed, bar = graph.ORACLE["kg_nhop"], " AND id LIKE '%.05'", " AND NOT regexp_matches(id, '^(part|chapter|category):')"
+    assert seed in sql and bar in sql
+    same(graph.kg_nhop(spark, SF), duck, sql.replace(seed, "").replace(bar, ""))
