@@ -190,13 +190,37 @@ def maxsim(queries: DataFrame, pages: DataFrame, k: int, dim: int = 64) -> DataF
 
 
 def sign_bits(vec: Column) -> Column:
-    """The signs of a vector of up to 63 components, as the bits of a bigint (binary quantisation)."""
-    return F.aggregate(F.transform(F.slice(vec, 1, 62), lambda x: (x > 0).cast("bigint")), F.lit(0).cast("bigint"), lambda acc, b: acc * 2 + b)
+    """The signs of all components of a vector (binary quantisation), as bigints of 64 bits each."""
+    word = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR((x > 0).cast("bigint")))
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(vec) - 1) / 64).cast("int")), lambda i: word(F.slice(vec, i * 64 + 1, F.lit(64))))
 
 
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits."""
-    return F.bit_count(a.bitwiseXOR(b))
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def binary_topk(queries: DataFrame, items: DataFrame, k: int, first: int = 40) -> DataFrame:
+    """qid, id, score, rank of the k items with the largest dot product: candidates by sign bits, then exactly beyond them.
+
+    The `first` nearest items by Hamming distance are scored and give a bound per query. Every other item whose sign bits
+    leave room for a product of that size, at most its norm times the norm of the query's components of equal sign, is scored
+    too, so the result is that of brute force. queries: qid, vec; items: id, vec.
+    """
+    e = items.select("id", "vec", sign_bits(F.col("vec")).alias("bits"), F.sqrt(dot(F.col("vec"), F.col("vec"))).alias("norm"))
+    q = F.broadcast(queries.select("qid", F.col("vec").alias("qv"), sign_bits(F.col("vec")).alias("qb")))
+    near = e.join(q).withColumn("score", -hamming(F.col("qb"), F.col("bits")).cast("double"))
+    best = ranked(near.select("qid", "id", "score"), first).select("qid", "id")
+    scored = best.join(items.select("id", "vec"), "id").join(q, "qid").select("qid", "id", dot(F.col("vec"), F.col("qv")).alias("score"))
+    least = ranked(scored, k).groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).drop("n")
+    agree = F.aggregate(F.zip_with("vec", "qv", lambda x, y: F.when((x > 0) == (y > 0), y.cast("double") * y).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+    room = F.col("norm") * F.sqrt(agree) >= F.coalesce(F.col("least"), F.lit(float("-inf"))) - 1e-9
+    rest = e.join(q).join(F.broadcast(least), "qid", "left").where(room).select("qid", "id", dot(F.col("vec"), F.col("qv")).alias("score"))
+    return ranked(rest, k)
 
 
 def overlap_score(query: Column, text: Column) -> Column:

@@ -64,14 +64,9 @@ def maxsim_pages(spark, sf):
 
 
 def binary_first_pass(spark, sf):
-    """Candidates by Hamming distance of sign bits, rescored exactly."""
-    e = _embeddings(spark, sf).withColumn("bits", search.sign_bits(F.col("vec")))
-    q = F.broadcast(asked(e).select("qid", F.col("bits").alias("qb"), F.col("vec").alias("qv")))
-    near = e.join(q).select("qid", "id", (-search.hamming(F.col("qb"), F.col("bits"))).cast("double").alias("score"), "vec", "qv")
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
-    best = near.withColumn("r", F.row_number().over(w)).where("r <= 40")
-    dot = F.aggregate(F.zip_with("vec", "qv", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    return search.ranked(best.select("qid", "id", dot.alias("score")), 10).select("qid", "id", "rank", F.round("score", 6).alias("score"))
+    """Candidates by Hamming distance of sign bits, rescored exactly, and exactly continued beyond them."""
+    e = _embeddings(spark, sf)
+    return search.binary_topk(asked(e), e, 10).select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
 def score_formula(spark, sf):

@@ -3,7 +3,7 @@
 import pytest
 
 from compare import connect, rows
-from paragrove.queries import graph
+from paragrove.queries import graph, search
 from tests.conftest import SF
 
 
@@ -28,3 +28,18 @@ def test_nhop_starts_at_every_section_and_passes_hubs(spark, duck):
     sql, seed, bar = graph.ORACLE["kg_nhop"], " AND id LIKE '%.05'", " AND NOT regexp_matches(id, '^(part|chapter|category):')"
     assert seed in sql and bar in sql
     same(graph.kg_nhop(spark, SF), duck, sql.replace(seed, "").replace(bar, ""))
+
+
+def test_binary_first_pass_is_brute_force(spark, duck):
+    cut = "bit_count(xor(q.bits, e.bits)), e.id) <= 40"
+    assert cut in search.ORACLE["binary_first_pass"]
+    same(search.binary_first_pass(spark, SF), duck, search.ORACLE["binary_first_pass"].replace(cut, "e.id) > 0"))
+
+
+def test_sign_bits_take_every_component(spark):
+    from pyspark.sql import functions as F
+
+    from paragrove.operators.search import hamming, sign_bits
+
+    df = spark.createDataFrame([([1.0] * 70, [1.0] * 61 + [-1.0] * 9)], "a array<float>, b array<float>")
+    assert df.select(hamming(sign_bits(F.col("a")), sign_bits(F.col("b")))).head()[0] == 9
