@@ -68,9 +68,12 @@ def problem_ids(spark, sf):
 
 
 def answer_extract(spark, sf):
-    md = F.concat(F.lit("### Answer\n"), F.coalesce("answer", F.lit("")), F.lit("\n### Debug\nx"))
-    x = evalrun.extract_answer(F.when(F.col("answer_extraction_method") == "markdown_section", md), F.when(F.col("answer_extraction_method") == "return_key", F.col("answer")), F.when(F.col("answer_extraction_method") == "stdout", F.concat(F.lit("log\nAnswer: "), F.coalesce("answer", F.lit("")), F.lit("\ndebug: x"))))
-    return runs(spark, sf).where("answer NOT LIKE '%###%' AND NOT lower(answer) LIKE '%answer%'").select("record_id", x.alias("x")).select("record_id", F.col("x.method").alias("method"), F.length("x.answer").alias("n_chars"))
+    """Extraction from the output that every record came from: its answer as it is, under its heading again if it has none of its own."""
+    a, method = F.coalesce("answer", F.lit("")), F.col("answer_extraction_method")
+    md = F.when(a.rlike(r"(?i)(?:^|\n)\s*#{2,4}\s*Answer\s*(?:\n|\z)"), a).otherwise(F.concat(F.lit("### Answer\n"), a, F.lit("\n### Debug\nx")))
+    out = F.when(a.rlike(r"(?i)(?:^|\n)\s*(?:answer|final answer)\s*[:\n]"), a).otherwise(F.concat(F.lit("log\nAnswer: "), a, F.lit("\ndebug: x")))
+    x = evalrun.extract_answer(F.when(method == "markdown_section", md), F.when(method == "return_key", a), F.when(method == "stdout", out))
+    return runs(spark, sf).select("record_id", x.alias("x")).select("record_id", F.col("x.method").alias("method"), F.length("x.answer").alias("n_chars"))
 
 
 def usage_extract(spark, sf):

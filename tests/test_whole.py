@@ -3,7 +3,7 @@
 import pytest
 
 from compare import connect, rows
-from paragrove.queries import graph, search
+from paragrove.queries import evaluation, graph, search
 from tests.conftest import SF
 
 
@@ -43,3 +43,13 @@ def test_sign_bits_take_every_component(spark):
 
     df = spark.createDataFrame([([1.0] * 70, [1.0] * 61 + [-1.0] * 9)], "a array<float>, b array<float>")
     assert df.select(hamming(sign_bits(F.col("a")), sign_bits(F.col("b")))).head()[0] == 9
+
+
+def test_answer_extract_takes_every_record(spark, duck, tmp_path):
+    got = evaluation.answer_extract(spark, SF)
+    assert got.count() == duck.execute("SELECT count(DISTINCT record_id) FROM runs").fetchone()[0]
+    cases = [("markdown_section", "### Answer\nYes.\n### Debug\nz", 4), ("markdown_section", "Yes.\n### Figures\nz", 4), ("markdown_section", "### Answer", 0), ("stdout", "log\nFinal answer: Yes.\ncontext: z", 4), ("stdout", "The answer is no.", 17), ("return_key", None, 0), ("not_found", None, 0), (None, "Yes.", 0)]
+    spark.createDataFrame([(i, m, a) for i, (m, a, _) in enumerate(cases)], "record_id bigint, answer_extraction_method string, answer string").write.parquet(f"{tmp_path}/runs.parquet")
+    rows_ = {r.record_id: r for r in evaluation.answer_extract(spark, str(tmp_path)).collect()}
+    assert [rows_[i].n_chars for i in range(len(cases))] == [n for _, _, n in cases]
+    assert [rows_[i].method == "not_found" for i in range(len(cases))] == [n == 0 for _, _, n in cases]
