@@ -101,11 +101,11 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, hops: int, barrier: Column | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, hops: int, barrier: Column | None = None, wanted: DataFrame | None = None) -> DataFrame:
     """qid, id, depth: nodes within so many undirected hops of each query's seeds (qid, id), the seeds included at depth 0.
 
     Duplicate seeds count once; seeds that are no node reach themselves alone. barrier: nodes (condition on id) that are
-    reached but not passed, for hubs.
+    reached but not passed, for hubs. wanted (qid, id): a query ends once all its wanted nodes are reached.
     """
     shelf = Shelf(edges.sparkSession)
     both = shelf.keep(undirected(edges), "both")
@@ -113,6 +113,8 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int, barrier: Column | None
     frontier = seen
     for d in range(1, hops + 1):
         start = frontier if barrier is None else frontier.where((F.col("depth") == 0) | ~barrier)
+        if wanted is not None:
+            start = start.join(wanted.join(seen.select("qid", "id"), ["qid", "id"], "left_anti").select("qid").distinct(), "qid", "left_semi")
         step = start.select("qid", F.col("id").alias("a")).join(both, "a").select("qid", F.col("b").alias("id")).distinct()
         frontier = shelf.keep(step.join(seen.select("qid", "id"), ["qid", "id"], "left_anti").withColumn("depth", F.lit(d)), f"hop-{d}")
         if frontier.isEmpty():
@@ -126,7 +128,8 @@ def proximity(edges: DataFrame, entities: DataFrame, chunks: DataFrame, hops: in
 
     entities: qid, id; chunks: qid, id (the candidates of each query).
     """
-    near = reach(edges, entities, hops).withColumnRenamed("depth", "d")
+    chunks = Shelf(edges.sparkSession).keep(chunks, "candidates")
+    near = reach(edges, entities, hops, wanted=chunks.select("qid", "id")).withColumnRenamed("depth", "d")
     return chunks.join(near, ["qid", "id"], "left").select("qid", "id", F.when(F.col("d").isNull(), 0.0).otherwise(1 / (1 + F.col("d"))).alias("score"))
 
 

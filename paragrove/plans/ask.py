@@ -23,7 +23,7 @@ class Corpus:
     vectors: DataFrame
 
 
-def retrieve(queries: DataFrame, corpus: Corpus, settings: Settings = Settings(), hops: int = 3, top: int = 30, keep: int = 6) -> DataFrame:
+def retrieve(queries: DataFrame, corpus: Corpus, settings: Settings = Settings(), hops: int = 6, top: int = 30, keep: int = 6) -> DataFrame:
     """qid, rank, chunk_id, score: the chunks of every query (qid, question, vec, sparse).
 
     Dense and sparse lists are fused by rank; the score adds graph proximity to the query's entities, rule weight and

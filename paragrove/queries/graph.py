@@ -73,13 +73,13 @@ def kg_nhop(spark, sf):
 
 
 def kg_proximity(spark, sf):
-    """1 / (1 + hops) of every chunk of a manual to that manual's first figure, up to 3 hops."""
+    """1 / (1 + hops) of every chunk of a manual to the nearest of that manual's figures, up to 6 hops."""
     shelf = Shelf(spark)
     g = built(spark, sf)
     edges = shelf.keep(g.edges, "edges")
-    ents = g.nodes.where("kind = 'Figure' AND NOT unresolved").groupBy(F.col("manual").alias("qid")).agg(F.min("id").alias("id"))
+    ents = g.nodes.where("kind = 'Figure' AND NOT unresolved").select(F.col("manual").alias("qid"), "id")
     cand = chunks(spark, sf).select(F.col("manual").alias("qid"), graph.node("chunk", "chunk_id").alias("id"))
-    return graph.proximity(edges, ents, cand, 3).groupBy("qid", F.round("score", 6).alias("score")).agg(F.count("*").alias("n"))
+    return graph.proximity(edges, ents, cand).groupBy("qid", F.round("score", 6).alias("score")).agg(F.count("*").alias("n"))
 
 
 def kg_figures_for_section(spark, sf):

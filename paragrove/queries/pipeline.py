@@ -64,8 +64,10 @@ def ask_plan(spark, sf):
     g = graph.Graph(shelf.keep(g.nodes, "nodes"), shelf.keep(g.edges, "edges"))
     v = shelf.keep(vec_chunks(spark, sf).select("id", "vec", "sparse", F.col("payload.chunk_id").alias("chunk_id"), F.col("payload.section_id").alias("section_id")), "vectors")
     corpus = ask.Corpus(c, f, g, v)
-    q = v.where("id % 20 = 0").select(F.col("id").alias("qid"), F.concat(F.lit("What does Section "), "section_id", F.lit(" say about signs?")).alias("question"), "vec", "sparse")
-    hits = shelf.keep(ask.retrieve(q, corpus, hops=2), "hits")
+    words = F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 12), " ")
+    q = v.where("id % 20 = 0").join(c.select("chunk_id", words.alias("words")), "chunk_id", "left").select(F.col("id").alias("qid"), F.coalesce("words", F.lit("")).alias("question"), "vec", "sparse")
+    q = shelf.keep(q, "questions")
+    hits = shelf.keep(ask.retrieve(q, corpus), "hits")
     decisions = ask.decide(q, hits, corpus)
     figs = ask.figures_for(hits, corpus, decisions).groupBy("qid").agg(F.count("*").alias("n_figures"))
     p = ask.prompts(q, hits, corpus).select("qid", F.length("prompt").alias("prompt_chars"))

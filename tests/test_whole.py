@@ -3,7 +3,7 @@
 import pytest
 
 from compare import connect, rows
-from paragrove.queries import evaluation, graph, search
+from paragrove.queries import evaluation, graph, pipeline, search
 from tests.conftest import SF
 
 
@@ -53,3 +53,19 @@ def test_answer_extract_takes_every_record(spark, duck, tmp_path):
     rows_ = {r.record_id: r for r in evaluation.answer_extract(spark, str(tmp_path)).collect()}
     assert [rows_[i].n_chars for i in range(len(cases))] == [n for _, _, n in cases]
     assert [rows_[i].method == "not_found" for i in range(len(cases))] == [n == 0 for _, _, n in cases]
+
+
+def test_proximity_of_every_figure_up_to_six_hops(spark, duck):
+    hops = ", ".join(f"s{d} AS (SELECT DISTINCT qid, b AS id, {d} AS depth FROM s{d - 1} JOIN ug ON id = a)" for d in range(1, 7))
+    seen = " UNION ALL ".join(f"SELECT * FROM s{d}" for d in range(7))
+    same(graph.kg_proximity(spark, SF), duck, f"""WITH {graph.G}, s0 AS (SELECT manual AS qid, id, 0 AS depth FROM nodes WHERE kind = 'Figure' AND NOT unresolved), {hops}, m AS (SELECT qid, id, min(depth) AS d FROM ({seen}) GROUP BY 1, 2),
+k AS (SELECT manual AS qid, 'chunk:' || chunk_id AS id FROM c) SELECT qid, round(CASE WHEN d IS NULL THEN 0.0::DOUBLE ELSE 1 / (1 + d) END, 6) AS score, count(*) AS n FROM k LEFT JOIN m USING (qid, id) GROUP BY 1, 2""")
+
+
+def test_ask_plan_asks_with_the_chunks_words(spark, monkeypatch):
+    asked, plain = [], pipeline.ask.retrieve
+    monkeypatch.setattr(pipeline.ask, "retrieve", lambda q, corpus, **k: (asked.append((q, k)), plain(q, corpus, **k))[1])
+    pipeline.ask_plan(spark, SF)
+    q, settings = asked[0]
+    assert settings.get("hops", 6) == 6 and q.select("question").distinct().count() > 1
+    assert q.where("question LIKE 'What does Section %'").count() == 0
