@@ -94,7 +94,8 @@ def budgets(shares: list[float], capacity: list[int], total: int) -> list[int]:
 class Mix:
     """The plan and the selection of one mix of documents.
 
-    Documents of null, blank or unlisted source and of no tokens are not selected; those with a source count in the total.
+    Documents of null, blank or unlisted source and of no tokens are not selected; those with a source count in the total that decides
+    which targets are short; the selection is as large in tokens as all documents.
     targets: source, target_share, max_repeats; one row per source to be mixed, so their number bounds the plan. An empty
     table of documents or targets selects nothing.
     """
@@ -102,10 +103,12 @@ class Mix:
     def __init__(self, documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 11):
         self.spark, self.seed = documents.sparkSession, seed
         shelf = Shelf(self.spark)
-        self.sized = shelf.keep(documents.select(F.col(key).alias("doc_id"), normal_source(F.col(source)).alias("src"), n_tokens(F.col(text)).alias("n_tokens")).where("src IS NOT NULL"), "sized")
+        every = shelf.keep(documents.select(F.col(key).alias("doc_id"), normal_source(F.col(source)).alias("src"), n_tokens(F.col(text)).alias("n_tokens")), "sized")
+        self.sized = every.where("src IS NOT NULL")
         goal = targets.select("source", normal_source(F.col("source")).alias("src"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).cast("int").alias("max_repeats")).where("src IS NOT NULL").dropDuplicates(["src"])
         per = self.sized.groupBy("src").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
-        self.total = self.sized.agg(F.sum("n_tokens")).head()[0] or 0
+        sums = every.agg(F.sum("n_tokens"), F.sum(F.when(F.col("src").isNotNull(), F.col("n_tokens")))).head()
+        self.size, self.total = sums[0] or 0, sums[1] or 0
         self.goal = goal.join(per, "src", "left").fillna(0, ["tokens", "docs"]).withColumn("capacity", F.col("tokens") * F.col("max_repeats")).withColumn("wanted", F.col("target_share") * F.lit(float(self.total)))
 
     def plan(self) -> DataFrame:
@@ -115,7 +118,7 @@ class Mix:
     def selection(self) -> DataFrame:
         """doc_id, source, n_tokens, copies of every selected document."""
         rows = self.goal.orderBy("src").collect()
-        budget = budgets([r.target_share for r in rows], [r.capacity for r in rows], self.total)
+        budget = budgets([r.target_share for r in rows], [r.capacity for r in rows], self.size)
         limit = self.spark.createDataFrame([(r.src, r.source, b, r.max_repeats) for r, b in zip(rows, budget)] or [("", "", 0, 0)], "src string, source string, budget bigint, max_repeats int")
         docs = self.sized.join(F.broadcast(limit), "src").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(self.seed)), F.lit(SALTS)).cast("int"))
         hist = docs.groupBy("src", "n_tokens", "salt", "budget", "max_repeats").agg(F.count("*").alias("n"))
