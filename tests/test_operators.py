@@ -27,8 +27,8 @@ def test_orphans_of_every_reason(spark):
     figs = spark.createDataFrame([
         ("M", "Figure", "2B-1", early, None, "z"), ("M", "Figure", "2B-2", early, late, "z"), ("M", "Figure", "2b-2", early, late, "z"), ("M", "Table", "2B-1", late, None, "z"), ("M", "Figure", "2B–3", late, None, "z"), ("N", "Figure", "9Z-9", early, None, "z")], FIGURES)
     want = {("b", "Figure", "2B-2", "deleted"), ("b", "Table", "2B-1", "late"), ("c", "Figure", "2B-3", "late"), ("c", "Table", "9Z-9", "missing"), ("d", "Figure", "2B-1", "missing")}
-    for heavy in (0, 50_000):
-        got = orphans.orphan_references(chunks, figs, heavy_refs=heavy).collect()
+    for heavy in (1, 3, 4_096):
+        got = orphans.orphan_references(chunks, figs, heavy_cells=heavy).collect()
         assert {(r.chunk_id, r.ref_kind, r.ref_id, r.reason) for r in got} == want and len(got) == len(want)
     empty_c, empty_f = chunks.limit(0), figs.limit(0)
     assert orphans.orphan_references(empty_c, figs).count() == 0
@@ -36,6 +36,49 @@ def test_orphans_of_every_reason(spark):
     assert {r.field for r in orphans.orphan_report(chunks, figs).collect()} == {"figure_refs", "table_refs"}
 
 
+def test_orphan_split_bounds_every_cell(spark):
+    """A key with a third of all references is broadcast; what is left for the shuffle is below total / heavy_cells in every cell."""
+    from paragrove.runtime import Shelf, heaviest, split_join
+
+    rows = [(f"h{i}", "M", ["1A-1"], None, D(2025, 1, 1 + i % 28), 1, "x") for i in range(60)] + [(f"r{i}", f"N{i % 40}", [f"2B-{i}"], None, D(2025, 2, 1), 1, "x") for i in range(120)]
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    figs = spark.createDataFrame([("M", "Figure", "1A-1", D(2025, 1, 15), None, "z")], FIGURES)
+    refs = orphans.references(chunks)
+    cells = Shelf(spark).keep(orphans.orphan_cells(refs, figs), "cells")
+    hot = {(r.manual, r.ref_id, r.month) for r in heaviest(cells, orphans.CELL, "n_refs", 3).collect()}
+    assert ("M", "1A-1", "2025-01") in hot and len(hot) == 3
+    left = [r.n_refs for r in cells.collect() if (r.manual, r.ref_id, r.month) not in hot]
+    assert max(left) <= sum(r.n_refs for r in cells.collect()) / 3
+    got = orphans.orphan_references(chunks, figs, heavy_cells=3)
+    plan = got._jdf.queryExecution().toString()
+    assert "LeftAnti" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" in plan and "Union" in plan
+    late = [r for r in got.collect() if r.reason == "late"]
+    assert {r.chunk_id for r in late} == {f"h{i}" for i in range(60) if 1 + i % 28 < 15} and got.where("reason = 'missing'").count() == 120
+    report = {(r.reason): r.n_orphans for r in orphans.orphan_report(chunks, figs, heavy_cells=3).collect()}
+    assert report == {"late": len(late), "missing": 120}
+    none = split_join(refs.withColumn("month", F.lit(None).cast("string")), cells.limit(0), orphans.CELL, "n_refs", Shelf(spark), "none")
+    assert none.count() == 0
+
+
+def test_shelf_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    import os
+    from types import SimpleNamespace
+
+    from paragrove import runtime
+
+    away = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(away)
+    shelf = runtime.Shelf(spark)
+    assert shelf.keep(spark.range(3), "a").count() == 3
+    folder = shelf.root.removeprefix("file://").removeprefix("file:")
+    assert os.listdir(folder)
+    shelf.drop("a")
+    assert not os.path.exists(f"{folder}/a")
+    shelf.drop()
+    assert not os.path.exists(folder)
+
+
 def test_ids(spark):
     assert value(spark, ids.reference_key(F.col("a")), a="fig. 2b – 14") == "2B-14"
     assert value(spark, ids.reference_key(F.col("a")), a="Table2C-1") == "2C-1"
