@@ -43,7 +43,8 @@ def p2_pieces(spark, sf):
 
 @query
 def p7_found(spark, sf):
-    return packing.pack_documents(table(spark, sf, "documents")).where("piece_no = 0 AND n_tokens > 1024").select("doc_id")
+    """Documents that the packing had to spread over more than one container."""
+    return packing.pack_documents(table(spark, sf, "documents")).where("piece_no = 1 AND container IS NOT NULL").select("doc_id")
 
 
 @query
@@ -53,7 +54,8 @@ def p7_containers(spark, sf):
 
 @query
 def p8_found(spark, sf):
-    return mixing.Mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).plan().where("short").select("source")
+    """Sources of which the fitted selection holds less than the target's part though it took all they may give."""
+    return mixing.Mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).report().where("short").select("source")
 
 
 @query
@@ -66,19 +68,22 @@ def p8_report(spark, sf):
     return mixing.Mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).report()
 
 
-#: Documents below this posterior are no candidates for the exact share check.
-P9_CANDIDATE = 0.01
-
-
 @query
 def p9_found(spark, sf):
+    """Documents that are repetitive by the posterior of the label model; the exact share decides among them."""
     rows = repetition.repetition(table(spark, sf, "documents"))
-    return rows.where((F.col("posterior") >= P9_CANDIDATE) & (F.col("share") >= 0.30)).select("doc_id")
+    return rows.where((F.col("posterior") >= 0.5) & (F.col("share") >= 0.30)).select("doc_id")
 
 
 @query
 def p9_shares(spark, sf):
-    return repetition.repetition(table(spark, sf, "documents")).select("doc_id", F.round("share", 6).alias("share"), "posterior")
+    return repetition.repetition(table(spark, sf, "documents")).select("doc_id", F.col("n_words").cast("bigint").alias("n_words"), F.round("share", 6).alias("share"))
+
+
+@query
+def p9_posteriors(spark, sf):
+    """What the label model says of every document, with the rules' values."""
+    return repetition.repetition(table(spark, sf, "documents")).drop("share", "n_words")
 
 
 _TOKENS = r"len(regexp_extract_all(text, '[\pL\pN_]+|[^\pL\pN_\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'))"
@@ -91,6 +96,19 @@ t AS (SELECT src, sum(n) AS n FROM d WHERE src IS NOT NULL GROUP BY src)
 SELECT m.source FROM mix_targets m LEFT JOIN t ON lower(trim(m.source)) = t.src
 WHERE coalesce(t.n, 0) * m.max_repeats < m.target_share * (SELECT sum(n) FROM t)"""
 
+_PASSAGES = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\pL+') AS w FROM documents),
+g AS (SELECT doc_id, i, list_reduce(w[i:i + 7], lambda a, b: a || ' ' || b) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+again AS (SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY i) > 1),
+marked AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM again, (SELECT unnest(range(0, 8)) AS j) GROUP BY 1),
+shares AS (SELECT doc_id, len(w) AS n_words, coalesce(n, 0) / greatest(len(w), 1) AS share FROM w LEFT JOIN marked USING (doc_id))
+"""
+ORACLE["p9_found"] = _PASSAGES + "SELECT doc_id FROM shares WHERE share >= 0.30"
+ORACLE["p9_shares"] = _PASSAGES + "SELECT doc_id, n_words, round(share, 6) AS share FROM shares"
+_PAIRS = """{0}_v AS (SELECT id, CAST(dense AS DOUBLE[]) AS v FROM {0} WHERE len(dense) = 64 AND list_dot_product(CAST(dense AS DOUBLE[]), CAST(dense AS DOUBLE[])) > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY upserted_at DESC) = 1),
+{0}_p AS (SELECT '{0}' AS collection, a.id AS id_a, b.id AS id_b FROM {0}_v a JOIN {0}_v b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.90)"""
+ORACLE["p1_found"] = "WITH " + ",\n".join(_PAIRS.format(t) for t in COLLECTIONS) + " SELECT * FROM vec_chunks_p UNION ALL SELECT * FROM vec_figures_p"
+
 
 def _cut(spark, sf):
     """Truncation of the answers; placeholders, failure messages and mere copies of the question are whole texts."""

@@ -1,8 +1,9 @@
 """Repetition inside a single document, by weak supervision.
 
-Rules measure repeated passages, paragraphs, sentences, the most frequent phrase and compressibility of the whole text; each
-votes "repetitive", "not repetitive", or abstains. Expectation-maximisation over the counts of vote patterns estimates each
-rule's accuracy and the prior, and every pattern's posterior probability ranks its documents; no rule must pass.
+Rules measure repeated short phrases, sentences, clauses and paragraphs, the most frequent phrase and compressibility of the
+whole text; each votes "repetitive", "not repetitive", or abstains. Expectation-maximisation over the counts of vote patterns
+estimates each rule's accuracy and the prior, and every pattern's posterior probability ranks its documents; no rule must
+pass. The share of words in repeated passages of eight words is measured beside the rules and has no vote.
 """
 
 from __future__ import annotations
@@ -20,32 +21,40 @@ from paragrove.runtime import Shelf, spread
 GRAM = 8
 WORDS = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"(?<=[.!?…;])\s+|\n+")
-#: rule: votes "not" up to the first value, "repetitive" from the second, abstains between
-RULES = {"share": (0.15, 0.30), "sentence_share": (0.05, 0.30), "paragraph_share": (0.0, 0.25), "top_phrase_share": (0.10, 0.30), "squeeze": (0.55, 0.75)}
-MEASURES = ["n_words", *RULES]
+CLAUSE = re.compile(r"[,.;:!?…\n]+")
+#: rule: votes "not" up to the first value (never where it is None), "repetitive" from the second, abstains between
+RULES = {"phrase_share": (0.25, 0.45), "sentence_share": (0.0, 0.30), "clause_share": (0.0, 0.25), "paragraph_share": (None, 0.25), "top_phrase_share": (None, 0.20), "squeeze": (0.50, 0.65)}
+MEASURES = ["n_words", "share", *RULES]
+
+
+def gram_keys(codes: np.ndarray, gram: int) -> np.ndarray:
+    """One 64-bit key per window of `gram` words; equal windows have equal keys, different ones hardly ever."""
+    n = max(0, len(codes) - gram + 1)
+    keys = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(gram):
+            keys = keys * np.uint64(0x9E3779B97F4A7C15) + codes[k:k + n]
+            keys ^= keys >> np.uint64(29)
+    return keys
 
 
 def passage_share(codes: np.ndarray, gram: int = GRAM) -> float:
     """The share of words in passages of at least gram words that began earlier too.
 
-    A window of gram words that equals an earlier one marks its words. Windows are compared by two independent 64-bit
-    products, so equality is as good as exact.
+    A window of gram words that equals an earlier one marks its words.
     """
-    n = len(codes) - gram + 1
+    keys = gram_keys(codes, gram)
+    n = len(keys)
     if n < 2:
         return 0.0
-    keys = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(gram):
-            keys = keys * np.uint64(0x9E3779B97F4A7C15) + codes[k:k + n]
-            keys ^= keys >> np.uint64(29)
     order = np.argsort(keys, kind="stable")
     again = np.zeros(n, bool)
     again[order[1:]] = keys[order[1:]] == keys[order[:-1]]
     # ends of marked windows, as running coverage
     mark = np.zeros(len(codes) + 1, np.int64)
-    np.add.at(mark, np.flatnonzero(again), 1)
-    np.add.at(mark, np.flatnonzero(again) + gram, -1)
+    at = np.flatnonzero(again)
+    mark[at] += 1
+    mark[at + gram] -= 1
     return float((np.cumsum(mark[:-1]) > 0).sum() / len(codes))
 
 
@@ -68,15 +77,13 @@ def measure(text: str) -> list[float]:
         return [0.0] * len(MEASURES)
     ids: dict[str, int] = {}
     codes = np.array([ids.setdefault(w, len(ids)) for w in words], dtype=np.uint64) + np.uint64(1)
-    share = passage_share(codes)
     top = 0.0
     if len(words) >= 24:
-        pair = codes[:-3] * np.uint64(1 << 42) + codes[1:-2] * np.uint64(1 << 28) + codes[2:-1] * np.uint64(1 << 14) + codes[3:]
-        top = min(1.0, 4 * float(np.unique(pair, return_counts=True)[1].max()) / len(words))
-        top = top if np.unique(pair).size < len(pair) else 0.0
+        n = np.unique(gram_keys(codes, 4), return_counts=True)[1].max()
+        top = min(1.0, 4 * float(n) / len(words)) if n > 1 else 0.0
     raw = text.encode("utf-8", "replace")
     squeeze = 1 - len(zlib.compress(raw, 1)) / len(raw) if len(raw) > 200 else 0.0
-    return [float(len(words)), share, repeated(SENTENCE.split(text), 20), repeated(re.split(r"\n\s*\n", text), 40), top, max(0.0, squeeze)]
+    return [float(len(words)), passage_share(codes), passage_share(codes, 5), repeated(SENTENCE.split(text), 20), repeated(CLAUSE.split(text), 25), repeated(re.split(r"\n\s*\n", text), 40), top, max(0.0, squeeze)]
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
@@ -128,8 +135,7 @@ def repetition(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     spark = documents.sparkSession
     shelf = Shelf(spark)
-    low, high = {r: v[0] for r, v in RULES.items()}, {r: v[1] for r, v in RULES.items()}
-    vote = lambda r: F.when(F.col(r) >= high[r], 1).when(F.col(r) <= low[r], 0).otherwise(-1)
+    vote = lambda r: F.when(F.col(r) >= RULES[r][1], 1).when(F.col(r) <= F.lit(-1.0 if RULES[r][0] is None else RULES[r][0]), 0).otherwise(-1)
     votes = shelf.keep(measured(documents, key, text).withColumns({f"v_{r}": vote(r) for r in RULES}), "votes")
     names = [f"v_{r}" for r in RULES]
     seen = votes.groupBy(*names).count().collect()  # at most 3 to the power of the number of rules

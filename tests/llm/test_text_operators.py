@@ -60,6 +60,23 @@ def test_packing_plan(sizes):
     assert opened <= 1.7 * (sum(sizes) / 100) + 2
 
 
+def test_packing_in_shards(spark):
+    """Many shards: whole items, no container above the capacity, numbers without gaps, and hardly more containers than one shard needs."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(i % 700, rng.choice([0, 1, 7, 30, 90, 100, 101, 250])) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint").repartition(4)
+    used = {}
+    for shard_rows in (100, 10_000):
+        out = packing.pack(df, 100, shard_rows=shard_rows).toPandas()
+        assert len(out) == sum(max(1, -(-n // 100)) for _, n in rows) and (out.container.isna() == (out.n_tokens == 0)).all()
+        fill = out.dropna().groupby("container").piece_tokens.sum()
+        assert fill.max() <= 100 and sorted(fill.index) == list(range(len(fill))) and out.piece_tokens.sum() == sum(n for _, n in rows)
+        used[shard_rows] = len(fill)
+    assert used[100] <= 1.01 * used[10_000] and used[10_000] <= 1.05 * sum(n for _, n in rows) / 100
+
+
 def test_packing(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice([7, 100, 100, 100, 333, 900]), 1, 1) for i in range(600)] + [(1000, 2500, 1, 1), (1001, 2048, 1, 1), (1002, 0, 1, 1), (1003, None, 1, 1), (5, 100, 1, 1)]
@@ -95,8 +112,8 @@ def test_mixing(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, rank int, salt int")
     goal = spark.createDataFrame([("a", 0.5, 3), ("b", 0.3, 2), ("c", 0.2, 2), ("d", 0.0, 1)], "source string, target_share double, max_repeats int")
     mix = mixing.Mix(df, goal)
-    plan = {r.source: r for r in mix.plan().collect()}
-    assert plan["c"].short and not plan["a"].short and plan["d"].tokens == 0
+    plan = {r.source: r for r in mix.report().collect()}
+    assert plan["c"].short and not plan["a"].short and plan["d"].selected_tokens == 0
     rep = {r.source: r for r in mix.report().collect()}
     total = sum(len(r[1] or "") // 2 for r in rows if (r[2] or "").strip())
     assert abs(sum(r.selected_tokens for r in rep.values()) - total) <= 3
@@ -136,6 +153,23 @@ def test_repetition(spark):
     assert repetition.repetition(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_repetition_is_decided_by_the_label_model(spark, monkeypatch):
+    """The posterior decides who is a candidate: without it nothing is found, and no single rule has to hold."""
+    from paragrove.llm import registry
+
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(2_000)]
+    plain = [(i, " ".join(words[i * 37 % 1_000:][:120])) for i in range(40)]
+    spam = [(100 + i, ". ".join([" ".join(words[i * 11:][:12])] * 9)) for i in range(6)]
+    flow = [(200, " ".join(words[:30] + words[500:510] + words[:30] + words[600:640] + words[:30]))]  # repeats without sentences
+    docs = spark.createDataFrame(plain + spam + flow, "doc_id bigint, text string")
+    monkeypatch.setattr(registry, "table", lambda *_: docs)
+    assert {r.doc_id for r in registry.p9_found(None, None).collect()} == {*range(100, 106), 200}
+    rules = {r.doc_id: r for r in registry.p9_posteriors(None, None).collect()}
+    assert rules[200].sentence_share == 0 and rules[200].posterior >= 0.5 > rules[0].posterior
+    monkeypatch.setattr(repetition, "expectation_maximisation", lambda p, n: (p[:, 0] * 0.0, None, 0.0))
+    assert registry.p9_found(None, None).count() == 0
+
+
 def test_censored_fit():
     rng = np.random.default_rng(4)
     x = np.minimum(np.maximum(1, rng.lognormal(5.5, 0.4, 20_000).astype(int)), 300)
