@@ -1,21 +1,26 @@
 """Broken prompt and response pairs.
 
-Responses are range-sorted by text; each one's common prefix with its right neighbour shows whether it is a shortened
-version of another (if any response begins with a text, its right neighbour does). Length-limit spikes and ending evidence
-come from the truncation model. Copy, refusal, placeholder, failure-message and language rules do the rest, in one Arrow pass. A pair gets at most one defect, the first that holds in the order of DEFECTS.
+The sentences and items of all responses are range-sorted by text, and neighbours' common prefixes show which response ends
+in the beginning of a longer one. That is the first evidence of a cut; length-limit spikes and the last words add to its odds
+(the truncation model). Copy, refusal, placeholder, failure-message and language rules do the rest, in the Arrow pass that
+reads the responses. Languages are told apart by word likelihoods fitted on labelled rows. A pair gets at most one defect, the
+first that holds in the order of DEFECTS.
 """
 
 from __future__ import annotations
 
+import math
+import os
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paragrove.llm.truncation import TERMINAL, truncated
-from paragrove.runtime import Shelf, spread
+from paragrove.llm.truncation import scored
+from paragrove.runtime import Shelf, broadcast_if_small
 
 DEFECTS = ("refusal", "empty", "error_text", "copies_question", "truncated", "other_language")
 
@@ -35,15 +40,12 @@ REFUSAL = r"(?iu)(?:" + "|".join((
     r"\bje (?:préfère|prefere) ne pas répondre", r"\bje ne (?:peux|puis|dois|vais|saurais) pas (?:y )?(?:répondre|aider|vous aider|donner|commenter|traiter)", r"\bje ne (?:peux|puis|saurais) répondre", r"\bje ne donne pas d['’](?:avis|conseil)", r"\bje (?:dois |me vois (?:contraint|obligé) de )?(?:refuse|décline|refuser|décliner)\b", r"\bil m['’]est impossible de (?:répondre|traiter|vous aider|commenter)",
     r"\b(?:kann|darf|werde|möchte|will) ich (?:leider )?(?:dabei |dazu |das |hierzu |darauf )?(?:nicht|keine)", r"\bich (?:kann|darf|werde|möchte|will) (?:dazu|dabei|hierzu|das|darauf|diese frage|leider|hier)?\s?(?:nicht|keine) (?:helfen|beantworten|antworten|auskunft|auskünfte|ratschläge)", r"\bgebe ich (?:dazu )?keine auskunft", r"\blehne ich\b", r"\bich lehne\b", r"\bich gebe (?:dazu )?keine auskunft", r"\bmuss ich (?:leider )?ablehnen",
 )) + ")"
-#: Frequent words and letters that tell the four languages apart.
-LANGUAGES = {
-    "en": "the of to and is are was shall should may must be for at with where when that not which what who how whether by from this it its under until unless",
-    "es": "el los las del por para con una debe y al puede fue lo su cuándo quién sobre hasta conviene junto sin más como desde entre sus cuando donde según mis",
-    "fr": "le les du est dans pour une doit et sur au aux être peut qui quand où avec par lorsque lors hors ne pas il elle ce cette ces son sa ses sans sous plus après avant vers mes l' d' n' s' c' qu'",
-    "de": "der die das den dem des und ist auf für ein eine einen einer muss wird von mit zu nicht am im wer wann wenn falls ob wo sich nach vor kann werden um soll sollte muss bei wurde",
-}
-LETTERS = {"es": "ñ¿¡áíóú", "fr": "çèêàùœ", "de": "äöüß"}
-
+LABELLED_ROWS = 20_000    # labelled rows that the languages are fitted on, at most
+LABELLED_WORDS = 50_000   # words that the fitted model keeps, at most, the most frequent first
+MARGIN = 4.0              # log likelihood by which another language must win, and
+MARGIN_WORD = 0.25        # for every word that the model knows
+PREFIX_ODDS = 20.0        # how much likelier a cut text ends in the beginning of a longer sentence or item, inside a word
+PREFIX_LENGTH = 6         # a shorter ending begins other ones by chance
 
 #: Signs that stripping removes besides white space.
 INVISIBLE = "".join(map(chr, (*range(0x20), 0x7F, 0x85, 0xA0, 0xAD, 0x1680, *range(0x2000, 0x2010), *range(0x2028, 0x2030), 0x205F, *range(0x2060, 0x2065), 0x2800, 0x3000, 0x3164, 0xFEFF))) + " "
@@ -53,15 +55,10 @@ TRIGGERS = frozenset("i i'm i’m i'd i’d i've my no prefiero debo tengo mis j
 FRAME = frozenset("q question pregunta frage you want to know asked is the ask asks vous demandez voulez savoir usted quiere saber sie möchten wissen fragen".split())
 HEADING = re.compile(r"#{1,6}\s*[^\n.!?]{0,40}|\*{0,2}[^\W\d_]+(?: [^\W\d_]+){0,3}:\*{0,2}:?")
 FAILED, REFUSED, NO_ANSWER = re.compile(FAILURE), re.compile(REFUSAL), re.compile(DECLINED)
-MARKS: dict[str, tuple[str, ...]] = {}
-for _lang, _words in LANGUAGES.items():
-    for _w in _words.split():
-        MARKS[_w] = (*MARKS.get(_w, ()), _lang)
-LETTER_MARKS = {c: lang for lang, cs in LETTERS.items() for c in cs}
-PLAIN_APART = str.maketrans(dict.fromkeys(".,;:!?()[]{}\"*#|/", " "))
-APART = str.maketrans({c: " " for c in ".,;:!?()[]{}\"“”«»*#|/"} | {"'": "' ", "’": "' "})
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 WORD = re.compile(r"[^\W_]+")
+LETTERS = re.compile(r"[^\W\d_]+")
+APART = str.maketrans({c: " " for c in ".,;:!?()[]{}\"“”«»*#|/'’-¿¡0123456789"})
 NAMES = frozenset(PLACEHOLDERS.split("|"))
 
 
@@ -70,7 +67,7 @@ def is_empty(text: str) -> bool:
     v = text.strip(INVISIBLE)
     if not any(map(str.isalnum, v)):
         return True
-    return len(v) <= 60 and (" ".join(WORD.findall(v.lower().replace("/", ""))) in NAMES or HEADING.fullmatch(v) is not None)
+    return len(v) <= 200 and (" ".join(WORD.findall(v.lower().replace("/", ""))) in NAMES or HEADING.fullmatch(v) is not None)  # no name or heading is longer
 
 
 def is_failure(text: str, error: str) -> bool:
@@ -79,10 +76,19 @@ def is_failure(text: str, error: str) -> bool:
     return FAILED.match(v) is not None or len(error.strip()) > 10 and v.lower() == error.strip(INVISIBLE).lower()
 
 
-def is_refusal(text: str) -> bool:
-    """A declining phrase in the first three sentences."""
-    head = " ".join(SENTENCE.split(text.strip(INVISIBLE), maxsplit=3)[:3])
-    return not TRIGGERS.isdisjoint(head.lower().split()) and REFUSED.search(head) is not None
+def is_refusal(text: str, tokens: list[str], question: str) -> bool:
+    """A declining phrase in the first three sentences, or later on in a text that says little else that the question does not."""
+    if TRIGGERS.isdisjoint(tokens):
+        return False
+    at = REFUSED.search(text)
+    if at is None:
+        return False
+    parts = SENTENCE.split(text.strip(INVISIBLE))
+    if REFUSED.search(" ".join(parts[:3])):
+        return True
+    asked = question_words(question)
+    content = [w for s in parts if not REFUSED.search(s) for w in WORD.findall(s.lower())]
+    return sum(w not in asked for w in content) <= 0.5 * len(tokens)
 
 
 @lru_cache(100_000)
@@ -90,116 +96,182 @@ def question_words(question: str) -> frozenset[str]:
     return frozenset(WORD.findall(question.lower().replace("'", "").replace("’", "")))
 
 
-def is_copy(answer: str, question: str) -> bool:
+def is_copy(answer: str, tokens: list[str], question: str) -> bool:
     """The answer only restates the question: nearly all its words are the question's, and it covers most of them."""
     q = question_words(question)
-    if len(q) < 3 or len(answer) > 3 * len(question) + 80:
+    if len(q) < 3 or len(set(tokens)) > 4 * (len(q) + len(FRAME)):  # more words than any restatement has
         return False
     a = set(WORD.findall(answer.lower().replace("'", "").replace("’", "")))
     return bool(a) and len(a - q - FRAME) <= len(a) // 10 and len(a & q) >= 0.6 * len(q)
 
 
-def marks(text: str) -> dict[str, int]:
-    """How many frequent words and letters of each language a text has."""
+class Languages:
+    """Word likelihoods per language: languages, and for every word its log likelihoods above those of an average language."""
+
+    def __init__(self, rows: list[tuple[str, str]]):
+        counts: dict[str, Counter] = {}
+        for text, lang in rows:
+            counts.setdefault(lang, Counter()).update(set(LETTERS.findall(text.lower())))
+        self.names = sorted(counts)
+        total, words = {lang: sum(c.values()) for lang, c in counts.items()}, Counter()
+        for c in counts.values():
+            words.update(c)
+        kept = [w for w, n in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:LABELLED_WORDS] if n >= 2]
+        self.words = {}
+        for w in kept:
+            logs = [math.log((counts[lang][w] + 0.5) / (total[lang] + 0.5 * len(kept))) for lang in self.names]
+            mean = sum(logs) / len(logs)
+            self.words[w] = tuple(x - mean for x in logs)
+
+    def scores(self, tokens) -> tuple[list[float], int]:
+        """The log likelihood of every language, and how many words the model knows."""
+        out, n, known = [0.0] * len(self.names), 0, self.words.get
+        for w in tokens:
+            x = known(w)
+            if x is not None:
+                n += 1
+                for i, v in enumerate(x):
+                    out[i] += v
+        return out, n
+
+    def of(self, tokens) -> str | None:
+        """The likeliest language; None where no word is known."""
+        s, n = self.scores(tokens)
+        return self.names[max(range(len(s)), key=s.__getitem__)] if n else None
+
+    def differs(self, tokens, asked: str | None) -> tuple[str | None, bool]:
+        """The likeliest language of a text, and whether it wins clearly over the one asked for."""
+        s, n = self.scores(tokens)
+        if not n:
+            return None, False
+        best = max(range(len(s)), key=s.__getitem__)
+        if asked not in self.names or self.names[best] == asked:
+            return self.names[best], False
+        lead = s[best] - s[self.names.index(asked)]
+        return self.names[best], lead >= MARGIN + MARGIN_WORD * n
+
+
+def labelled_rows(runs: DataFrame, questions: DataFrame) -> list[tuple[str, str]]:
+    """text, language of a bounded sample: the questions with their language, and answers with the language of their question."""
+    q = questions.where("lang IS NOT NULL AND question IS NOT NULL").select("question_id", "question", F.lower(F.trim("lang")).alias("lang")).orderBy(F.xxhash64("question_id")).limit(LABELLED_ROWS // 10)
+    answers = runs.where("answer IS NOT NULL").select("question_id", "answer", "record_id").join(broadcast_if_small(q.select("question_id", "lang").distinct()), "question_id").orderBy(F.xxhash64("record_id")).limit(LABELLED_ROWS - LABELLED_ROWS // 10).select("answer", "lang")
+    return [(r[0], r[1]) for df in (q.select("question", "lang"), answers) for r in df.collect()]
+
+
+def plain_words(text: str) -> list[str]:
+    """Lower-case words for the language model."""
     low = text.lower()
-    n = dict.fromkeys(LANGUAGES, 0)
-    flat = low.replace("'", "' ").translate(PLAIN_APART) if low.isascii() else low.translate(APART)
-    for w in flat.split():
-        for lang in MARKS.get(w, ()):
-            n[lang] += 1
-    if not low.isascii():
-        for c in low:
-            if c in LETTER_MARKS:
-                n[LETTER_MARKS[c]] += 1
-    return n
-
-
-@lru_cache(100_000)
-def question_language(question: str) -> str | None:
-    n = marks(question)
-    best = max(n, key=lambda k: n[k])
-    return best if n[best] >= 2 else None
-
-
-def judge(answer: str | None, question: str | None, error: str | None) -> tuple[str | None, str | None, str | None, bool]:
-    """The defect by rule, the languages of answer and question, and whether they differ clearly."""
-    answer, question, error = answer or "", question or "", error or ""
-    if is_empty(answer):
-        return ("refusal" if NO_ANSWER.search(error) else "empty"), None, None, False
-    if is_failure(answer, error):
-        return "error_text", None, None, False
-    if is_refusal(answer):
-        return "refusal", None, None, False
-    if is_copy(answer, question):
-        return "copies_question", None, None, False
-    asked, n = question_language(question), marks(answer)
-    best = max(n, key=lambda k: n[k])
-    other = asked is not None and best != asked and n[best] >= 2 and n[best] >= 2 * n[asked]
-    return None, best if n[best] else None, asked, other
-
-
-def judged(runs: DataFrame) -> DataFrame:
-    """record_id, model_alias, answer, rule, answer_lang, question_lang, other for every row with a record_id."""
-    def run(batches):
-        for b in batches:
-            found = [judge(*x) for x in zip(*(b.column(c).to_pylist() for c in ("answer", "question", "error")))]
-            rule, la, lq, other = zip(*found) if found else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([b.column("record_id"), b.column("model_alias"), b.column("answer"), pa.array(rule, pa.string()), pa.array(la, pa.string()), pa.array(lq, pa.string()), pa.array(other, pa.bool_())],
-                                             names=["record_id", "model_alias", "answer", "rule", "answer_lang", "question_lang", "other"])
-
-    src = runs.select(F.col("record_id").cast("bigint").alias("record_id"), "model_alias", "answer", "question", "error").where("record_id IS NOT NULL")
-    return spread(src).mapInArrow(run, "record_id bigint, model_alias string, answer string, rule string, answer_lang string, question_lang string, other boolean")
-
-
-def shortened(texts: DataFrame, shelf: Shelf, least: int = 20) -> DataFrame:
-    """key of every text that is a proper beginning of another and does not end at a sentence end.
-
-    texts: key (hash of text), text; distinct. They are range-sorted; inside a partition each text is compared with its right
-    neighbour, and the first and last text of every partition are compared across partitions.
+    return low.translate(APART).split()
+
+
+class Rules:
+    """(rule or None, language of the answer, language of the question, whether they differ clearly) of an answer, question and error."""
+
+    def __init__(self, languages: Languages | None):
+        self.languages = languages
+        self.asked = lru_cache(100_000)(lambda q: languages.of(plain_words(q)))
+
+    def __reduce__(self):
+        return Rules, (self.languages,)
+
+    def __call__(self, answer: str | None, question: str | None, error: str | None):
+        answer, question, error = answer or "", question or "", error or ""
+        if is_empty(answer):
+            return ("refusal" if NO_ANSWER.search(error) else "empty"), None, None, False
+        if is_failure(answer, error):
+            return "error_text", None, None, False
+        tokens = answer.lower().split()
+        if is_refusal(answer, tokens, question):
+            return "refusal", None, None, False
+        if is_copy(answer, tokens, question):
+            return "copies_question", None, None, False
+        if self.languages is None:
+            return None, None, None, False
+        asked = self.asked(question)
+        found, other = self.languages.differs(plain_words(answer), asked)
+        return None, found, asked, other
+
+
+def begins_longer(parts: DataFrame, shelf: Shelf) -> DataFrame:
+    """part of every unfinished part that is the beginning of another one which goes on inside the word.
+
+    parts: part, open (whether it is the unfinished end of a text); distinct. They are range-sorted; a scan keeps the chain of
+    open parts that the current one begins with. Chains that reach the end of a partition meet the head of the next ones on the
+    driver: one row per partition, with its first part and where others branch off from it.
     """
-    ordered = texts.repartitionByRange("text").sortWithinPartitions("text")
-    end = re.compile(TERMINAL)
+    ordered = parts.repartitionByRange("part").sortWithinPartitions("part")
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, last, first = TaskContext.get().partitionId(), None, True
+        where = TaskContext.get().partitionId()
+        chain: list[str] = []       # open parts, each the beginning of the next and of the last part read
+        hit: set[str] = set()       # those of the chain that go on inside a word
+        head, shared, branches = None, 0, set()
         for b in batches:
-            keys, values = b.column("key").to_pylist(), b.column("text").to_pylist()
-            hits, edge = [], []
-            for k, v in zip(keys, values):
-                if first:
-                    edge.append((k, v, 0))
-                    first = False
-                if last is not None and len(last[1]) >= least and v.startswith(last[1]) and v != last[1] and not end.search(last[1]):
-                    hits.append(last[0])
-                last = (k, v)
-            rows = [(k, None, part, None) for k in hits] + [(k, v, part, e) for k, v, e in edge]
-            yield pa.RecordBatch.from_pylist([dict(zip(("key", "text", "part", "edge"), r)) for r in rows], schema=schema)
-        if last is not None:
-            yield pa.RecordBatch.from_pylist([dict(key=last[0], text=last[1], part=part, edge=1)], schema=schema)
-
-    schema = pa.schema([("key", pa.int64()), ("text", pa.string()), ("part", pa.int32()), ("edge", pa.int32())])
-    found = shelf.keep(ordered.mapInArrow(run, "key bigint, text string, part int, edge int"), "shortened")
-    w = Window.orderBy("part", "edge")  # two rows per partition
-    across = found.where("edge IS NOT NULL").withColumns({"next": F.lead("text").over(w), "e2": F.lead("edge").over(w)})
-    across = across.where((F.col("edge") == 1) & (F.col("e2") == 0) & F.col("next").startswith(F.col("text")) & (F.length("text") >= least) & (F.col("next") != F.col("text")) & ~F.col("text").rlike(TERMINAL))
-    return found.where("edge IS NULL").select("key").unionByName(across.select("key")).distinct()
-
-
-def broken_pairs(runs: DataFrame, least_posterior: float = 0.5) -> DataFrame:
-    """record_id, defect (null if none), truncation (posterior), shortened, answer_lang, question_lang for every record.
-
-    A null answer is a refusal where error says that the model declined or was blocked, else empty. A null question has
-    neither copies nor a language. Repeated record_ids count once. An empty table gives an empty result.
+            out = []
+            for part, open_ in zip(b.column("part").to_pylist(), b.column("open").to_pylist()):
+                if head is None:
+                    head, shared = part, len(part)
+                elif shared:
+                    shared = len(os.path.commonprefix((head[:shared], part)))
+                    if len(part) > shared and part[shared].isalnum():
+                        branches.add(shared)
+                while chain and not part.startswith(chain[-1]):
+                    gone = chain.pop()
+                    if gone in hit:
+                        out.append(gone)
+                        hit.discard(gone)
+                for p in chain:
+                    if part[len(p)].isalnum() and p[-1].isalnum():
+                        hit.add(p)
+                if open_:
+                    chain.append(part)
+            yield pa.RecordBatch.from_pydict({"part": pa.array(out, pa.string()), "at": pa.array([None] * len(out), pa.int32()), "head": pa.array([None] * len(out), pa.string()), "shared": pa.array([None] * len(out), pa.int32()),
+                                              "branches": pa.array([None] * len(out), pa.list_(pa.int32())), "chain": pa.array([None] * len(out), pa.list_(pa.string()))})
+        if head is not None:
+            out = list(hit)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([*out, None], pa.string()), "at": pa.array([None] * len(out) + [where], pa.int32()), "head": pa.array([None] * len(out) + [head], pa.string()), "shared": pa.array([None] * len(out) + [shared], pa.int32()),
+                                              "branches": pa.array([None] * len(out) + [sorted(branches)], pa.list_(pa.int32())), "chain": pa.array([None] * len(out) + [[p for p in chain if p not in hit]], pa.list_(pa.string()))})
+
+    found = shelf.keep(ordered.mapInArrow(run, "part string, at int, head string, shared int, branches array<int>, chain array<string>"), "begins")
+    edges = found.where("at IS NOT NULL").orderBy("at").collect()  # one row per partition
+    across, waiting = [], []
+    for e in edges:
+        still = []
+        for p in waiting:
+            if not e.head.startswith(p) or not p:
+                continue
+            n = len(p)
+            if p[-1].isalnum() and (len(e.head) > n and e.head[n].isalnum() or n in e.branches):
+                across.append((p,))
+            elif e.shared >= n:
+                still.append(p)  # the whole partition begins with it, so the next may too
+        waiting = still + list(e.chain)
+    return found.where("part IS NOT NULL").select("part").unionByName(parts.sparkSession.createDataFrame(across, "part string")).distinct()
+
+
+def broken_pairs(runs: DataFrame, questions: DataFrame | None = None, least_posterior: float = 0.5) -> DataFrame:
+    """record_id, model_alias, defect (null if none), truncation (posterior), shortened, answer_lang, question_lang for every record.
+
+    questions: question_id, question, lang, from which the languages are fitted; without it no language is told. A null answer
+    is a refusal where error says that the model declined or was blocked, else empty. A null question has neither copies nor a
+    language. Repeated record_ids count once, null ones are left out. An empty table gives an empty result.
     """
     shelf = Shelf(runs.sparkSession)
-    rows = shelf.keep(judged(runs).withColumn("key", F.xxhash64("answer")), "rules")
-    cut = truncated(rows, complete=F.col("rule").isNotNull()).select("record_id", F.col("posterior").alias("truncation"))
-    texts = rows.where("rule IS NULL AND answer IS NOT NULL").groupBy("key").agg(F.first("answer").alias("text"))
-    short = shortened(texts, shelf).withColumn("shortened", F.lit(True))
-    one = rows.drop("answer").dropDuplicates(["record_id"])
-    joined = one.join(cut, "record_id", "left").join(short, "key", "left").fillna({"truncation": 0.0, "shortened": False})
-    broken = (F.col("truncation") >= least_posterior) | F.col("shortened")
-    defect = F.coalesce("rule", F.when(broken, "truncated").when(F.col("other"), "other_language"))
-    return joined.select("record_id", "model_alias", defect.alias("defect"), "truncation", "shortened", "answer_lang", "question_lang")
+    languages = Languages(labelled_rows(runs, questions)) if questions is not None else None
+    rows, inner = scored(runs, shelf, rules=Rules(languages), parts=True)
+    rows = shelf.keep(rows, "scored")
+    standing = inner.groupBy("part").agg(F.sum("inner").alias("inner"))
+    ends = rows.where(f"fragment IS NOT NULL AND NOT whole AND length(fragment) >= {PREFIX_LENGTH}")
+    every = standing.select("part", "inner", F.lit(False).alias("open")).unionByName(ends.groupBy(F.col("fragment").alias("part")).agg(F.lit(0).cast("bigint").alias("inner"), F.lit(True).alias("open")))
+    # an ending that also stands whole inside another text is no beginning
+    parts = every.groupBy("part").agg((F.max("open") & (F.sum("inner") == 0)).alias("open")).where("part <> ''")
+    short = begins_longer(parts, shelf).select(F.col("part").alias("fragment"), F.lit(True).alias("shortened"))
+    # an ending may be that of many records: those found are distinct, and rows without one keep out of the join
+    some, none = rows.where("fragment IS NOT NULL"), rows.where("fragment IS NULL").withColumn("shortened", F.lit(False))
+    joined = some.join(broadcast_if_small(short), "fragment", "left").fillna({"shortened": False}).unionByName(none)
+    odds = F.col("odds") * F.when(F.col("shortened"), PREFIX_ODDS).otherwise(1.0)
+    posterior = F.when(F.col("whole") | ~F.col("has_text"), 0.0).otherwise(odds / (1 + odds))
+    defect = F.coalesce("rule", F.when(posterior >= least_posterior, "truncated").when(F.col("other"), "other_language"))
+    return joined.select("record_id", F.nullif("source", F.lit("")).alias("model_alias"), defect.alias("defect"), posterior.alias("truncation"), "shortened", "answer_lang", "question_lang")

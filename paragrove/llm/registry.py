@@ -112,7 +112,7 @@ ORACLE["p1_found"] = "WITH " + ",\n".join(_PAIRS.format(t) for t in COLLECTIONS)
 
 def _cut(spark, sf):
     """Truncation of the answers; placeholders, failure messages and mere copies of the question are whole texts."""
-    return truncation.truncated(pairs.judged(table(spark, sf, "runs")), complete=F.col("rule").isNotNull())
+    return truncation.truncated(table(spark, sf, "runs"), rules=pairs.Rules(None))
 
 
 @query
@@ -127,13 +127,13 @@ def p3_rates(spark, sf):
 
 @query
 def p6_found(spark, sf):
-    return pairs.broken_pairs(table(spark, sf, "runs")).where("defect IS NOT NULL").select("record_id", "defect")
+    return pairs.broken_pairs(table(spark, sf, "runs"), table(spark, sf, "questions")).where("defect IS NOT NULL").select("record_id", "defect")
 
 
 @query
 def p6_rates(spark, sf):
     """Share of every defect per model_alias."""
-    per = pairs.broken_pairs(table(spark, sf, "runs")).groupBy("model_alias").pivot("defect", list(pairs.DEFECTS)).count().fillna(0)
+    per = pairs.broken_pairs(table(spark, sf, "runs"), table(spark, sf, "questions")).groupBy("model_alias").pivot("defect", list(pairs.DEFECTS)).count().fillna(0)
     return per
 
 

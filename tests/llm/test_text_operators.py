@@ -195,15 +195,60 @@ def run_rows():
     return [(*r, 1, "x", "y") for r in rows]
 
 
+QUESTIONS = [("q", "Where should the panel be placed on the road?", "en"), ("g", "Wer prüft die Tafel und wo muss sie stehen?", "de"), ("h", "Wann muss die Tafel auf der Straße von der Stadt geprüft werden?", "de"), ("e", "Who is the owner of the sign?", "en")]
+
+
 def test_pairs(spark):
     df = spark.createDataFrame(run_rows(), RUNS)
-    out = pairs.broken_pairs(df).collect()
+    asked = spark.createDataFrame(QUESTIONS, "question_id string, question string, lang string")
+    out = pairs.broken_pairs(df, asked).collect()
     got = {r.record_id: r.defect for r in out}
     assert len(out) == len(got) == 453
     want = {600: "empty", 601: "empty", 602: "refusal", 603: "empty", 604: "empty", 605: "empty", 606: "refusal", 607: "copies_question", 608: "other_language", 609: "error_text", 610: None, 611: "copies_question", 612: None}
     assert {k: got[k] for k in want} == want
     assert sum(got[i] is None for i in range(400)) >= 396 and sum(got[500 + i] == "truncated" for i in range(40)) >= 38
-    assert pairs.broken_pairs(df.limit(0)).count() == 0
+    assert pairs.broken_pairs(df.limit(0), asked).count() == 0 and pairs.broken_pairs(df, asked.limit(0)).where("defect = 'other_language'").isEmpty()
+
+
+def test_prefixes_of_longer_answers_decide(spark, monkeypatch):
+    """An answer that breaks off inside a word of a longer one is found by its sorted neighbours; without them it is not."""
+    whole = [f"The crew number {chr(97 + i)}{chr(97 + j)} shall maintain the reflective panels at the ramp" for i in range(20) for j in range(10)]
+    rows = [(i, "m", "q", "Who?", t, None, "ok", 1, "x", "y") for i, t in enumerate(whole)] + [(900, "m", "q", "Who?", "The crew number cc shall maintain the reflective pane", None, "ok", 1, "x", "y"), (901, "m", "q", "Who?", "Use these:\n- the reflective panels at the ramp\n- the reflective pane", None, "ok", 1, "x", "y")]
+    df = spark.createDataFrame(rows, RUNS)
+    found = lambda: {r.record_id: r.shortened for r in pairs.broken_pairs(df).collect()}
+    got = found()
+    assert got[900] and got[901] and sum(got.values()) == 2
+    monkeypatch.setattr(pairs, "begins_longer", lambda parts, shelf: parts.select("part").limit(0))
+    assert not any(found().values())
+
+
+def test_prefix_scan_is_exact_over_partitions(spark):
+    from paragrove.runtime import Shelf
+
+    rng = random.Random(9)
+    texts = sorted({"".join(rng.choice("ab -") for _ in range(rng.randint(1, 7))).strip() for _ in range(900)} | {"a" * n for n in range(1, 40)})
+    texts = [t for t in texts if t]
+    open_ = {t for t in texts if rng.random() < 0.5}
+    want = {p for p in open_ if p[-1].isalnum() and any(t != p and t.startswith(p) and t[len(p)].isalnum() for t in texts)}
+    for n in (1, 3, 16):
+        df = spark.createDataFrame([(t, t in open_) for t in texts], "part string, open boolean")
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = [r.part for r in pairs.begins_longer(df, Shelf(spark)).collect()]
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_rules_read_whole_answers():
+    q = "Where should the panel be placed on the road?"
+    rules = pairs.Rules(None)
+    late = "You ask about the panel. You ask where on the road. The panel on the road is the panel. Where should it be placed? I cannot answer that question."
+    assert rules(late, q, None)[0] == "refusal"
+    useful = " ".join(f"The crew must keep panel {w} clear and check it daily." for w in ("north", "south", "east", "west", "upper", "lower")) + " I cannot comment on costs."
+    assert rules(useful, q, None)[0] is None
+    assert rules(" ".join([q] * 6), q, None)[0] == "copies_question"
+    assert rules("**" + "=" * 80 + " N/A **", q, None)[0] == "empty"
 
 
 def test_truncation(spark):
