@@ -1,4 +1,4 @@
-"""The property graph as two tables, nodes(id, kind, unresolved) and edges(src, dst, label), and its traversals.
+"""The property graph as two tables, nodes (id, kind, manual, unresolved, attributes) and edges (src, dst, label), and its traversals.
 
 Node ids carry the manual, so one build holds many manuals. Edges are distinct. Traversals grow a frontier that is joined to
 the edges and stripped of visited nodes, with the lineage cut by a written table after every hop.
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paragrove.functions import text
-from paragrove.functions.ids import reference_key
+from paragrove.functions.ids import normalize_dashes, reference_key
 from paragrove.runtime import Shelf
 
 
@@ -23,7 +23,7 @@ def node(kind: str, *parts) -> Column:
 
 @dataclass(frozen=True)
 class Graph:
-    """nodes: id, kind, manual, unresolved; edges: src, dst, label."""
+    """nodes: id, kind, manual, unresolved, ATTRIBUTES; edges: src, dst, label."""
 
     nodes: DataFrame
     edges: DataFrame
@@ -40,60 +40,181 @@ def exploded_refs(chunks: DataFrame) -> DataFrame:
     return out.where("ref <> ''").distinct()
 
 
-def anchors(refs: DataFrame, figures: DataFrame) -> DataFrame:
-    """manual, kind, ref, section_id: the section that anchors a figure.
+def anchors_of(known: DataFrame) -> DataFrame:
+    """manual, kind, ref, section_id, n: the section that anchors each figure of known references.
 
     Sections of the figure's own chapter come first, then those with the most citing chunks, then the smaller id.
     """
-    have = figures.select("manual", "kind", reference_key(F.col("canonical_id")).alias("ref")).distinct()
-    counts = refs.join(have, ["manual", "kind", "ref"], "left_semi").groupBy("manual", "kind", "ref", "section_id").agg(F.count("*").alias("n"))
+    counts = known.groupBy("manual", "kind", "ref", "section_id").agg(F.count("*").alias("n"))
     own = F.upper("section_id").startswith(F.concat(F.upper(text.chapter_of(F.col("ref"))), F.lit(".")))
-    w = Window.partitionBy("manual", "kind", "ref").orderBy(own.desc(), F.col("n").desc(), "section_id")
-    return counts.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("manual", "kind", "ref", "section_id", "n")
+    best = F.min_by(F.struct("section_id", "n"), F.struct((~own).cast("int"), -F.col("n"), "section_id"))
+    return counts.groupBy("manual", "kind", "ref").agg(best.alias("b")).select("manual", "kind", "ref", "b.section_id", "b.n")
+
+
+def anchors(refs: DataFrame, figures: DataFrame) -> DataFrame:
+    """anchors_of() the references that find a figure."""
+    have = figures.select("manual", "kind", reference_key(F.col("canonical_id")).alias("ref")).distinct()
+    return anchors_of(refs.join(have, ["manual", "kind", "ref"], "left_semi"))
+
+
+#: Attributes of a node; null where a kind has none.
+ATTRIBUTES = ("title", "page_pdf", "page_printed", "content_type", "ordinal", "n_sheets")
+
+
+def _node(node_id: Column, kind: Column | str, manual: Column, unresolved: bool = False, **have) -> Column:
+    types = {"page_pdf": "int", "ordinal": "int", "n_sheets": "bigint"}
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return F.struct(node_id.alias("id"), kind.alias("kind"), manual.alias("manual"), F.lit(unresolved).alias("unresolved"), *[have.get(c, F.lit(None)).cast(types.get(c, "string")).alias(c) for c in ATTRIBUTES])
+
+
+def _edge(src: Column, dst: Column, label: Column | str) -> Column:
+    return F.struct(src.alias("src"), dst.alias("dst"), (F.lit(label) if isinstance(label, str) else label).alias("label"))
+
+
+def section_key(c: Column) -> Column:
+    """A section reference without kind word and blanks, upper case."""
+    return F.upper(F.regexp_replace(F.regexp_replace(c, r"(?i)^\s*sec(?:tion|t\.?)?\s*", ""), r"\s+", ""))
 
 
 def build(chunks: DataFrame, figures: DataFrame) -> Graph:
-    """The graph of deduplicated chunks and live figures.
+    """The graph of deduplicated chunks and live figures; nodes: id, kind, manual, unresolved, ATTRIBUTES; edges: src, dst, label.
 
     Missing parts and chapters become 'Part ?' and 'Chapter ?'. Cited but absent figures and sections become unresolved
-    placeholder nodes; a node that exists anywhere is resolved. Figures with several sheets are one node.
+    placeholder nodes; a node that exists anywhere is resolved. Figures with several sheets are one node, with the attributes
+    of the first sheet. A section has those of its first chunk by page, ordinal and id. A figure depicts its own codes, those of
+    the chunks that cite it and those of the chunks on its page. One scan of the chunks gives all their nodes and edges.
     """
-    c = chunks.withColumns({"part": F.coalesce("part", F.lit("Part ?")), "chapter": F.coalesce("chapter", F.lit("Chapter ?"))})
+    shelf = Shelf(chunks.sparkSession)
+    m = F.col("manual")
+    norm = lambda refs, key: F.filter(F.array_distinct(F.transform(F.coalesce(refs, F.array().cast("array<string>")), key)), lambda x: x.isNotNull() & (x != ""))
+    c = chunks.select("manual", F.coalesce("part", F.lit("Part ?")).alias("part"), F.coalesce("chapter", F.lit("Chapter ?")).alias("chapter"), "section_id", "section_title", "chunk_id", "content_type", "ordinal", "page_pdf", "page_printed",
+                      norm(F.col("figure_refs"), reference_key).alias("figs"), norm(F.col("table_refs"), reference_key).alias("tabs"), norm(F.col("sign_codes"), lambda x: F.upper(F.trim(x))).alias("codes"), norm(F.col("section_refs"), section_key).alias("secs"))
     part, chapter, section, chunk = node("part", "manual", "part"), node("chapter", "manual", "chapter"), node("section", "manual", "section_id"), node("chunk", "chunk_id")
-    refs = exploded_refs(chunks)
+    of = lambda kind, x: F.concat(F.lit(f"{kind}:"), F.concat_ws("/", m, x))
+    other = F.filter("secs", lambda x: x != F.col("section_id"))
+    none = F.lit(None).cast("string")
+    code = lambda x: F.concat(F.lit("signcode:"), x)
+    cat = lambda x: F.concat(F.lit("category:"), text.category(x))
+    edges = F.concat(
+        F.array(_edge(part, chapter, "contains"), _edge(chapter, section, "contains"), _edge(section, chunk, "contains")),
+        F.transform("figs", lambda x: _edge(chunk, of("figure", x), "cites_figure")), F.transform("tabs", lambda x: _edge(chunk, of("table", x), "cites_table")), F.transform(other, lambda x: _edge(chunk, of("section", x), "cites_section")),
+        F.transform("codes", lambda x: _edge(chunk, code(x), "mentions")), F.transform("codes", lambda x: _edge(code(x), cat(x), "kind_of")), F.transform("codes", lambda x: _edge(section, code(x), "defines")))
+    order = F.struct(F.coalesce("page_pdf", F.lit(-1)), F.coalesce("ordinal", F.lit(-1)), "chunk_id")
+    nodes = F.concat(
+        F.array(_node(part, "Part", m, title=F.col("part")), _node(chapter, "Chapter", m, title=F.col("chapter")), _node(section, "Section", m, title=F.col("section_title"), page_pdf=F.col("page_pdf"), page_printed=F.col("page_printed")),
+                _node(chunk, "Chunk", m, page_pdf=F.col("page_pdf"), page_printed=F.col("page_printed"), content_type=F.col("content_type"), ordinal=F.col("ordinal"))),
+        F.transform("codes", lambda x: _node(code(x), "SignCode", none)), F.transform("codes", lambda x: _node(cat(x), "Category", none, title=text.category(x))),
+        F.transform("figs", lambda x: _node(of("figure", x), "FigureRef", m, True)), F.transform("tabs", lambda x: _node(of("table", x), "TableRef", m, True)), F.transform(other, lambda x: _node(of("section", x), "SectionRef", m, True)))
+    first = F.struct("unresolved", "kind", "order")
+    merged = lambda df: df.groupBy("id").agg(F.min_by(F.struct("kind", "manual", *ATTRIBUTES), first).alias("r"), F.min(first).alias("first")).select("id", "r.*", "first")
+    of_chunks = merged(c.select(order.alias("order"), F.explode(nodes).alias("n")).select("order", "n.*"))
+
+    f = figures.select("manual", "kind", reference_key(F.col("canonical_id")).alias("ref"), "page_pdf", "page_printed", F.coalesce("title", "caption").alias("title"), "sheet", "figure_key", norm(F.col("sign_codes_depicted"), lambda x: F.upper(F.trim(x))).alias("codes"))
+    f = shelf.keep(f, "figs")
     target = F.when(F.col("kind") == "Figure", node("figure", "manual", "ref")).otherwise(node("table", "manual", "ref"))
-    codes = chunks.select("manual", "section_id", "chunk_id", F.explode("sign_codes").alias("code")).withColumn("code", F.upper(F.trim("code"))).where("code <> ''").distinct()
-    code, cat = node("signcode", "code"), node("category", text.category(F.col("code")))
-    secs = chunks.select("manual", "chunk_id", "section_id", F.explode("section_refs").alias("ref")).withColumn("ref", F.upper(F.regexp_replace(F.regexp_replace("ref", r"(?i)^\s*sec(?:tion|t\.?)?\s*", ""), r"\s+", ""))).where("ref <> '' AND ref <> section_id").distinct()
-    figs = figures.select("manual", "kind", reference_key(F.col("canonical_id")).alias("ref"), "page_pdf", F.explode_outer("sign_codes_depicted").alias("code"))
-    at = F.min_by("section_id", F.struct("ordinal", "chunk_id"))
-    pages = chunks.groupBy("manual", "page_pdf").agg(at.alias("section_id"))
+    head = F.struct(F.coalesce("sheet", F.lit(1)), F.coalesce("page_pdf", F.lit(-1)), "figure_key")
+    ids = f.groupBy("manual", "kind", "ref").agg(F.min_by(F.struct("title", "page_pdf", "page_printed"), head).alias("h"), F.count("*").alias("n"))
+    of_figures = ids.select(_node(target, F.col("kind"), m, title=F.col("h.title"), page_pdf=F.col("h.page_pdf"), page_printed=F.col("h.page_printed"), n_sheets=F.col("n")).alias("n")).select("n.*")
+    drawn = f.select(F.explode("codes").alias("x")).distinct().select(_node(code(F.col("x")), "SignCode", none).alias("n")).select("n.*")
+    lone = F.struct(F.lit(-1).alias("col1"), F.lit(-1).alias("col2"), F.lit("").alias("chunk_id"))
+    flat = of_figures.unionByName(drawn).select("id", F.struct("kind", "manual", *ATTRIBUTES).alias("r"), F.struct("unresolved", "kind", lone.alias("order")).alias("first")).select("id", "r.*", "first")
+    all_nodes = of_chunks.unionByName(flat).groupBy("id").agg(F.min_by(F.struct("kind", "manual", *ATTRIBUTES), "first").alias("r"), F.min("first").alias("first")).where("id IS NOT NULL").select("id", "r.kind", "r.manual", "first.unresolved", *[f"r.{a}" for a in ATTRIBUTES])
+
+    refs = c.select("manual", "section_id", "chunk_id", "page_pdf", "codes", F.explode(F.concat(F.transform("figs", lambda x: F.struct(F.lit("Figure").alias("kind"), x.alias("ref"))), F.transform("tabs", lambda x: F.struct(F.lit("Table").alias("kind"), x.alias("ref"))))).alias("r")).select("manual", "section_id", "chunk_id", "page_pdf", "codes", "r.*")
+    known = shelf.keep(refs.join(ids.select("manual", "kind", "ref"), ["manual", "kind", "ref"], "left_semi"), "known")
+    at = F.min_by("section_id", F.struct(F.col("ordinal"), F.col("chunk_id")))
+    pages = c.groupBy("manual", "page_pdf").agg(at.alias("section_id"))
+    page_codes = c.select("manual", "page_pdf", F.explode("codes").alias("code")).distinct()
     short = chunks.where("chapter IS NOT NULL").select("manual", "chapter", F.upper(F.regexp_extract("chapter", r"(?i)^Chapter\s+([0-9A-Z]+)\b", 1)).alias("short")).where("short <> ''").groupBy("manual", "short").agg(F.min("chapter").alias("chapter"))
-    ids = figs.select("manual", "kind", "ref").distinct()
-
     e = lambda df, s, d, label: df.select(s.alias("src"), d.alias("dst"), F.lit(label).alias("label"))
-    edges = [
-        e(c, part, chapter, "contains"), e(c, chapter, section, "contains"), e(c, section, chunk, "contains"),
-        refs.select(chunk.alias("src"), target.alias("dst"), F.when(F.col("kind") == "Figure", "cites_figure").otherwise("cites_table").alias("label")),
-        e(secs, chunk, node("section", "manual", "ref"), "cites_section"), e(codes, chunk, code, "mentions"), e(codes, code, cat, "kind_of"), e(codes, section, code, "defines"),
-        e(figs.where("code IS NOT NULL").withColumn("code", F.upper(F.trim("code"))), target, code, "depicts"),
+    parts = [
+        c.select(F.explode(edges).alias("e")).select("e.*"),
+        e(f.withColumn("code", F.explode("codes")), target, node("signcode", "code"), "depicts"),
+        e(known.withColumn("code", F.explode("codes")), target, node("signcode", "code"), "depicts"),
+        e(f.join(page_codes, ["manual", "page_pdf"]), target, node("signcode", "code"), "depicts"),
         e(ids.withColumn("short", F.upper(text.chapter_of(F.col("ref")))).join(short, ["manual", "short"]), target, chapter, "belongs_to_chapter"),
-        e(figs.join(pages, ["manual", "page_pdf"]), target, section, "on_page_of"),
-        e(refs.join(ids, ["manual", "kind", "ref"], "left_semi"), target, section, "cited_in"),
-        e(anchors(refs, figures), target, section, "anchored_in")]
-    all_edges = edges[0]
-    for x in edges[1:]:
+        e(f.join(pages, ["manual", "page_pdf"]), target, section, "on_page_of"),
+        e(known, target, section, "cited_in"),
+        e(anchors_of(known), target, section, "anchored_in")]
+    all_edges = parts[0]
+    for x in parts[1:]:
         all_edges = all_edges.unionByName(x)
-    all_edges = all_edges.where("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    n = lambda df, i, kind: df.select(i.alias("id"), F.lit(kind).alias("kind"), "manual", F.lit(False).alias("unresolved"))
-    real = n(c, part, "Part").unionByName(n(c, chapter, "Chapter")).unionByName(n(c, section, "Section")).unionByName(n(c, chunk, "Chunk"))
-    real = real.unionByName(ids.select(target.alias("id"), "kind", "manual", F.lit(False).alias("unresolved")))
-    free = codes.withColumn("manual", F.lit(None).cast("string"))
-    more = figs.where("code IS NOT NULL").withColumn("code", F.upper(F.trim("code"))).withColumn("manual", F.lit(None).cast("string"))
-    real = real.unionByName(n(free, code, "SignCode")).unionByName(n(more, code, "SignCode")).unionByName(n(free, cat, "Category"))
-    holder = refs.select(target.alias("id"), F.concat("kind", F.lit("Ref")).alias("kind"), "manual", F.lit(True).alias("unresolved")).unionByName(secs.select(node("section", "manual", "ref").alias("id"), F.lit("SectionRef").alias("kind"), "manual", F.lit(True).alias("unresolved")))
-    nodes = real.unionByName(holder).where("id IS NOT NULL").groupBy("id").agg(F.min_by(F.struct("kind", "manual"), F.struct("unresolved", "kind")).alias("r"), F.min("unresolved").alias("unresolved")).select("id", "r.kind", "r.manual", "unresolved")
-    return Graph(nodes, all_edges)
+    return Graph(all_nodes, all_edges.where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+
+
+def write(g: Graph, path: str) -> None:
+    """Nodes and edges as two Parquet tables; what is there is replaced."""
+    g.nodes.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/nodes")
+    g.edges.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/edges")
+
+
+def read(spark, path: str) -> Graph:
+    """A graph as write() leaves it."""
+    return Graph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
+
+
+def aliases(nodes: DataFrame) -> DataFrame:
+    """manual, alias, id of resolved figures and tables: 'FIGURE 2B-14', and '2B-14' for the first of them by kind."""
+    known = nodes.where("NOT unresolved AND kind IN ('Figure', 'Table')").select("manual", "id", "kind", F.element_at(F.split("id", "[:/]"), -1).alias("ref"))
+    full = known.select("manual", F.concat(F.upper("kind"), F.lit(" "), "ref").alias("alias"), "id")
+    return full.unionByName(known.groupBy("manual", F.col("ref").alias("alias")).agg(F.min_by("id", "kind").alias("id")))
+
+
+def figure_alias(c: Column) -> Column:
+    """A figure name in the spelling of aliases(): '2B-14', 'Figure 2B-14' and 'figure:Figure 2B-14' find their node."""
+    bare = F.trim(F.regexp_replace(F.trim(normalize_dashes(c)), r"(?i)^figure:", ""))
+    return F.upper(F.regexp_replace(text.canonical_spacing(bare), r"\s*-\s*", "-"))
+
+
+def lookup_figures(names: DataFrame, nodes: DataFrame) -> DataFrame:
+    """names (manual, name) with id; null where the manual has no such figure or table."""
+    return names.withColumn("alias", figure_alias(F.col("name"))).join(aliases(nodes), ["manual", "alias"], "left").drop("alias")
+
+
+def known_citations(cited: DataFrame, nodes: DataFrame) -> DataFrame:
+    """cited (kind: section, figure, table or signcode; name) with known: whether any manual has such a resolved node."""
+    have = nameable(nodes).select(F.split_part("tail", F.lit("/"), F.lit(1)).alias("kind"), F.split_part("tail", F.lit("/"), F.lit(2)).alias("key")).distinct().withColumn("known", F.lit(True))
+    key = F.when(F.col("kind").isin("figure", "table"), reference_key(F.col("name"))).when(F.col("kind") == "signcode", F.upper(F.trim("name"))).otherwise(section_key(F.col("name")))
+    return cited.withColumn("key", key).join(have, ["kind", "key"], "left").drop("key").fillna({"known": False})
+
+
+def seeds_of(targets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """qid, id: the nodes that a target names. targets: qid, kind (section, signcode, question), target; an unknown kind names none."""
+    sections = targets.where("kind = 'section'").select("qid", section_key(F.col("target")).alias("key")).join(nodes.where("kind = 'Section'").select("id", F.element_at(F.split("id", "/"), -1).alias("key")), "key").select("qid", "id")
+    codes = targets.where("kind = 'signcode'").select("qid", F.concat(F.lit("signcode:"), F.upper(F.trim("target"))).alias("id")).join(nodes.select("id"), "id").select("qid", "id")
+    asked = query_entities(targets.where("kind = 'question'").select("qid", F.col("target").alias("question")), nodes)
+    return sections.unionByName(codes).unionByName(asked.select("qid", "id")).distinct()
+
+
+VIEWS = ("overview", "kinds", "labels", "neighborhood", "subgraph")
+
+
+def view(g: Graph, name: str, targets: DataFrame | None = None, hops: int = 1, most: int = 80) -> DataFrame:
+    """The data of a view of the graph. An unknown view, or a neighborhood without targets, raises a ValueError.
+
+    overview: part, chapter, n_sections; kinds and labels: counts; neighborhood: the nodes within so many hops of every
+    target, at most `most`; subgraph: the edges among sections, figures and tables.
+    """
+    if name not in VIEWS:
+        raise ValueError(f"unknown view {name!r}; there are {', '.join(VIEWS)}")
+    if name == "neighborhood":
+        if targets is None:
+            raise ValueError("a neighborhood needs targets")
+        return trim(reach(g.edges, seeds_of(targets, g.nodes), hops), g.nodes, most)
+    if name == "overview":
+        links = g.edges.where("label = 'contains' AND src LIKE 'part:%'").select(F.col("src").alias("part"), F.col("dst").alias("chapter"))
+        inner = g.edges.where("label = 'contains' AND src LIKE 'chapter:%'").groupBy(F.col("src").alias("chapter")).agg(F.count("*").alias("n_sections"))
+        return links.join(inner, "chapter", "left").select("part", "chapter", F.coalesce("n_sections", F.lit(0)).alias("n_sections"))
+    if name == "subgraph":
+        return induced(g.edges, g.nodes.where("kind IN ('Section', 'Figure', 'Table')").select("id"))
+    return g.nodes.groupBy("kind").agg(F.count("*").alias("n")) if name == "kinds" else g.edges.groupBy("label").agg(F.count("*").alias("n"))
+
+
+def display_label(kind: Column, node_id: Column, title: Column, most: int = 28) -> Column:
+    """A short label: the title or the last part of the id, cut to `most` characters with an ellipsis."""
+    tail = F.element_at(F.split(node_id, "[:/]"), -1)
+    full = F.when(kind.isin("Part", "Chapter", "Category"), F.coalesce(title, tail)).when(kind.isin("Figure", "Table"), F.concat(kind, F.lit(" "), tail)).when(kind == "Section", F.concat(F.lit("§"), tail)).otherwise(tail)
+    return F.when(F.length(full) > most, F.concat(F.substring(full, 1, most - 1), F.lit("…"))).otherwise(full)
 
 
 def undirected(edges: DataFrame) -> DataFrame:

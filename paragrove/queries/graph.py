@@ -10,9 +10,28 @@ from paragrove.queries.text import C, CATEGORY, FIG, REF_KEY, chunks, figures
 from paragrove.runtime import Shelf, table
 
 
+_BUILT: dict[tuple, str] = {}
+
+
+def fingerprint(spark, sf, *names) -> tuple:
+    """Session, files, sizes and times of tables: the same as long as they are."""
+    hadoop, out = spark._jvm.org.apache.hadoop.fs, [spark.sparkContext.applicationId]
+    for name in names:
+        path = hadoop.Path(f"{sf}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+        out += [(str(f.getPath()), f.getLen(), f.getModificationTime()) for f in files]
+    return tuple(out)
+
+
 def built(spark, sf):
-    g = graph.build(chunks(spark, sf), figures(spark, sf))
-    return g
+    """The graph of a data directory, built once a session and read by every query after that, as long as its files are the same."""
+    key = fingerprint(spark, sf, "chunks", "figures")
+    if key not in _BUILT:
+        shelf = Shelf(spark)
+        g = graph.build(chunks(spark, sf), figures(spark, sf))
+        shelf.keep(g.nodes, "nodes"), shelf.keep(g.edges, "edges")
+        _BUILT[key] = shelf.root
+    return graph.read(spark, _BUILT[key])
 
 
 def kg_nodes(spark, sf):
@@ -145,8 +164,10 @@ G = f"""{C}, {FIG},
 refs AS (SELECT DISTINCT * FROM (SELECT manual, section_id, chunk_id, page_pdf, 'Figure' AS kind, {_K('r')} AS ref FROM (SELECT *, unnest(figure_refs) AS r FROM c) UNION ALL SELECT manual, section_id, chunk_id, page_pdf, 'Table', {_K('r')} FROM (SELECT *, unnest(table_refs) AS r FROM c)) WHERE ref <> ''),
 codes AS (SELECT DISTINCT manual, section_id, chunk_id, upper(trim(k)) AS code FROM (SELECT *, unnest(sign_codes) AS k FROM c) WHERE trim(k) <> ''),
 secs AS (SELECT * FROM (SELECT DISTINCT manual, chunk_id, section_id, upper(regexp_replace(regexp_replace(r, '(?i)^\\s*sec(?:tion|t\\.?)?\\s*', ''), '\\s+', '', 'g')) AS ref FROM (SELECT *, unnest(section_refs) AS r FROM c)) WHERE ref <> '' AND ref <> section_id),
-figs AS (SELECT manual, kind, {_K('canonical_id')} AS ref, page_pdf, sign_codes_depicted FROM f), ids AS (SELECT DISTINCT manual, kind, ref FROM figs),
-fcodes AS (SELECT manual, kind, ref, upper(trim(k)) AS code FROM (SELECT *, unnest(sign_codes_depicted) AS k FROM figs)),
+figs AS (SELECT manual, kind, {_K('canonical_id')} AS ref, page_pdf, page_printed, coalesce(title, caption) AS title, sheet, figure_key, sign_codes_depicted FROM f), ids AS (SELECT DISTINCT manual, kind, ref FROM figs),
+fcodes AS (SELECT manual, kind, ref, upper(trim(k)) AS code FROM (SELECT *, unnest(sign_codes_depicted) AS k FROM figs) WHERE trim(k) <> ''),
+cp AS (SELECT DISTINCT manual, page_pdf, code FROM codes JOIN (SELECT chunk_id, page_pdf FROM c) USING (chunk_id)),
+depicted AS (SELECT manual, kind, ref, code FROM fcodes UNION SELECT r.manual, kind, ref, code FROM refs r SEMI JOIN ids USING (manual, kind, ref) JOIN codes USING (manual, chunk_id) UNION SELECT manual, kind, ref, code FROM figs JOIN cp USING (manual, page_pdf)),
 pages AS (SELECT manual, page_pdf, arg_min(section_id, row(ordinal, chunk_id)) AS section_id FROM c GROUP BY 1, 2),
 short AS (SELECT manual, upper(regexp_extract(chapter, '(?i)^Chapter\\s+([0-9A-Z]+)\\b', 1)) AS short, min(chapter) AS chapter FROM c WHERE chapter IS NOT NULL GROUP BY 1, 2 HAVING short <> ''),
 anc AS (SELECT manual, kind, ref, section_id, count(*) AS n FROM refs SEMI JOIN ids USING (manual, kind, ref) GROUP BY manual, kind, ref, section_id QUALIFY row_number() OVER (PARTITION BY manual, kind, ref ORDER BY starts_with(upper(section_id), upper(split_part(ref, '-', 1)) || '.') DESC, count(*) DESC, section_id) = 1),
@@ -159,16 +180,19 @@ UNION ALL SELECT 'chunk:' || chunk_id, 'section:' || manual || '/' || ref, 'cite
 UNION ALL SELECT 'chunk:' || chunk_id, 'signcode:' || code, 'mentions' FROM codes
 UNION ALL SELECT 'signcode:' || code, 'category:' || {CATEGORY}, 'kind_of' FROM codes
 UNION ALL SELECT 'section:' || manual || '/' || section_id, 'signcode:' || code, 'defines' FROM codes
-UNION ALL SELECT {_T}, 'signcode:' || code, 'depicts' FROM fcodes
+UNION ALL SELECT {_T}, 'signcode:' || code, 'depicts' FROM depicted
 UNION ALL SELECT {_T}, 'chapter:' || manual || '/' || chapter, 'belongs_to_chapter' FROM (SELECT *, upper(split_part(ref, '-', 1)) AS short FROM ids) JOIN short USING (manual, short)
 UNION ALL SELECT {_T}, 'section:' || manual || '/' || section_id, 'on_page_of' FROM figs JOIN pages USING (manual, page_pdf)
 UNION ALL SELECT {_T}, 'section:' || manual || '/' || section_id, 'cited_in' FROM refs SEMI JOIN ids USING (manual, kind, ref)
 UNION ALL SELECT {_T}, 'section:' || manual || '/' || section_id, 'anchored_in' FROM anc) WHERE src IS NOT NULL AND dst IS NOT NULL),
-nodes0 AS (SELECT 'part:' || manual || '/' || coalesce(part, 'Part ?') AS id, 'Part' AS kind, manual, false AS unresolved FROM c UNION ALL SELECT 'chapter:' || manual || '/' || coalesce(chapter, 'Chapter ?'), 'Chapter', manual, false FROM c
-UNION ALL SELECT 'section:' || manual || '/' || section_id, 'Section', manual, false FROM c UNION ALL SELECT 'chunk:' || chunk_id, 'Chunk', manual, false FROM c UNION ALL SELECT {_T}, kind, manual, false FROM ids
-UNION ALL SELECT 'signcode:' || code, 'SignCode', NULL, false FROM codes UNION ALL SELECT 'signcode:' || code, 'SignCode', NULL, false FROM fcodes UNION ALL SELECT 'category:' || {CATEGORY}, 'Category', NULL, false FROM codes
-UNION ALL SELECT {_T}, kind || 'Ref', manual, true FROM refs UNION ALL SELECT 'section:' || manual || '/' || ref, 'SectionRef', manual, true FROM secs),
-nodes AS (SELECT id, arg_min(row(kind, manual), row(unresolved, kind))[1] AS kind, arg_min(row(kind, manual), row(unresolved, kind))[2] AS manual, bool_and(unresolved) AS unresolved FROM nodes0 WHERE id IS NOT NULL GROUP BY id),
+n0 AS (SELECT 'part:' || manual || '/' || coalesce(part, 'Part ?') AS id, 'Part' AS kind, manual, false AS unresolved, coalesce(part, 'Part ?') AS title, NULL::INT AS page_pdf, NULL AS page_printed, NULL AS content_type, NULL::INT AS ordinal, NULL::BIGINT AS n_sheets, coalesce(page_pdf, -1) AS o1, coalesce(ordinal, -1) AS o2, chunk_id AS o3 FROM c
+UNION ALL SELECT 'chapter:' || manual || '/' || coalesce(chapter, 'Chapter ?'), 'Chapter', manual, false, coalesce(chapter, 'Chapter ?'), NULL, NULL, NULL, NULL, NULL, coalesce(page_pdf, -1), coalesce(ordinal, -1), chunk_id FROM c
+UNION ALL SELECT 'section:' || manual || '/' || section_id, 'Section', manual, false, section_title, page_pdf, page_printed, NULL, NULL, NULL, coalesce(page_pdf, -1), coalesce(ordinal, -1), chunk_id FROM c
+UNION ALL SELECT 'chunk:' || chunk_id, 'Chunk', manual, false, NULL, page_pdf, page_printed, content_type, ordinal, NULL, coalesce(page_pdf, -1), coalesce(ordinal, -1), chunk_id FROM c
+UNION ALL SELECT {_T}, kind, manual, false, arg_min(row(title), row(coalesce(sheet, 1), coalesce(page_pdf, -1), figure_key))[1], arg_min(row(page_pdf), row(coalesce(sheet, 1), coalesce(page_pdf, -1), figure_key))[1], arg_min(row(page_printed), row(coalesce(sheet, 1), coalesce(page_pdf, -1), figure_key))[1], NULL, NULL, count(*), -1, -1, '' FROM figs GROUP BY manual, kind, ref
+UNION ALL SELECT DISTINCT 'signcode:' || code, 'SignCode', NULL, false, NULL, NULL, NULL, NULL, NULL, NULL::BIGINT, -1, -1, '' FROM (SELECT code FROM codes UNION SELECT code FROM fcodes) UNION ALL SELECT DISTINCT 'category:' || {CATEGORY}, 'Category', NULL, false, {CATEGORY}, NULL, NULL, NULL, NULL, NULL::BIGINT, -1, -1, '' FROM codes
+UNION ALL SELECT DISTINCT {_T}, kind || 'Ref', manual, true, NULL, NULL, NULL, NULL, NULL, NULL::BIGINT, -1, -1, '' FROM refs UNION ALL SELECT DISTINCT 'section:' || manual || '/' || ref, 'SectionRef', manual, true, NULL, NULL, NULL, NULL, NULL, NULL::BIGINT, -1, -1, '' FROM secs),
+nodes AS (SELECT * EXCLUDE (o1, o2, o3) FROM n0 WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY unresolved, kind, o1, o2, o3) = 1),
 ug AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges)"""
 ORACLE = {
     "kg_nodes": f"WITH {G} SELECT * FROM nodes",
@@ -177,10 +201,10 @@ ORACLE = {
     "kg_label_counts": f"WITH {G} SELECT label, count(*) AS n FROM edges GROUP BY 1",
     "kg_build_stats": f"WITH {G} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM nodes WHERE kind IN ('Figure', 'Table') AND NOT unresolved) AS resolved_figures, (SELECT count(*) FROM nodes WHERE unresolved) AS unresolved, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM edges WHERE label = 'anchored_in') AS anchored, (SELECT list(id ORDER BY id) FROM (SELECT id FROM nodes WHERE unresolved ORDER BY id LIMIT 20)) AS unresolved_sample",
     "kg_anchor": f"WITH {G} SELECT * FROM anc",
-    "kg_signcode_backfill": f"WITH {G}, cp AS (SELECT DISTINCT manual, page_pdf, code FROM codes JOIN (SELECT chunk_id, page_pdf FROM c) USING (chunk_id)), u AS (SELECT r.manual, kind, ref, code FROM refs r SEMI JOIN ids USING (manual, kind, ref) JOIN codes USING (manual, chunk_id) UNION SELECT manual, kind, ref, code FROM figs JOIN cp USING (manual, page_pdf)) SELECT manual, kind, ref, list_sort(list(DISTINCT code)) AS codes FROM u GROUP BY 1, 2, 3",
+    "kg_signcode_backfill": f"WITH {G}, u AS (SELECT r.manual, kind, ref, code FROM refs r SEMI JOIN ids USING (manual, kind, ref) JOIN codes USING (manual, chunk_id) UNION SELECT manual, kind, ref, code FROM figs JOIN cp USING (manual, page_pdf)) SELECT manual, kind, ref, list_sort(list(DISTINCT code)) AS codes FROM u GROUP BY 1, 2, 3",
     "kg_degree_top15": f"WITH {G}, d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1) SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY degree DESC, id) AS rank, id, degree FROM d JOIN nodes USING (id) WHERE kind IN ('Section', 'SignCode') QUALIFY rank <= 15",
-    "kg_nhop": f"""WITH {G}, s0 AS (SELECT id AS qid, id, 0 AS depth FROM nodes WHERE kind = 'Section' AND id LIKE '%.05'), s1 AS (SELECT DISTINCT qid, b AS id, 1 AS depth FROM s0 JOIN ug ON id = a), v1 AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1 ANTI JOIN s0 USING (qid, id)),
-s2 AS (SELECT DISTINCT qid, b AS id, 2 AS depth FROM (SELECT * FROM v1 WHERE depth = 1 AND NOT regexp_matches(id, '^(part|chapter|category):')) JOIN ug ON id = a) SELECT qid, depth, count(*) AS n FROM (SELECT * FROM v1 UNION ALL SELECT * FROM s2 ANTI JOIN v1 USING (qid, id)) GROUP BY 1, 2""",
+    "kg_nhop": f"""WITH {G}, s0 AS (SELECT id AS qid, id, 0 AS depth FROM nodes WHERE kind = 'Section'), s1 AS (SELECT DISTINCT qid, b AS id, 1 AS depth FROM s0 JOIN ug ON id = a), v1 AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1 ANTI JOIN s0 USING (qid, id)),
+s2 AS (SELECT DISTINCT qid, b AS id, 2 AS depth FROM (SELECT * FROM v1 WHERE depth = 1) JOIN ug ON id = a) SELECT qid, depth, count(*) AS n FROM (SELECT * FROM v1 UNION ALL SELECT * FROM s2 ANTI JOIN v1 USING (qid, id)) GROUP BY 1, 2""",
     "kg_proximity": f"""WITH {G}, s0 AS (SELECT manual AS qid, min(id) AS id, 0 AS depth FROM nodes WHERE kind = 'Figure' AND NOT unresolved GROUP BY manual), s1 AS (SELECT DISTINCT qid, b AS id, 1 AS depth FROM s0 JOIN ug ON id = a), s2 AS (SELECT DISTINCT qid, b AS id, 2 AS depth FROM s1 JOIN ug ON id = a), s3 AS (SELECT DISTINCT qid, b AS id, 3 AS depth FROM s2 JOIN ug ON id = a),
 m AS (SELECT qid, id, min(depth) AS d FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3) GROUP BY 1, 2), k AS (SELECT manual AS qid, 'chunk:' || chunk_id AS id FROM c) SELECT qid, round(CASE WHEN d IS NULL THEN 0.0::DOUBLE ELSE 1 / (1 + d) END, 6) AS score, count(*) AS n FROM k LEFT JOIN m USING (qid, id) GROUP BY 1, 2""",
     "kg_figures_for_section": f"WITH {G}, p AS (SELECT dst AS section, src AS figure, min(CASE label WHEN 'anchored_in' THEN 0 ELSE 1 END) AS tier FROM edges WHERE label IN ('anchored_in', 'cited_in') GROUP BY 1, 2) SELECT section, figure, tier, row_number() OVER (PARTITION BY section ORDER BY tier, figure) AS rank FROM p",
@@ -190,7 +214,7 @@ m AS (SELECT qid, id, min(depth) AS d FROM (SELECT * FROM s0 UNION ALL SELECT *
     "kg_overview": f"WITH {C} SELECT manual, coalesce(part, 'Part ?') AS part, coalesce(chapter, 'Chapter ?') AS chapter, greatest(1, count(DISTINCT section_id)) AS weight FROM c GROUP BY 1, 2, 3",
     "kg_neighborhood_trim": f"WITH {G}, s AS (SELECT id AS qid, id FROM nodes WHERE kind = 'Figure' AND NOT unresolved), r AS (SELECT * FROM s UNION SELECT qid, b FROM s JOIN ug ON id = a), t AS (SELECT qid, id, kind FROM r JOIN nodes USING (id) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY (kind = 'Chunk')::INT, id) <= 8) SELECT qid, count(*) AS n_nodes, count(*) FILTER (kind = 'Chunk') AS n_chunks FROM t GROUP BY 1",
     "kg_subgraph": f"WITH {G}, i AS (SELECT id FROM nodes WHERE kind IN ('Section', 'Figure', 'Table')) SELECT label, count(*) AS n FROM edges WHERE src IN (SELECT id FROM i) AND dst IN (SELECT id FROM i) GROUP BY 1",
-    "query_entities": f"""WITH {G}, q AS (SELECT question_id AS qid, translate(min(answer), '‐‑‒–—', '-----') AS t FROM runs WHERE answer IS NOT NULL GROUP BY 1),
+    "query_entities": f"""WITH {G}, q AS (SELECT question_id AS qid, translate(answer, '‐‑‒–—', '-----') AS t FROM runs WHERE answer IS NOT NULL),
 x AS (SELECT qid, 'figure/' || {_K('v')} AS tail FROM (SELECT qid, unnest(regexp_extract_all(t, '(?i)\\b(Figure\\s+[0-9A-Z]+-[0-9]+[A-Za-z0-9]*)\\b', 1)) AS v FROM q) UNION SELECT qid, 'table/' || {_K('v')} FROM (SELECT qid, unnest(regexp_extract_all(t, '(?i)\\b(Table\\s+[0-9A-Z]+-[0-9]+[A-Za-z0-9]*)\\b', 1)) AS v FROM q)
 UNION SELECT qid, 'section/' || unnest(regexp_extract_all(t, '\\b(?:Section\\s+)?([0-9]+[A-Z]\\.[0-9]+)\\b', 1)) FROM q UNION SELECT qid, 'signcode/' || upper(unnest(regexp_extract_all(t, '\\b([RWDIMOE][A-Z]?\\d{{1,3}}(?:-\\d{{1,3}})?[a-zA-Z]?P?)\\b', 1))) FROM q),
 k AS (SELECT id, split_part(id, ':', 1) || '/' || list_last(string_split_regex(id, '[:/]')) AS tail FROM nodes WHERE NOT unresolved AND kind IN ('Figure', 'Table', 'Section', 'SignCode')) SELECT qid, count(*) AS n_entities, min(id) AS first_entity FROM x JOIN k USING (tail) GROUP BY 1""",
