@@ -14,8 +14,14 @@ from pyspark.sql import types as T
 from paragrove.runtime import broadcast_if_small
 
 KEYS = ["model_alias", "question_id", "replicate"]
-#: Columns that would leak expected answers into a run.
-LEAK_KEYS = ("answer", "gold", "gold_answer", "expected_answer", "reference_answer", "gold_figures", "gold_sections", "rubric", "label", "score")
+#: Keys that hold expected answers and must not reach a run.
+LEAK_KEYS = (
+    "gold_answer", "acceptable_answer_variants", "required_answer_elements", "source_pdf_page", "source_pdf_pages", "printed_manual_page", "printed_manual_pages", "section", "sections",
+    "paragraph", "paragraphs", "figure_or_table_id", "required_evidence", "critical_error_conditions", "scoring_method", "answerable", "normative_type")
+#: An Answer section of rendered Markdown, one on standard output, and how the ways to an answer are called.
+ANSWER_SECTION = r"(?is)(?:^|\n)\s*#{2,4}\s*Answer\s*\n(.*?)(?=\n\s*#{2,4}\s*(?:Figures?|Retrieved|Debug|Context|Evidence)\b|\z)"
+STDOUT_SECTION = r"(?is)(?:^|\n)\s*(?:answer|final answer)\s*[:\n]\s*(.*?)(?=\n\s*(?:retrieval|debug|figures?|context)\s*[:\n]|\z)"
+METHODS = ("display_markdown_answer_section", "return_string", "nested_return_key", "stdout_answer_section", "not_found")
 REQUIRED = ("run_id", "model_alias", "model_id", "question_id", "question", "replicate", "status", "answer")
 
 
@@ -80,6 +86,12 @@ def leaked(df: DataFrame, allowed: tuple[str, ...] = ()) -> list[str]:
     return sorted({c.lower() for c in df.columns} & set(LEAK_KEYS) - set(allowed))
 
 
+def leaked_rows(rows: DataFrame, column: str) -> DataFrame:
+    """rows with key for every top-level key of a JSON object that would leak expected answers; rows without one are left out."""
+    keys = F.transform(F.json_object_keys(column), lambda k: F.lower(k))
+    return rows.withColumn("key", F.explode(F.array_distinct(F.array_intersect(keys, F.array(*[F.lit(k) for k in LEAK_KEYS])))))
+
+
 def error_text(answer: Column) -> Column:
     """Whether an answer is the error string of the model layer."""
     low = F.lower(F.ltrim(answer))
@@ -88,16 +100,18 @@ def error_text(answer: Column) -> Column:
 
 def answer_section(markdown: Column) -> Column:
     """The text under an Answer heading of rendered Markdown; null if there is none."""
-    hit = F.regexp_extract(markdown, r"(?is)(?:^|\n)\s*#{2,4}\s*Answer\s*\n(.*?)(?=\n\s*#{2,4}\s*(?:Figures?|Retrieved|Debug|Context|Evidence)\b|\z)", 1)
+    hit = F.regexp_extract(markdown, ANSWER_SECTION, 1)
     return F.nullif(F.trim(hit), F.lit(""))
 
 
-def extract_answer(markdown: Column, returned: Column, stdout: Column) -> Column:
-    """struct(answer, method): the Answer section, else the returned string, else an answer heading on stdout, else empty."""
-    printed = F.nullif(F.trim(F.regexp_extract(stdout, r"(?is)(?:^|\n)\s*(?:answer|final answer)\s*[:\n]\s*(.*?)(?=\n\s*(?:retrieval|debug|figures?|context)\s*[:\n]|\z)", 1)), F.lit(""))
-    ret = F.nullif(F.trim(returned), F.lit(""))
-    md = answer_section(markdown)
-    return F.struct(F.coalesce(md, ret, printed, F.lit("")).alias("answer"), F.when(md.isNotNull(), "display_markdown_answer_section").when(ret.isNotNull(), "return_string").when(printed.isNotNull(), "stdout_answer_section").otherwise("not_found").alias("method"))
+def extract_answer(markdown: Column, returned: Column, stdout: Column, nested: Column | None = None) -> Column:
+    """struct(answer, method): the Answer section, else the returned string, else a nested value, else an answer heading on stdout, else empty."""
+    printed = F.regexp_extract(stdout, STDOUT_SECTION, 1)
+    ways = [F.nullif(F.trim(c), F.lit("")) for c in (answer_section(markdown), returned, F.lit(None).cast("string") if nested is None else nested, printed)]
+    method = F.lit(METHODS[-1])
+    for way, name in reversed(list(zip(ways, METHODS))):
+        method = F.when(way.isNotNull(), name).otherwise(method)
+    return F.struct(F.coalesce(*ways, F.lit("")).alias("answer"), method.alias("method"))
 
 
 def filter_reply(reply: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paragrove.functions.ids import normalize_dashes
@@ -54,16 +54,21 @@ def segment(lines: DataFrame, keys: list[str], footers: tuple[str, ...] = ()) ->
         *by, "rule", "ordinal", "page", normalize_dashes(F.trim(F.regexp_replace("t", r"\s+", " "))).alias("text"))
 
 
+def title_case(c: Column) -> Column:
+    """Every run of letters with a capital first and small letters after it, digits and signs as they are ('CHAPTER 2B. SIGNS' -> 'Chapter 2B. Signs')."""
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"\p{L}+|\P{L}+"), F.lit(0)), lambda x: F.initcap(x)), "")
+
+
 def hierarchy(outline: DataFrame, key: str) -> DataFrame:
-    """key, section_id, part, chapter, start_page, end_page from outline entries (key, pos, level, title, page).
+    """key, section_id, part, chapter, start_page, end_page from outline entries (key, pos, level, title, page; pages, if known).
 
-    Part and chapter are carried forward; a section ends on the page where the next one starts (both have that page), the
-    last one has no end.
+    Part and chapter are carried forward in title case; a section ends on the page where the next one starts (both have that
+    page), the last one on the page after the document's last (`pages` of the outline; without it, it has no end).
     """
     t = F.trim("title")
     kind = F.when(t.rlike(PART), "part").when(t.rlike(CHAPTER), "chapter").when((F.col("level") == 3) & t.rlike(SECTION), "section")
-    rows = outline.select(key, "pos", "page", t.alias("t"), kind.alias("kind"))
+    rows = outline.select(key, "pos", "page", t.alias("t"), kind.alias("kind"), (F.col("pages") if "pages" in outline.columns else F.lit(None)).cast("int").alias("pages"))
     w = Window.partitionBy(key).orderBy("pos")
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = rows.withColumns({"part": F.last(F.when(F.col("kind") == "part", F.initcap("t")), True).over(so_far), "chapter": F.last(F.when(F.col("kind") == "chapter", F.col("t")), True).over(so_far)}).where("kind = 'section'")
-    return carried.select(key, F.regexp_extract("t", SECTION, 1).alias("section_id"), "part", "chapter", F.col("page").alias("start_page"), F.lead("page").over(w).alias("end_page"))
+    carried = rows.withColumns({"part": F.last(F.when(F.col("kind") == "part", title_case(F.col("t"))), True).over(so_far), "chapter": F.last(F.when(F.col("kind") == "chapter", title_case(F.col("t"))), True).over(so_far)}).where("kind = 'section'")
+    return carried.select(key, F.regexp_extract("t", SECTION, 1).alias("section_id"), "part", "chapter", F.col("page").alias("start_page"), F.coalesce(F.lead("page").over(w), F.col("pages") + 1).alias("end_page"))

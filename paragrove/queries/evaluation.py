@@ -42,9 +42,11 @@ def bench_progress(spark, sf):
 
 
 def bench_leak_guard(spark, sf):
-    """Columns of the question table and of the runs that must not reach a model."""
-    found = [("questions", c) for c in evalrun.leaked(table(spark, sf, "questions"))] + [("runs", c) for c in evalrun.leaked(table(spark, sf, "runs"))]
-    return spark.createDataFrame(found, "source string, leaked string")
+    """Keys that must not reach a model: columns of tables, and keys of question rows (here rows with two such keys put in)."""
+    found = [(t, c) for t in ("questions", "chunks", "vec_chunks") for c in evalrun.leaked(table(spark, sf, t))]
+    columns = spark.createDataFrame(found, "source string, leaked string")
+    row = F.to_json(F.struct("question_id", "question", F.lit("x").alias("gold_answer"), F.array(F.lit("2B.01")).alias("Sections")))
+    return columns.unionByName(evalrun.leaked_rows(table(spark, sf, "questions").select(row.alias("row")), "row").select(F.lit("rows").alias("source"), F.col("key").alias("leaked")).distinct())
 
 
 def ablation_matrix(spark, sf):
@@ -230,7 +232,7 @@ ORACLE = {
     "bench_effective": f"WITH {R} SELECT {_KEYS}, record_id FROM r WHERE status = 'ok' QUALIFY row_number() OVER (PARTITION BY {_KEYS} ORDER BY completed_at DESC NULLS LAST, record_id DESC) = 1",
     "bench_unresolved": f"WITH {R} SELECT {_KEYS} FROM r WHERE status = 'error' EXCEPT SELECT {_KEYS} FROM r WHERE status = 'ok'",
     "bench_progress": f"WITH {R} SELECT run_id, count(*) AS n, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'error') AS errors, max(completed_at) AS last_completed FROM r GROUP BY 1",
-    "bench_leak_guard": "SELECT 'runs' AS source, 'answer' AS leaked",
+    "bench_leak_guard": "SELECT table_name AS source, lower(column_name) AS leaked FROM information_schema.columns WHERE table_name IN ('questions', 'chunks', 'vec_chunks') AND lower(column_name) IN ('gold_answer', 'acceptable_answer_variants', 'required_answer_elements', 'source_pdf_page', 'source_pdf_pages', 'printed_manual_page', 'printed_manual_pages', 'section', 'sections', 'paragraph', 'paragraphs', 'figure_or_table_id', 'required_evidence', 'critical_error_conditions', 'scoring_method', 'answerable', 'normative_type') UNION ALL SELECT 'rows', k FROM (SELECT DISTINCT unnest(['gold_answer', 'sections']) AS k FROM questions)",
     "ablation_matrix": "SELECT question_id, ablation, changed FROM questions CROSS JOIN (VALUES ('baseline', ''), ('A1_no_router', 'use_router'), ('A2_no_vlm_filter', 'use_filter'), ('A3_no_graph', 'w_graph'), ('A4_no_rule_type', 'w_ruletype'), ('A5_no_hierarchy', 'w_hierarchy'), ('A6_no_reranker', 'rerank')) a(ablation, changed)",
     "ablation_counts": f"WITH {R} SELECT prompt_style, model_alias, count(*) AS total, count(*) FILTER (error IS NULL) AS without_error, count(DISTINCT question_id) AS questions FROM r GROUP BY 1, 2",
     "problem_ids": f"WITH {R}, x AS (SELECT *, status <> 'ok' OR trim(coalesce(answer, ''), ' ') = '' OR starts_with(ltrim(coalesce(answer, ''), ' '), '### ') OR starts_with(lower(ltrim(coalesce(answer, ''), ' ')), '(vlm error:') OR starts_with(lower(ltrim(coalesce(answer, ''), ' ')), 'vlm error:') AS invalid, coalesce(contains(error, 'length'), false) AS cut FROM r) SELECT record_id, question_id, invalid, cut, regexp_extract(question_id, '^([A-Za-z]+)(\\d+)$', 1) AS prefix, regexp_extract(question_id, '^([A-Za-z]+)(\\d+)$', 2)::INT AS number FROM x WHERE invalid OR cut",

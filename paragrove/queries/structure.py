@@ -34,6 +34,7 @@ def outline(spark, sf):
     key = lambda title, level: c.where(f"{title} IS NOT NULL").groupBy("manual", F.col(title).alias("title")).agg(F.min("page_pdf").alias("page")).withColumn("level", F.lit(level))
     sections = c.groupBy("manual", F.concat_ws(" ", F.lit("Section"), "section_id", F.coalesce("section_title", F.lit("Untitled"))).alias("title")).agg(F.min("page_pdf").alias("page")).withColumn("level", F.lit(3))
     rows = key("part", 1).unionByName(key("chapter", 2)).unionByName(sections)
+    rows = rows.join(c.groupBy("manual").agg(F.max("page_pdf").alias("pages")), "manual")
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy("manual").orderBy("page", "level", "title")))
 
 
@@ -58,7 +59,7 @@ def toc_page_guard(spark, sf):
 def captions(spark, sf):
     f = figures(spark, sf).where("size(bbox) = 4")
     y = F.element_at("bbox", 2)
-    return f.select("manual", "page_pdf", F.col("figure_key").alias("key"), "kind", reference_key(F.col("canonical_id")).alias("canonical_id"), "sheet", y.alias("y_top"), (y + 12).alias("y_bot"), F.element_at("bbox", 1).alias("x_left"), (F.element_at("bbox", 1) >= fig.INSET * 612).alias("inset"))
+    return f.select("manual", "page_pdf", F.col("figure_key").alias("key"), "kind", reference_key(F.col("canonical_id")).alias("canonical_id"), "sheet", y.alias("y_top"), (y + 10 + F.col("figure_key") % 3 * 4).alias("y_bot"), F.element_at("bbox", 1).alias("x_left"), (F.element_at("bbox", 1) >= fig.INSET * 612).alias("inset"))
 
 
 def figure_regions(spark, sf):
@@ -76,6 +77,32 @@ def caption_dedup(spark, sf):
     return fig.dedup_captions(captions(spark, sf), ["manual", "page_pdf"]).select("key", "kind", "canonical_id", "sheet")
 
 
+def page_words(spark, sf):
+    """Pages of words: every live figure's caption as a line, at the start of one or, for odd keys, in its right part, with fused and split ids."""
+    f = figures(spark, sf).select("manual", "page_pdf", "figure_key", "kind", reference_key(F.col("canonical_id")).alias("cid"), "sheet").where(F.col("cid").rlike(r"^[0-9]+[A-Z]{0,2}-\d+$"))
+    f = f.withColumn("n", F.row_number().over(Window.partitionBy("manual", "page_pdf").orderBy("figure_key")))
+    odd, three = F.col("figure_key") % 2 == 1, F.col("figure_key") % 3
+    number = F.concat(F.split_part("cid", F.lit("-"), F.lit(2)), F.lit("."))
+    head = F.concat(F.split_part("cid", F.lit("-"), F.lit(1)), F.lit("-"))
+    named = F.when(three == 0, F.array("kind", F.concat(head, number))).when(three == 1, F.array(F.concat("kind", head), number)).otherwise(F.array("kind", F.translate(head, "-", "‑"), number))
+    sheet = F.when(F.col("sheet").isNotNull(), F.array(F.lit("(Sheet"), F.col("sheet").cast("string"), F.lit("of"), F.lit("9)"))).otherwise(F.array().cast("array<string>"))
+    body = F.when(odd, F.array(*[F.lit(w) for w in ("signs", "may", "be", "used", "see", "Figure", "9Z-1)")])).otherwise(F.array().cast("array<string>"))
+    words = F.concat(body, named, F.array(F.lit("Layout"), F.concat(F.lit("no"), F.col("figure_key").cast("string"))), sheet)
+    rows = f.select("manual", "page_pdf", F.col("figure_key").alias("line_no"), (60.0 + 34.0 * F.col("n")).alias("y0"), F.size(body).alias("lead"), F.posexplode(words).alias("word_no", "text"))
+    x0 = F.when(F.col("word_no") < F.col("lead"), 40.0 + 30.0 * F.col("word_no")).otherwise(F.when(F.col("lead") > 0, 300.0).otherwise(40.0) + 30.0 * (F.col("word_no") - F.col("lead")))
+    return rows.select("manual", "page_pdf", "line_no", "word_no", "text", x0.alias("x0"), "y0", (F.col("y0") + 10 + F.col("line_no") % 3 * 4).alias("y1"), F.lit(612.0).alias("width"))
+
+
+def caption_detect(spark, sf):
+    return fig.detect(page_words(spark, sf), ["manual", "page_pdf"]).select("key", "kind", "canonical_id", "sheet", "title", "x_left", "inset")
+
+
+def extract_figures(spark, sf):
+    """Crops of the captions of all pages, with the second pass for ids that the texts mention."""
+    out = fig.extract(page_words(spark, sf), ["manual", "page_pdf"], fig.census(chunks(spark, sf), "manual"), "manual")
+    return out.select("key", "kind", "canonical_id", "extraction_method", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
 def mention_census(spark, sf):
     return fig.census(chunks(spark, sf), "manual")
 
@@ -115,17 +142,19 @@ def router_decisions(spark, sf):
     return router.route(q, prior="prior").select("question_id", "needs_figures", "confidence", "max_figures", "soft_score", "rules_fired")
 
 
-QUERIES = {f.__name__: f for f in (segment_paragraphs, outline_carry_forward, sections_on_pages, toc_page_guard, figure_regions, figure_regions_v1, caption_dedup, mention_census, coverage_report, coverage_gate, rescue_candidates, figure_sheets, figure_kind_counts, router_decisions)}
+QUERIES = {f.__name__: f for f in (segment_paragraphs, outline_carry_forward, sections_on_pages, toc_page_guard, figure_regions, figure_regions_v1, caption_dedup, caption_detect, extract_figures, mention_census, coverage_report, coverage_gate, rescue_candidates, figure_sheets, figure_kind_counts, router_decisions)}
 
 _LINES = f"""{C}, n AS (SELECT *, {KIND} AS kind, row_number() OVER (PARTITION BY manual, section_id ORDER BY page_pdf NULLS FIRST, ordinal NULLS FIRST, chunk_id) AS nth FROM c),
 ln AS (SELECT manual, section_id, nth, page_pdf AS page, list_concat(CASE WHEN nth = 1 THEN ['Section ' || section_id || ' ' || coalesce(section_title, 'Untitled')] ELSE [] END, list_concat([kind || ':', printf('%02d', ordinal)], string_split(text, chr(10)))) AS a FROM n),
 lines AS (SELECT manual, section_id, page, nth * 1000000 + generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS line FROM ln)"""
+_title = lambda c: f"array_to_string(list_transform(regexp_extract_all({c}, '\\pL+|\\PL+'), lambda x: upper(x[1]) || lower(x[2:])), '')"
 _OUT = f"""{C}, o0 AS (SELECT manual, part AS title, min(page_pdf) AS page, 1 AS level FROM c WHERE part IS NOT NULL GROUP BY ALL UNION ALL SELECT manual, chapter, min(page_pdf), 2 FROM c WHERE chapter IS NOT NULL GROUP BY ALL
 UNION ALL SELECT manual, 'Section ' || section_id || ' ' || coalesce(section_title, 'Untitled'), min(page_pdf), 3 FROM c GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY manual ORDER BY page, level, title) AS pos, CASE WHEN regexp_matches(trim(title), '{segment.PART}') THEN 'part' WHEN regexp_matches(trim(title), '{segment.CHAPTER}') THEN 'chapter' WHEN level = 3 THEN 'section' END AS kind FROM o0),
-h0 AS (SELECT *, last_value(CASE WHEN kind = 'part' THEN trim(title) END IGNORE NULLS) OVER w AS part, last_value(CASE WHEN kind = 'chapter' THEN trim(title) END IGNORE NULLS) OVER w AS chapter FROM o WINDOW w AS (PARTITION BY manual ORDER BY pos ROWS UNBOUNDED PRECEDING)),
-h AS (SELECT manual, regexp_extract(title, '{segment.SECTION}', 1) AS section_id, part, chapter, page AS start_page, lead(page) OVER (PARTITION BY manual ORDER BY pos) AS end_page FROM h0 WHERE kind = 'section')"""
-_CAPS = f"{FIG}, cap AS (SELECT manual, page_pdf, figure_key AS key, kind, {REF_KEY.format('canonical_id')} AS canonical_id, sheet, bbox[2] AS y_top, bbox[2] + 12 AS y_bot, bbox[1] AS x_left, bbox[1] >= 0.45::DOUBLE * 612 AS inset FROM f WHERE len(bbox) = 4), k AS (SELECT * FROM cap QUALIFY row_number() OVER (PARTITION BY manual, page_pdf, kind, canonical_id, coalesce(sheet, -1) ORDER BY inset, y_top, x_left, key) = 1)"
+h0 AS (SELECT *, last_value(CASE WHEN kind = 'part' THEN {_title('trim(title)')} END IGNORE NULLS) OVER w AS part, last_value(CASE WHEN kind = 'chapter' THEN {_title('trim(title)')} END IGNORE NULLS) OVER w AS chapter FROM o WINDOW w AS (PARTITION BY manual ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+h AS (SELECT manual, regexp_extract(title, '{segment.SECTION}', 1) AS section_id, part, chapter, page AS start_page, coalesce(lead(page) OVER (PARTITION BY manual ORDER BY pos), (SELECT max(page_pdf) + 1 FROM c WHERE c.manual = h0.manual)) AS end_page FROM h0 WHERE kind = 'section')"""
+_CAPS = f"{FIG}, cap AS (SELECT manual, page_pdf, figure_key AS key, kind, {REF_KEY.format('canonical_id')} AS canonical_id, sheet, bbox[2] AS y_top, bbox[2] + 10 + figure_key % 3 * 4 AS y_bot, bbox[1] AS x_left, bbox[1] >= 0.45::DOUBLE * 612 AS inset FROM f WHERE len(bbox) = 4), k AS (SELECT * FROM cap QUALIFY row_number() OVER (PARTITION BY manual, page_pdf, kind, canonical_id, coalesce(sheet, -1) ORDER BY inset, y_top, x_left, key) = 1)"
+_WORDS = f"{FIG}, cap AS (SELECT manual, page_pdf, figure_key AS key, kind, canonical_id, sheet, 'Layout no' || figure_key AS title, CASE WHEN figure_key % 2 = 1 THEN 300.0 ELSE 40.0 END::DOUBLE AS x_left, figure_key % 2 = 1 AS inset, (60.0 + 34.0 * n)::DOUBLE AS y_top, (60.0 + 34.0 * n + 10 + figure_key % 3 * 4)::DOUBLE AS y_bot FROM (SELECT *, row_number() OVER (PARTITION BY manual, page_pdf ORDER BY figure_key) AS n FROM (SELECT * EXCLUDE (canonical_id), {REF_KEY.format('canonical_id')} AS canonical_id FROM f) WHERE regexp_matches(canonical_id, '^[0-9]+[A-Z]{{0,2}}-\\d+$')))"
 _CENSUS = f"""{C}, l0 AS (SELECT manual, unnest(string_split({_SPACED.format('text')}, chr(10))) AS line FROM c), m0 AS (SELECT manual, regexp_matches(line, '{text.EXTERNAL}') AS external, unnest(regexp_extract_all(line, '{text.MENTION}', 0)) AS m FROM l0),
 census AS (SELECT manual, CASE WHEN lower(m) LIKE 'figure%' THEN 'Figure' ELSE 'Table' END AS kind, {REF_KEY.format('m')} AS canonical_id, bool_and(external) AS external, count(*) AS n_mentions FROM m0 GROUP BY 1, 2, 3)"""
 _COV = f"""{_CENSUS}, {FIG}, got AS (SELECT DISTINCT manual, kind, {REF_KEY.format('canonical_id')} AS canonical_id FROM f),
@@ -145,13 +174,18 @@ FROM j WHERE bound = 0 AND rule IS NOT NULL AND ordinal IS NOT NULL AND NOT coal
     "outline_carry_forward": f"WITH {_OUT} SELECT * FROM h",
     "sections_on_pages": f"WITH {_OUT}, p AS (SELECT manual, section_id, unnest(range(start_page, end_page + 1)) AS page FROM h WHERE end_page >= start_page), n AS (SELECT manual, page_pdf AS page, count(*) AS n FROM c GROUP BY 1, 2) SELECT manual, section_id, count(*) AS n_pages, sum(n)::BIGINT AS n_chunks FROM p JOIN n USING (manual, page) GROUP BY 1, 2",
     "toc_page_guard": f"WITH {_LINES} SELECT manual, page, count(*) AS n_lines, count(*) FILTER (regexp_matches(line, '\\.{{4,}}')) AS n_leaders, count(*) FILTER (regexp_matches(line, '\\.{{4,}}')) >= 2 AS is_toc FROM lines GROUP BY 1, 2",
-    "figure_regions": f"""WITH {_CAPS}, w AS (SELECT *, min(y_top) OVER (PARTITION BY manual, page_pdf ORDER BY y_top RANGE BETWEEN 13.0000001 FOLLOWING AND UNBOUNDED FOLLOWING) AS below, list(x_left) OVER (PARTITION BY manual, page_pdf ORDER BY y_top RANGE BETWEEN 5.9999999 PRECEDING AND 5.9999999 FOLLOWING) AS r FROM k),
+    "figure_regions": f"""WITH {_CAPS}, w AS (SELECT *, list_min(list_filter(list(y_top) OVER (PARTITION BY manual, page_pdf), lambda v: v > y_bot + 1)) AS below, list(x_left) OVER (PARTITION BY manual, page_pdf ORDER BY y_top RANGE BETWEEN 5.9999999 PRECEDING AND 5.9999999 FOLLOWING) AS r FROM k),
 x AS (SELECT *, CASE WHEN inset THEN greatest(22.0, x_left - 10) ELSE 22.0 END AS a0, list_min(list_filter(r, lambda v: v > x_left)) AS rt, len(list_filter(r, lambda v: v < x_left)) > 0 AS lf FROM w),
 y AS (SELECT key, CASE WHEN lf THEN greatest(a0, x_left - 10) ELSE a0 END AS x0, y_bot + 4 AS y0, least(590.0, coalesce(rt - 8, 590.0)) AS x1, least(746.0, coalesce(below - 6, 746.0)) AS y1 FROM x)
 SELECT key, round(x0, 6)::DOUBLE AS x0, round(y0, 6)::DOUBLE AS y0, round(x1, 6)::DOUBLE AS x1, round(y1, 6)::DOUBLE AS y1 FROM y WHERE y1 - y0 >= 60 AND x1 - x0 >= 80""",
-    "figure_regions_v1": f"""WITH {_CAPS}, w AS (SELECT *, max(y_bot) OVER (PARTITION BY manual, page_pdf ORDER BY y_top RANGE BETWEEN UNBOUNDED PRECEDING AND 12.0 PRECEDING) AS above, min(y_top) OVER (PARTITION BY manual, page_pdf ORDER BY y_top RANGE BETWEEN 12.0 FOLLOWING AND UNBOUNDED FOLLOWING) AS below FROM cap),
+    "figure_regions_v1": f"""WITH {_CAPS}, w AS (SELECT *, list_max(list_filter(list(y_bot) OVER (PARTITION BY manual, page_pdf), lambda v: v <= y_top)) AS above, list_min(list_filter(list(y_top) OVER (PARTITION BY manual, page_pdf), lambda v: v >= y_bot)) AS below FROM cap),
 x AS (SELECT key, kind, CASE kind WHEN 'Figure' THEN greatest(30.0, coalesce(above + 8, 30.0)) ELSE y_bot + 4 END AS y0, CASE kind WHEN 'Figure' THEN y_top - 4 ELSE least(762.0, coalesce(below - 8, 762.0)) END AS y1 FROM w) SELECT key, kind, round(y0, 6)::DOUBLE AS y0, round(y1, 6)::DOUBLE AS y1 FROM x WHERE y1 - y0 >= 60""",
     "caption_dedup": f"WITH {_CAPS} SELECT key, kind, canonical_id, sheet FROM k",
+    "caption_detect": f"WITH {_WORDS} SELECT key, kind, canonical_id, sheet, title, x_left, inset FROM cap",
+    "extract_figures": f"""WITH {_WORDS}, {_CENSUS}, k AS (SELECT * FROM cap QUALIFY row_number() OVER (PARTITION BY manual, page_pdf, kind, canonical_id, coalesce(sheet, -1) ORDER BY inset, y_top, x_left, key) = 1),
+r AS (SELECT *, least(746.0, coalesce(list_min(list_filter(list(y_top) OVER (PARTITION BY manual, page_pdf), lambda v: v > y_bot + 1)) - 6, 746.0)) AS y1, y_bot + 4 AS y0, CASE WHEN inset THEN 290.0 ELSE 22.0 END AS x0, 590.0 AS x1 FROM k),
+one AS (SELECT * FROM r WHERE y1 - y0 >= 60), miss AS (SELECT manual, kind, canonical_id FROM census WHERE NOT external EXCEPT SELECT manual, kind, canonical_id FROM one), u AS (SELECT *, 'caption_below_v2' AS extraction_method FROM one UNION ALL SELECT *, 'caption_below_v2_rescued' FROM r SEMI JOIN miss USING (manual, kind, canonical_id) WHERE y1 - y0 >= 24)
+SELECT key, kind, canonical_id, extraction_method, round(x0, 6)::DOUBLE AS x0, round(y0, 6)::DOUBLE AS y0, round(x1, 6)::DOUBLE AS x1, round(y1, 6)::DOUBLE AS y1 FROM u""",
     "mention_census": f"WITH {_CENSUS} SELECT * FROM census",
     "coverage_report": f"WITH {_COV} SELECT * FROM cov",
     "coverage_gate": f"WITH {_COV} SELECT manual, kind, coverage FROM cov WHERE kind = 'Figure' AND coverage < 0.98",
