@@ -1,8 +1,9 @@
 """Vector search and ranking over many queries at once.
 
-Dense scoring multiplies blocks of queries with batches of the collection in numpy inside an Arrow stage, keeps the k best of
-each query per batch, and merges these partial lists by a window; no pair is materialised. Sparse scoring does the same
-with a token-by-query matrix. The query side is shared by broadcast only where its counted size allows it, else in blocks.
+Queries and items are spread over a grid of cells, a bounded block of queries by a bounded block of items each, and every cell
+keeps the k best of each of its queries; the partial lists are merged per query. So neither side is collected or broadcast, no
+pair is materialised, and a hot key makes no hot cell, as blocks are cut by hash. Dense products are matrix products, sparse
+ones join the tokens of the cell's two sides.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paragrove.runtime import spread
+from paragrove.runtime import Shelf
 
-QUERY_BLOCK = 4_096
+QUERY_BLOCK = 8_192   # queries of a cell, about
+ITEM_BLOCK = 32_768   # items of a cell, about
+LEAST_BLOCK = 2_048   # items that a cell should have at least, before more cores share the work
 
 
 def latest(df: DataFrame, key: str, at: str) -> DataFrame:
@@ -24,60 +27,62 @@ def latest(df: DataFrame, key: str, at: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(body, F.coalesce(at, F.lit("0001-01-01").cast("timestamp_ntz"))).alias("r")).select(key, "r.*")
 
 
-def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = column.to_pylist()
-    at = [i for i, v in enumerate(rows) if v is not None and len(v) == dim and all(x is not None for x in v)]
-    x = np.array([rows[i] for i in at], dtype=np.float64).reshape(-1, dim)
+def _matrix(column: pa.Array, dim: int, unit: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The usable vectors of a column as rows (of length 1), and their positions."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    at = np.flatnonzero(np.asarray(pc.fill_null(pc.list_value_length(column), -1)) == dim)
+    if not len(at):
+        return np.zeros((0, dim)), at
+    flat = column.take(pa.array(at)).flatten()
+    x = np.asarray(flat.fill_null(float("nan")) if flat.null_count else flat, dtype=np.float64).reshape(-1, dim)
     norm = np.sqrt((x * x).sum(1))
-    ok = np.isfinite(norm) & (norm > 0)
-    return x[ok] / norm[ok, None], np.array(at, dtype=np.int64)[ok]
+    ok = np.isfinite(norm) & ((norm > 0) | (not unit))
+    return (x[ok] / norm[ok, None] if unit else x[ok]), at[ok]
+
+
+def _cells(queries: DataFrame, items: DataFrame, body: list[str], q_block: int = QUERY_BLOCK, i_block: int = ITEM_BLOCK, part: Column | None = None):
+    """Rows of both sides, grouped by cell: asks (whether it is a query), id, body. part: what keeps items of one value in one block; by default the id."""
+    cores = items.sparkSession.sparkContext.defaultParallelism
+    n, m = queries.count(), items.count()
+    qn, im = max(1, -(-n // q_block)), max(1, -(-m // i_block), min(cores, m // LEAST_BLOCK))
+    cut = lambda c, k, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    q = queries.select(F.lit(True).alias("asks"), F.col("qid").cast("bigint").alias("id"), *body, cut(F.col("qid"), qn, 1).alias("qb"), every(im).alias("ib"))
+    i = items.select(F.lit(False).alias("asks"), F.col("id").cast("bigint").alias("id"), *body, cut(F.col("id") if part is None else part, im, 2).alias("ib"), every(qn).alias("qb"))
+    return q.unionByName(i).groupBy("qb", "ib")
+
+
+def _best(s: np.ndarray, qid: np.ndarray, ids: np.ndarray, k: int, slack: float) -> pa.Table:
+    """qid, id, score of the k largest finite values of every row, and of those that tie with the last."""
+    if not s.size:
+        return pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    top = min(k, s.shape[1])
+    cut = np.partition(s, -top, axis=1)[:, -top]
+    i, j = np.nonzero((s >= cut[:, None] - slack) & np.isfinite(s))
+    return pa.table({"qid": qid[i], "id": ids[j], "score": s[i, j]})
+
+
+HITS = "qid bigint, id bigint, score double"
 
 
 def dense_topk(queries: DataFrame, items: DataFrame, k: int, dim: int = 64, keep_self: bool = True) -> DataFrame:
     """qid, id, score, rank of the k items with the largest cosine to each query.
 
     queries: qid, vec; items: id, vec. Null, wrongly sized and zero vectors take no part on either side. Ties go to the
-    smaller id. The query set is collected in blocks of QUERY_BLOCK rows, each broadcast on its own.
+    smaller id. An empty side gives no rows.
     """
-    spark = items.sparkSession
-    parts, last = [], None
-    while True:
-        block = queries.where(F.col("vec").isNotNull())
-        if last is not None:
-            block = block.where(F.col("qid") > last)
-        rows = block.orderBy("qid").limit(QUERY_BLOCK).select("qid", "vec").toArrow()
-        if not rows.num_rows:
-            break
-        last = rows["qid"][-1].as_py()
-        q, at = _matrix(rows["vec"].combine_chunks(), dim)
-        shared = spark.sparkContext.broadcast((q, np.array(rows["qid"].to_pylist(), dtype=np.int64)[at]))
-
-        def score(batches, shared=shared):
-            q, qid = shared.value
-            for b in batches:
-                x, at = _matrix(b.column("vec"), dim)
-                ids = np.asarray(b.column("id"))[at]
-                out = [[], [], []]
-                for lo in range(0, len(q) if len(x) else 0, 512):
-                    s = q[lo:lo + 512] @ x.T
-                    if not keep_self:
-                        s[qid[lo:lo + 512, None] == ids[None]] = -np.inf
-                    cut = np.partition(s, -min(k, len(x)), axis=1)[:, -min(k, len(x))]
-                    i, j = np.nonzero(s >= cut[:, None] - 1e-12)
-                    ok = np.isfinite(s[i, j])
-                    out[0].append(qid[lo + i[ok]])
-                    out[1].append(ids[j[ok]])
-                    out[2].append(s[i[ok], j[ok]])
-                cat = lambda v, t: np.concatenate(v) if v else np.zeros(0, t)
-                yield pa.RecordBatch.from_arrays([pa.array(cat(out[0], np.int64)), pa.array(cat(out[1], np.int64)), pa.array(cat(out[2], np.float64))], names=["qid", "id", "score"])
-
-        parts.append(spread(items.select("id", "vec")).mapInArrow(score, "qid bigint, id bigint, score double"))
-    if not parts:
-        return spark.createDataFrame([], "qid bigint, id bigint, score double, rank int")
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    return ranked(hits, k)
+    def score(t: pa.Table) -> pa.Table:
+        ask, base = t.filter(t["asks"]), t.filter(pc.invert(t["asks"]))
+        (q, qa), (x, xa) = _matrix(ask["vec"], dim), _matrix(base["vec"], dim)
+        qid, ids, out = np.asarray(ask["id"])[qa], np.asarray(base["id"])[xa], []
+        for lo in range(0, len(q), 512):
+            s = q[lo:lo + 512] @ x.T
+            if not keep_self:
+                s[qid[lo:lo + 512, None] == ids[None]] = -np.inf
+            out.append(_best(s, qid[lo:lo + 512], ids, k, 1e-12))
+        return pa.concat_tables(out) if out else _best(np.zeros((0, 0)), qid, ids, k, 0)
+
+    return ranked(_cells(queries.select("qid", "vec"), items.select("id", "vec"), ["vec"]).applyInArrow(score, HITS), k)
 
 
 def ranked(hits: DataFrame, k: int, score: str = "score", digits: int = 9) -> DataFrame:
@@ -86,56 +91,42 @@ def ranked(hits: DataFrame, k: int, score: str = "score", digits: int = 9) -> Da
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def sparse_topk(queries: DataFrame, items: DataFrame, k: int, block: int = 512) -> DataFrame:
+def sparse_topk(queries: DataFrame, items: DataFrame, k: int, step: int = 1_024) -> DataFrame:
     """qid, id, score, rank by the dot product of sparse vectors (map of token to weight).
 
-    A block of queries is shared as a token-by-query matrix, over its own tokens alone; batches of items gather the rows of
-    their tokens, add them up per item and keep the k best of each query. Pairs without a common token, and those whose
-    product is 0, are no hits; empty and null maps have none.
+    In a cell the tokens of both sides are joined; products are added up per pair for `step` queries at a time, and the k best
+    of each query are kept. Pairs without a common token, and those whose product is 0, are no hits; empty and null maps have
+    none, null weights count as 0.
     """
-    spark = items.sparkSession
-    parts, last = [], None
-    items = items.select(F.col("id").cast("bigint").alias("id"), F.map_keys("sparse").alias("t"), F.map_values("sparse").alias("w")).where("size(t) > 0")
-    while True:
-        rows = queries.where("size(sparse) > 0") if last is None else queries.where((F.size("sparse") > 0) & (F.col("qid") > last))
-        rows = rows.orderBy("qid").limit(block).select("qid", "sparse").toArrow().to_pylist()
-        if not rows:
-            break
-        last = rows[-1]["qid"]
-        pairs = [(t, i, w) for i, r in enumerate(rows) for t, w in r["sparse"] if w is not None]
-        tokens, at = np.unique(np.array([p[0] for p in pairs], dtype=np.int64), return_inverse=True)
-        m = np.zeros((len(tokens), len(rows)))
-        m[at, [p[1] for p in pairs]] = [p[2] for p in pairs]
-        shared = spark.sparkContext.broadcast((np.array([r["qid"] for r in rows], dtype=np.int64), tokens, m))
-
-        def score(batches, shared=shared):
-            qid, tokens, m = shared.value
-            for b in batches:
-                t, ids = b.column("t"), np.asarray(b.column("id"))
-                n = np.asarray(pc.list_value_length(t))
-                doc, tok = np.repeat(np.arange(len(n)), n), np.asarray(t.flatten()).astype(np.int64)
-                w = np.nan_to_num(np.asarray(b.column("w").flatten(), dtype=np.float64))
-                col = np.minimum(np.searchsorted(tokens, tok), max(0, len(tokens) - 1))
-                hit = tokens[col] == tok if len(tokens) else np.zeros(len(tok), bool)
-                doc, col, w = doc[hit], col[hit], w[hit]
-                s = np.zeros((len(n), len(qid)))
-                for lo in range(0, len(doc), 4_096):  # rows of one item may lie in two steps, so they are added up
-                    d = doc[lo:lo + 4_096]
-                    first = np.flatnonzero(np.r_[True, np.diff(d) > 0])
-                    s[d[first]] += np.add.reduceat(w[lo:lo + 4_096, None] * m[col[lo:lo + 4_096]], first, axis=0)
-                s = np.where(s == 0, -np.inf, s).T
-                top = min(k, s.shape[1])
-                cut = np.partition(s, -top, axis=1)[:, -top] if top else np.zeros(len(s))
-                i, j = np.nonzero((s >= cut[:, None] - 1e-9) & np.isfinite(s))
-                yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids[j]), pa.array(s[i, j])], names=["qid", "id", "score"])
-
-        parts.append(spread(items).mapInArrow(score, "qid bigint, id bigint, score double"))
-    if not parts:
-        return spark.createDataFrame([], "qid bigint, id bigint, score double, rank int")
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    return ranked(hits, k)
+    def flat(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        tokens, weights = t["t"].combine_chunks(), t["w"].combine_chunks()
+        n = np.asarray(pc.list_value_length(tokens))
+        return np.asarray(t["id"]), np.repeat(np.arange(len(n)), n), np.asarray(tokens.flatten()).astype(np.int64), np.nan_to_num(np.asarray(weights.flatten().cast(pa.float64()).fill_null(0.0)))
+
+    def score(t: pa.Table) -> pa.Table:
+        (qid, q, qt, qw), (ids, d, dt, dw) = flat(t.filter(t["asks"])), flat(t.filter(pc.invert(t["asks"])))
+        order = np.argsort(dt, kind="stable")
+        d, dt, dw, out = d[order], dt[order], dw[order], []
+        width = max(1, min(step, 64_000_000 // max(1, len(ids))))
+        for lo in range(0, len(qid) if len(ids) else 0, width):
+            own = np.flatnonzero((q >= lo) & (q < lo + width))
+            first, last = np.searchsorted(dt, qt[own], side="left"), np.searchsorted(dt, qt[own], side="right")
+            m, n = len(qid[lo:lo + width]), last - first
+            s, at = np.zeros(m * len(ids)), 0
+            ends = np.cumsum(n)
+            while at < len(own):  # a bounded number of products at a time
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 8_000_000, side="right")))
+                c = n[at:to]
+                j = np.repeat(first[at:to] - np.r_[0, np.cumsum(c)[:-1]], c) + np.arange(c.sum())
+                s += np.bincount(np.repeat(q[own[at:to]] - lo, c) * len(ids) + d[j], weights=np.repeat(qw[own[at:to]], c) * dw[j], minlength=len(s))
+                at = to
+            s = s.reshape(m, len(ids))
+            out.append(_best(np.where(s == 0, -np.inf, s), qid[lo:lo + width], ids, k, 1e-9))
+        return pa.concat_tables(out) if out else _best(np.zeros((0, 0)), qid, ids, k, 0)
+
+    body = [F.map_keys("sparse").alias("t"), F.map_values("sparse").alias("w")]
+    q, i = queries.where("size(sparse) > 0").select("qid", *body), items.where("size(sparse) > 0").select("id", *body)
+    return ranked(_cells(q, i, ["t", "w"]).applyInArrow(score, HITS), k)
 
 
 def rrf(lists: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
@@ -161,32 +152,46 @@ def hierarchy_prior(query: Column, part: Column, chapter: Column) -> Column:
     return F.when((mp != "") & p.contains(F.concat(F.lit("part "), mp)), 0.6).otherwise(0.0) + F.when((mc != "") & c.contains(mc), 0.6).otherwise(0.0)
 
 
-def maxsim(queries: DataFrame, pages: DataFrame, k: int, dim: int = 64) -> DataFrame:
+def maxsim(queries: DataFrame, pages: DataFrame, k: int, dim: int = 64, block: int = ITEM_BLOCK) -> DataFrame:
     """qid, id, score, rank of late interaction: the sum over a query's vectors of the largest dot product with a page's.
 
-    queries: qid, vec (one row per query vector); pages: id, vec (one row per patch). Scored in blocks: every batch keeps the
-    maximum per query vector and page, maxima of batches are merged, then summed.
+    queries: qid, vec (one row per query vector); pages: id, vec (one row per patch). The vectors of a query share a block, and
+    so do the patches of a page, so a cell has whole scores and keeps the k best pages of each query. Pages of more than
+    `block` patches are cut over cells; their maxima per query vector are merged and summed after that.
     """
-    spark = pages.sparkSession
-    rows = queries.orderBy("qid").select("qid", "vec").toArrow()  # the stated query set
-    q = np.array(rows["vec"].to_pylist(), dtype=np.float64).reshape(-1, dim)
-    shared = spark.sparkContext.broadcast((q, np.array(rows["qid"].to_pylist(), dtype=np.int64)))
-
-    def best(batches):
-        q, qid = shared.value
-        for b in batches:
-            x = np.array(b.column("vec").to_pylist(), dtype=np.float64).reshape(-1, dim)
-            ids, at = np.unique(np.asarray(b.column("id")), return_inverse=True)
-            s = q @ x.T
-            top = np.full((len(q), len(ids)), -np.inf)
-            for j in range(len(ids)):
-                top[:, j] = s[:, at == j].max(1)
-            n, m = top.shape
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, m)), pa.array(np.repeat(np.arange(n), m)), pa.array(np.tile(ids, n)), pa.array(top.ravel())], names=["qid", "token", "id", "s"])
-
-    tops = pages.select(F.col("id").cast("bigint").alias("id"), "vec").mapInArrow(best, "qid bigint, token bigint, id bigint, s double")
-    scores = tops.groupBy("qid", "token", "id").agg(F.max("s").alias("s")).groupBy("qid", "id").agg(F.sum("s").alias("score"))
-    return ranked(scores, k)
+    shelf = Shelf(pages.sparkSession)
+    q = shelf.keep(queries.select("qid", "vec", F.monotonically_increasing_id().alias("token")), "tokens")
+    sizes = pages.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    big = shelf.keep(sizes.select("id", F.ceil(F.col("n") / block).cast("int").alias("cuts")), "big")  # fewer than patches / block
+    p = pages.join(F.broadcast(big), "id", "left").withColumn("token", F.when(F.col("cuts").isNotNull(), F.floor(F.rand(7) * F.col("cuts")).cast("bigint")))
+
+    def best(t: pa.Table) -> pa.Table:
+        ask, base = t.filter(t["asks"]), t.filter(pc.invert(t["asks"]))
+        (v, va), (x, xa) = _matrix(ask["vec"], dim, False), _matrix(base["vec"], dim, False)
+        qid, token, ids = np.asarray(ask["id"])[va], np.asarray(ask["token"])[va], np.asarray(base["id"])[xa]
+        part = np.asarray(base["token"].is_valid())[xa]
+        out = [pa.table({"qid": pa.array([], pa.int64()), "token": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "s": pa.array([], pa.float64())})]
+        if len(v) and len(x):
+            order = np.argsort(ids, kind="stable")
+            x, ids, part = x[order], ids[order], part[order]
+            start = np.flatnonzero(np.r_[True, np.diff(ids) != 0])
+            page, cut = ids[start], part[start]
+            vo = np.argsort(qid, kind="stable")
+            v, qid, token = v[vo], qid[vo], token[vo]
+            qs = np.flatnonzero(np.r_[True, np.diff(qid) != 0])
+            for a, z in zip(qs, np.r_[qs[1:], len(qid)]):
+                top = np.maximum.reduceat(v[a:z] @ x.T, start, axis=1)
+                whole = _best(np.where(cut, -np.inf, top.sum(0))[None], qid[a:a + 1], page, k, 1e-9)
+                out.append(pa.table({"qid": whole["qid"], "token": pa.nulls(len(whole), pa.int64()), "id": whole["id"], "s": whole["score"]}))
+                if cut.any():
+                    n = int(cut.sum())
+                    out.append(pa.table({"qid": np.full(n * (z - a), qid[a]), "token": np.repeat(token[a:z], n), "id": np.tile(page[cut], z - a), "s": top[:, cut].ravel()}))
+        return pa.concat_tables(out)
+
+    tops = _cells(q, p, ["vec", "token"], i_block=block, part=F.struct("id", "token")).applyInArrow(best, "qid bigint, token bigint, id bigint, s double")
+    tops = shelf.keep(tops, "tops")
+    merged = tops.where("token IS NOT NULL").groupBy("qid", "token", "id").agg(F.max("s").alias("s")).groupBy("qid", "id").agg(F.sum("s").alias("score"))
+    return ranked(tops.where("token IS NULL").select("qid", "id", F.col("s").alias("score")).unionByName(merged), k)
 
 
 def sign_bits(vec: Column) -> Column:
@@ -204,23 +209,35 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def binary_topk(queries: DataFrame, items: DataFrame, k: int, first: int = 40) -> DataFrame:
+def binary_topk(queries: DataFrame, items: DataFrame, k: int, first: int = 40, dim: int = 64) -> DataFrame:
     """qid, id, score, rank of the k items with the largest dot product: candidates by sign bits, then exactly beyond them.
 
-    The `first` nearest items by Hamming distance are scored and give a bound per query. Every other item whose sign bits
-    leave room for a product of that size, at most its norm times the norm of the query's components of equal sign, is scored
-    too, so the result is that of brute force. queries: qid, vec; items: id, vec.
+    In every cell the `first` nearest items by Hamming distance are scored and give a bound per query. Every other item whose
+    sign bits leave room for a product of that size, at most its norm times the norm of the query's components of equal sign,
+    is scored too, so the result is that of brute force. queries: qid, vec; items: id, vec. Null and wrongly sized vectors take
+    no part.
     """
-    e = items.select("id", "vec", sign_bits(F.col("vec")).alias("bits"), F.sqrt(dot(F.col("vec"), F.col("vec"))).alias("norm"))
-    q = F.broadcast(queries.select("qid", F.col("vec").alias("qv"), sign_bits(F.col("vec")).alias("qb")))
-    near = e.join(q).withColumn("score", -hamming(F.col("qb"), F.col("bits")).cast("double"))
-    best = ranked(near.select("qid", "id", "score"), first).select("qid", "id")
-    scored = best.join(items.select("id", "vec"), "id").join(q, "qid").select("qid", "id", dot(F.col("vec"), F.col("qv")).alias("score"))
-    least = ranked(scored, k).groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).drop("n")
-    agree = F.aggregate(F.zip_with("vec", "qv", lambda x, y: F.when((x > 0) == (y > 0), y.cast("double") * y).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
-    room = F.col("norm") * F.sqrt(agree) >= F.coalesce(F.col("least"), F.lit(float("-inf"))) - 1e-9
-    rest = e.join(q).join(F.broadcast(least), "qid", "left").where(room).select("qid", "id", dot(F.col("vec"), F.col("qv")).alias("score"))
-    return ranked(rest, k)
+    def score(t: pa.Table) -> pa.Table:
+        ask, base = t.filter(t["asks"]), t.filter(pc.invert(t["asks"]))
+        (q, qa), (x, xa) = _matrix(ask["vec"], dim, False), _matrix(base["vec"], dim, False)
+        qid, ids, out = np.asarray(ask["id"])[qa], np.asarray(base["id"])[xa], []
+        plus, norm = (x > 0).astype(np.float64), np.sqrt((x * x).sum(1))
+        for lo in range(0, len(q) if len(x) else 0, 512):
+            v = q[lo:lo + 512]
+            up = (v > 0).astype(np.float64)
+            differ = up.sum(1)[:, None] + plus.sum(1)[None] - 2 * (up @ plus.T)
+            n = min(max(first, k), len(x))
+            near = np.argpartition(differ, n - 1, axis=1)[:, :n]
+            known = np.einsum("qd,qnd->qn", v, x[near])
+            least = np.partition(known, -min(k, n), axis=1)[:, -min(k, n)] if n >= k else np.full(len(v), -np.inf)
+            room = norm[None] * np.sqrt((v * v * up) @ plus.T + (v * v * (1 - up)) @ (1 - plus).T)
+            i, j = np.nonzero(room >= least[:, None] - 1e-9)
+            s = np.full((len(v), len(x)), -np.inf)
+            s[i, j] = np.einsum("nd,nd->n", v[i], x[j])
+            out.append(_best(s, qid[lo:lo + 512], ids, k, 1e-9))
+        return pa.concat_tables(out) if out else _best(np.zeros((0, 0)), qid, ids, k, 0)
+
+    return ranked(_cells(queries.select("qid", "vec"), items.select("id", "vec"), ["vec"], i_block=8_192).applyInArrow(score, HITS), k)
 
 
 def overlap_score(query: Column, text: Column) -> Column:

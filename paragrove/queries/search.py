@@ -48,12 +48,11 @@ def hybrid_rrf_topk(spark, sf):
 
 
 def rrf_merge(spark, sf):
-    """Fusion of two orders of the same embeddings: by similarity and by label distance."""
+    """Fusion of two orders of the same embeddings: by all components, and by the first half of them."""
     e = _embeddings(spark, sf)
-    dense = search.dense_topk(asked(e), e, 30)
-    q = asked(e).select("qid", F.col("label").alias("ql"))
-    by_label = search.ranked(q.join(e, F.col("ql") == F.col("label")).select("qid", "id", (-F.abs(F.col("qid") - F.col("id"))).cast("double").alias("score")), 30)
-    return search.rrf([dense, by_label], 10).select("qid", "id", "rank", F.round("score", 8).alias("score"))
+    half = e.select("id", F.slice("vec", 1, 32).alias("vec"))
+    lists = [search.dense_topk(asked(e), e, 30), search.dense_topk(asked(half), half, 30, dim=32)]
+    return search.rrf(lists, 10).select("qid", "id", "rank", F.round("score", 8).alias("score"))
 
 
 def maxsim_pages(spark, sf):
@@ -114,13 +113,12 @@ f AS (SELECT qid, id, sum(x) AS score FROM u GROUP BY 1, 2 QUALIFY row_number()
 g AS (SELECT qid, f.id, {KIND.replace('content_type', 'payload.content_type')} AS kind, payload.section_id AS section_id, score FROM f JOIN v ON f.id = v.id),
 h AS (SELECT *, score + 0.3 * ({WEIGHT.format('kind')} - 1.0) AS final FROM g)
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(final, 9) DESC, id) AS rank, id, kind, section_id, round(final, 6) AS score FROM h QUALIFY rank <= 6""",
-    "rrf_merge": f"""WITH {E}, {_D(30)}, l AS (SELECT q.id AS qid, e.id, row_number() OVER (PARTITION BY q.id ORDER BY abs(q.id - e.id), e.id) AS rank FROM e q JOIN e ON q.label = e.label WHERE q.id % 20 = 0 QUALIFY rank <= 30),
+    "rrf_merge": f"""WITH {E}, {_D(30)}, l AS (SELECT q.id AS qid, e.id, row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(q.vec[1:32], e.vec[1:32]), 9) DESC, e.id) AS rank FROM e q, e WHERE q.id % 20 = 0 QUALIFY rank <= 30),
 u AS (SELECT qid, id, 1.0::DOUBLE / (60 + rank) AS x, 0 AS list, rank FROM d UNION ALL SELECT qid, id, 1.0::DOUBLE / (60 + rank), 1, rank FROM l)
 SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(sum(x), 12) DESC, min(list), arg_min(u.rank, list), id) AS rank, round(sum(x), 8) AS score FROM u GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(sum(x), 12) DESC, min(list), arg_min(u.rank, list), id) <= 10""",
     "maxsim_pages": f"""WITH {E}, m AS (SELECT q.id % 7 AS qid, q.id AS token, e.label::BIGINT AS id, max(list_dot_product(q.vec, e.vec)) AS s FROM e q, e WHERE q.id % 20 = 0 GROUP BY 1, 2, 3), t AS (SELECT qid, id, sum(s) AS score FROM m GROUP BY 1, 2)
 SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank, round(score, 6) AS score FROM t QUALIFY rank <= 5""",
-    "binary_first_pass": f"""WITH {E}, b AS (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(vec[1:62], lambda x: CASE WHEN x > 0 THEN 1::BIGINT ELSE 0::BIGINT END)), lambda a, x: a * 2 + x) AS bits FROM e),
-n AS (SELECT q.id AS qid, e.id, list_dot_product(q.vec, e.vec) AS score FROM b q, b e WHERE q.id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY bit_count(xor(q.bits, e.bits)), e.id) <= 40)
+    "binary_first_pass": f"""WITH {E}, n AS (SELECT q.id AS qid, e.id, list_dot_product(q.vec, e.vec) AS score FROM e q, e WHERE q.id % 20 = 0)
 SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank, round(score, 6) AS score FROM n QUALIFY rank <= 10""",
     "score_formula": f"""WITH {C}, p AS (SELECT chunk_id, {WEIGHT.format(KIND)} AS w, CASE WHEN contains(lower(coalesce(part, '')), 'part ' || left(section_id, 1)) AND regexp_matches(left(section_id, 1), '^\\d$') THEN 0.6::DOUBLE ELSE 0.0 END + CASE WHEN contains(lower(coalesce(chapter, '')), lower(left(section_id, 2))) THEN 0.6::DOUBLE ELSE 0.0 END AS h FROM c)
 SELECT chunk_id, round(h, 6) AS hierarchy, round(0.03::DOUBLE + 0.4::DOUBLE * 0.5 + 0.3::DOUBLE * (w - 1.0) + 0.2::DOUBLE * h, 6) AS score FROM p""",
