@@ -116,6 +116,28 @@ def provider_of(model_id: Column) -> Column:
     return F.when(low.startswith("claude"), "anthropic").when(low.startswith("gemini"), "gemini").when(low.startswith("qwen"), "dashscope").otherwise("local")
 
 
+#: What a word before a code in parentheses may look like (a code ends the name), and how many words a name has.
+NAME_TOKENS = r"\([A-Z]{1,3}\d{1,3}(?:-\d{1,3})?[a-z]?P?\)|[A-Za-z][\p{L}\p{N}_]*(?:['-]+[\p{L}\p{N}_]+)*|[\p{L}\p{N}_]+"
+CODE_LIKE, NAME_WORDS = r"^[RWDIMOE][A-Z]?\d", 5
+
+
+def named_codes(c: Column) -> Column:
+    """array of struct(name, code): up to five words before every known code in parentheses, back to the last word that looks like a code."""
+    tokens = F.filter(F.regexp_extract_all(c, F.lit(NAME_TOKENS), F.lit(0)), lambda w: w.rlike(r"^[A-Za-z(]"))
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<struct<name: string, code: string>>").alias("out"))
+
+    def read(acc, token):
+        mark = token.startswith("(")
+        word = F.regexp_replace(token, r"[()]", "")
+        kept, name = acc["kept"], F.array_join(acc["kept"], " ")
+        out = F.when(mark & (name != "") & (category(word) != "Unknown"), F.array_append(acc["out"], F.struct(name.alias("name"), word.alias("code")))).otherwise(acc["out"])
+        longer = F.array_append(kept, word)
+        after = F.when(word.rlike(CODE_LIKE), F.array().cast("array<string>")).otherwise(F.slice(longer, F.greatest(F.lit(1), F.size(longer) - NAME_WORDS + 1), F.lit(NAME_WORDS)))
+        return F.struct(after.alias("kept"), out.alias("out"))
+
+    return F.when(c.rlike(CODE_PAREN), F.aggregate(tokens, start, read, lambda acc: acc["out"]))
+
+
 def content_text(v: Column) -> Column:
     """Line breaks between the text parts of a JSON content list, without thinking and reasoning parts."""
     parts = F.from_json(v, "array<struct<type: string, text: string>>")

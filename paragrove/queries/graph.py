@@ -194,6 +194,8 @@ UNION ALL SELECT DISTINCT 'signcode:' || code, 'SignCode', NULL, false, NULL, NU
 UNION ALL SELECT DISTINCT {_T}, kind || 'Ref', manual, true, NULL, NULL, NULL, NULL, NULL, NULL::BIGINT, -1, -1, '' FROM refs UNION ALL SELECT DISTINCT 'section:' || manual || '/' || ref, 'SectionRef', manual, true, NULL, NULL, NULL, NULL, NULL, NULL::BIGINT, -1, -1, '' FROM secs),
 nodes AS (SELECT * EXCLUDE (o1, o2, o3) FROM n0 WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY unresolved, kind, o1, o2, o3) = 1),
 ug AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges)"""
+_HOPS = ", ".join(f"s{i} AS (SELECT DISTINCT qid, b AS id FROM s{i - 1} JOIN ug ON id = a)" for i in range(1, 7))
+_REACHED = " UNION ALL ".join(f"SELECT *, {i} AS d FROM s{i}" for i in range(7))
 ORACLE = {
     "kg_nodes": f"WITH {G} SELECT * FROM nodes",
     "kg_edges": f"WITH {G} SELECT * FROM edges",
@@ -205,8 +207,8 @@ ORACLE = {
     "kg_degree_top15": f"WITH {G}, d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1) SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY degree DESC, id) AS rank, id, degree FROM d JOIN nodes USING (id) WHERE kind IN ('Section', 'SignCode') QUALIFY rank <= 15",
     "kg_nhop": f"""WITH {G}, s0 AS (SELECT id AS qid, id, 0 AS depth FROM nodes WHERE kind = 'Section'), s1 AS (SELECT DISTINCT qid, b AS id, 1 AS depth FROM s0 JOIN ug ON id = a), v1 AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1 ANTI JOIN s0 USING (qid, id)),
 s2 AS (SELECT DISTINCT qid, b AS id, 2 AS depth FROM (SELECT * FROM v1 WHERE depth = 1) JOIN ug ON id = a) SELECT qid, depth, count(*) AS n FROM (SELECT * FROM v1 UNION ALL SELECT * FROM s2 ANTI JOIN v1 USING (qid, id)) GROUP BY 1, 2""",
-    "kg_proximity": f"""WITH {G}, s0 AS (SELECT manual AS qid, min(id) AS id, 0 AS depth FROM nodes WHERE kind = 'Figure' AND NOT unresolved GROUP BY manual), s1 AS (SELECT DISTINCT qid, b AS id, 1 AS depth FROM s0 JOIN ug ON id = a), s2 AS (SELECT DISTINCT qid, b AS id, 2 AS depth FROM s1 JOIN ug ON id = a), s3 AS (SELECT DISTINCT qid, b AS id, 3 AS depth FROM s2 JOIN ug ON id = a),
-m AS (SELECT qid, id, min(depth) AS d FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3) GROUP BY 1, 2), k AS (SELECT manual AS qid, 'chunk:' || chunk_id AS id FROM c) SELECT qid, round(CASE WHEN d IS NULL THEN 0.0::DOUBLE ELSE 1 / (1 + d) END, 6) AS score, count(*) AS n FROM k LEFT JOIN m USING (qid, id) GROUP BY 1, 2""",
+    "kg_proximity": f"""WITH {G}, s0 AS (SELECT DISTINCT manual AS qid, id FROM nodes WHERE kind = 'Figure' AND NOT unresolved), {_HOPS},
+m AS (SELECT qid, id, min(d) AS d FROM ({_REACHED}) GROUP BY 1, 2), k AS (SELECT manual AS qid, 'chunk:' || chunk_id AS id FROM c) SELECT qid, round(CASE WHEN d IS NULL THEN 0.0::DOUBLE ELSE 1 / (1 + d) END, 6) AS score, count(*) AS n FROM k LEFT JOIN m USING (qid, id) GROUP BY 1, 2""",
     "kg_figures_for_section": f"WITH {G}, p AS (SELECT dst AS section, src AS figure, min(CASE label WHEN 'anchored_in' THEN 0 ELSE 1 END) AS tier FROM edges WHERE label IN ('anchored_in', 'cited_in') GROUP BY 1, 2) SELECT section, figure, tier, row_number() OVER (PARTITION BY section ORDER BY tier, figure) AS rank FROM p",
     "kg_figures_for_chunk": f"WITH {G} SELECT src AS chunk, dst AS figure FROM edges WHERE label IN ('cites_figure', 'cites_table') AND dst IN (SELECT id FROM nodes WHERE NOT unresolved)",
     "kg_chunks_for_code": f"WITH {G} SELECT dst AS code, count(*) AS n_chunks, min(src) AS first_chunk FROM edges WHERE label = 'mentions' GROUP BY 1",

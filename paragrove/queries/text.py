@@ -57,9 +57,8 @@ def sign_code_registry(spark, sf):
 
 def name_code_pairs(spark, sf):
     """Up to five words before every code in parentheses name it."""
-    pat = r"((?:[A-Za-z][\w'-]*[^\w'()]+){1,5})\(([A-Z]{1,3}\d{1,3}(?:-\d{1,3})?[a-z]?P?)\)"
-    hits = chunks(spark, sf).select("chunk_id", F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(pat), F.lit(1)).alias("name"), F.regexp_extract_all("text", F.lit(pat), F.lit(2)).alias("code"))).alias("p"))
-    return hits.groupBy(F.col("p.code").alias("code"), text.collapse(F.col("p.name")).alias("name")).agg(F.count("*").alias("n")).where(text.category(F.col("code")) != "Unknown")
+    hits = chunks(spark, sf).select(F.explode(text.named_codes(F.col("text"))).alias("p"))
+    return hits.groupBy("p.code", "p.name").agg(F.count("*").alias("n"))
 
 
 def caption_parse(spark, sf):
@@ -144,8 +143,10 @@ ORACLE = {
     "categorize_codes": f"{_codes} SELECT code, count(*) AS n_chunks, {CATEGORY} AS category FROM k GROUP BY code HAVING category <> 'Unknown'",
     "category_counts": f"{_codes} SELECT {CATEGORY} AS category, count(*) AS n_mentions, count(DISTINCT code) AS n_codes FROM k GROUP BY 1",
     "sign_code_registry": f"{_codes} SELECT manual, code, arg_min(section_id, row(coalesce(page_pdf, 0), chunk_id)) AS first_seen_section, list_sort(list_distinct(list(section_id))) AS referenced_in_sections, {CATEGORY} AS category FROM k GROUP BY manual, code",
-    "name_code_pairs": f"""WITH {C}, p AS (SELECT unnest(regexp_extract_all(text, '((?:[A-Za-z][\\w''-]*[^\\w''()]+){{1,5}})\\(([A-Z]{{1,3}}\\d{{1,3}}(?:-\\d{{1,3}})?[a-z]?P?)\\)', 1)) AS name, unnest(regexp_extract_all(text, '((?:[A-Za-z][\\w''-]*[^\\w''()]+){{1,5}})\\(([A-Z]{{1,3}}\\d{{1,3}}(?:-\\d{{1,3}})?[a-z]?P?)\\)', 2)) AS code FROM c)
-SELECT code, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS name, count(*) AS n FROM p WHERE {CATEGORY} <> 'Unknown' GROUP BY 1, 2""",
+    "name_code_pairs": f"""WITH {C}, t AS (SELECT chunk_id, generate_subscripts(a, 1) AS i, unnest(a) AS w FROM (SELECT chunk_id, list_filter(regexp_extract_all(text, '\\([A-Z]{{1,3}}\\d{{1,3}}(?:-\\d{{1,3}})?[a-z]?P?\\)|[A-Za-z][\\pL\\pN_]*(?:[''-]+[\\pL\\pN_]+)*|[\\pL\\pN_]+'), lambda x: regexp_matches(x, '^[A-Za-z(]')) AS a FROM c)),
+s AS (SELECT *, starts_with(w, '(') AS mark, replace(replace(w, '(', ''), ')', '') AS code, regexp_matches(replace(w, '(', ''), '^[RWDIMOE][A-Z]?\\d') AS stop FROM t), g AS (SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY chunk_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(stop::INT) OVER (PARTITION BY chunk_id ORDER BY i) AS upto FROM s),
+p AS (SELECT m.chunk_id, m.i, m.code, v.code AS word, v.i AS vi FROM g m JOIN g v ON m.chunk_id = v.chunk_id AND v.i < m.i AND NOT v.stop AND v.upto = m.before WHERE m.mark QUALIFY row_number() OVER (PARTITION BY m.chunk_id, m.i ORDER BY v.i DESC) <= 5),
+n AS (SELECT chunk_id, i, code, string_agg(word, ' ' ORDER BY vi) AS name FROM p GROUP BY 1, 2, 3) SELECT code, name, count(*) AS n FROM n WHERE {CATEGORY} <> 'Unknown' GROUP BY 1, 2""",
     "caption_parse": f"""WITH {FIG}, t AS (SELECT figure_key, caption, {_SPACED.format('caption')} AS x FROM f),
 p AS (SELECT figure_key, regexp_extract(x, '{text.CAPTION}', ['k', 'i', 'm', 's', 'o', 't'], 's') AS g, length(caption) <= 150 AND regexp_matches(x, '{text.CAPTION}') AND NOT regexp_matches(x, '\\.{{4,}}') AND NOT regexp_matches(x, '\\.{{2,}}\\s*\\d{{1,4}}\\s*$') AS ok FROM t),
 q AS (SELECT figure_key, ok, g, {_strip('g.t')} AS title, g.s <> '' AS own FROM p)
