@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -134,14 +135,41 @@ def figure_evidence(markdown: DataFrame, key: str, column: str) -> DataFrame:
     return rows.select(key, "image_no", F.trim(F.regexp_replace("left", page, "")).alias("label"), F.nullif(F.regexp_extract("left", page, 1), F.lit("")).cast("int").alias("page"), F.trim("description").alias("description"))
 
 
-def answer_all(calls: DataFrame, ask: Callable[[str, str], str], attempts: int = 3, base_delay: float = 0.0) -> DataFrame:
-    """calls with answer, status, attempts and error: the pluggable model stage, with retries and backoff in the task.
+#: Why a model stops at a limit.
+STOPPED = ("length", "max_tokens", "model_context_window_exceeded")
+#: What an error is, by what its text contains; the first that holds.
+ERROR_TYPES = {"empty": r"(?i)empty|no text|no completion", "truncated": r"(?i)max_tokens|finish_reason=.?length|stop_reason=.?length|context_window|truncat|token limit", "refusal": r"(?i)refus|declin|content.?filter|safety|blocked", "timeout": r"(?i)time[d ]?.?out", "rate_limit": r"(?i)rate.?limit|quota|429"}
 
-    ask(selector, question) returns the answer or raises; an empty answer counts as a failure.
+
+def error_type(error: Column) -> Column:
+    """The type of an error by its text: one of ERROR_TYPES, else 'other'; null without an error."""
+    out = F.when(error.isNull(), F.lit(None).cast("string"))
+    for name, pattern in ERROR_TYPES.items():
+        out = out.when(error.rlike(pattern), name)
+    return out.otherwise("other")
+
+
+def response_error(text: Column, stop_reason: Column) -> Column:
+    """What is wrong with a model's reply: 'truncated' where it stopped at a limit, 'refusal', 'empty' without text, null if nothing."""
+    why = F.lower(F.trim(F.coalesce(stop_reason, F.lit(""))))
+    return F.when(why.isin(*STOPPED), "truncated").when(why == "refusal", "refusal").when(F.trim(F.coalesce(text, F.lit(""))) == "", "empty")
+
+
+def backoff(base: float, attempt: int, spread: float) -> float:
+    """Seconds before the next attempt: doubled every time, plus a part of a second."""
+    return base * 2 ** (attempt - 1) + spread
+
+
+def answer_all(calls: DataFrame, ask: Callable[[str, str], str], attempts: int = 3, base_delay: float = 0.0, pace: float = 0.0, seed: int = 0) -> DataFrame:
+    """calls with answer, status, attempts and error: the pluggable model stage, with retries, backoff and pacing in the task.
+
+    ask(selector, question) returns the answer or raises; an empty answer counts as a failure. pace: seconds between the calls
+    of one task. seed: of the jitter of the backoff.
     """
     schema = T.StructType([*calls.schema.fields, T.StructField("answer", T.StringType()), T.StructField("status", T.StringType()), T.StructField("attempts", T.IntegerType()), T.StructField("error", T.StringType())])
 
     def run(batches):
+        jitter = random.Random(seed)
         for b in batches:
             out = {"answer": [], "status": [], "attempts": [], "error": []}
             for selector, question in zip(b.column("selector").to_pylist(), b.column("question").to_pylist()):
@@ -156,9 +184,27 @@ def answer_all(calls: DataFrame, ask: Callable[[str, str], str], attempts: int =
                     except Exception as e:  # noqa: BLE001
                         error = f"{type(e).__name__}: {e}"
                     if base_delay and n < attempts:
-                        time.sleep(base_delay * 2 ** (n - 1))
+                        time.sleep(backoff(base_delay, n, jitter.random()))
+                if pace:
+                    time.sleep(pace)
                 for k, v in zip(out, (None if error else answer, "error" if error else "ok", n, error)):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out["answer"], pa.string()), pa.array(out["status"], pa.string()), pa.array(out["attempts"], pa.int32()), pa.array(out["error"], pa.string())], names=[*b.schema.names, *out])
 
     return calls.mapInArrow(run, schema)
+
+
+def usable_replies(candidates: DataFrame, replies: DataFrame, most: int = 4) -> DataFrame:
+    """qid, rank, pos: the figures that a filter keeps, at most `most` of each query.
+
+    candidates: qid, pos (as numbered in the filter's prompt), usable (whether there is an image); replies: qid, reply. Up to
+    `most` usable candidates are all kept in order; else the reply's indices that are usable, in its order, first mention only;
+    a query whose reply names none keeps its first ones.
+    """
+    use = candidates.where("usable").select("qid", "pos")
+    n = use.groupBy("qid").agg(F.count("*").alias("n"))
+    named = replies.select("qid", F.posexplode(filter_reply(F.col("reply"))).alias("at", "pos")).groupBy("qid", "pos").agg(F.min("at").alias("at"))
+    chosen = use.join(n, "qid").join(named, ["qid", "pos"], "left").withColumn("any", F.max(F.col("at").isNotNull()).over(Window.partitionBy("qid")))
+    chosen = chosen.where((F.col("n") <= most) | ~F.col("any") | F.col("at").isNotNull())
+    order = F.when((F.col("n") <= most) | F.col("at").isNull(), F.col("pos")).otherwise(F.col("at"))
+    return chosen.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(order, "pos"))).where(F.col("rank") <= most).select("qid", "rank", "pos")
