@@ -40,7 +40,7 @@ REFUSAL = r"(?iu)(?:" + "|".join((
     r"\bje (?:préfère|prefere) ne pas répondre", r"\bje ne (?:peux|puis|dois|vais|saurais) pas (?:y )?(?:répondre|aider|vous aider|donner|commenter|traiter)", r"\bje ne (?:peux|puis|saurais) répondre", r"\bje ne donne pas d['’](?:avis|conseil)", r"\bje (?:dois |me vois (?:contraint|obligé) de )?(?:refuse|décline|refuser|décliner)\b", r"\bil m['’]est impossible de (?:répondre|traiter|vous aider|commenter)",
     r"\b(?:kann|darf|werde|möchte|will) ich (?:leider )?(?:dabei |dazu |das |hierzu |darauf )?(?:nicht|keine)", r"\bich (?:kann|darf|werde|möchte|will) (?:dazu|dabei|hierzu|das|darauf|diese frage|leider|hier)?\s?(?:nicht|keine) (?:helfen|beantworten|antworten|auskunft|auskünfte|ratschläge)", r"\bgebe ich (?:dazu )?keine auskunft", r"\blehne ich\b", r"\bich lehne\b", r"\bich gebe (?:dazu )?keine auskunft", r"\bmuss ich (?:leider )?ablehnen",
 )) + ")"
-LABELLED_ROWS = 20_000    # labelled rows that the languages are fitted on, at most
+LABELLED_ROWS = 4_096     # labelled answers that the languages are fitted on, about; a sample by hash
 LABELLED_WORDS = 50_000   # words that the fitted model keeps, at most, the most frequent first
 MARGIN = 4.0              # log likelihood by which another language must win, and
 MARGIN_WORD = 0.25        # for every word that the model knows
@@ -57,8 +57,6 @@ HEADING = re.compile(r"#{1,6}\s*[^\n.!?]{0,40}|\*{0,2}[^\W\d_]+(?: [^\W\d_]+){0,
 FAILED, REFUSED, NO_ANSWER = re.compile(FAILURE), re.compile(REFUSAL), re.compile(DECLINED)
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 WORD = re.compile(r"[^\W_]+")
-LETTERS = re.compile(r"[^\W\d_]+")
-APART = str.maketrans({c: " " for c in ".,;:!?()[]{}\"“”«»*#|/'’-¿¡0123456789"})
 NAMES = frozenset(PLACEHOLDERS.split("|"))
 
 
@@ -99,7 +97,8 @@ def question_words(question: str) -> frozenset[str]:
 def is_copy(answer: str, tokens: list[str], question: str) -> bool:
     """The answer only restates the question: nearly all its words are the question's, and it covers most of them."""
     q = question_words(question)
-    if len(q) < 3 or len(set(tokens)) > 4 * (len(q) + len(FRAME)):  # more words than any restatement has
+    most = (len(q) + len(FRAME)) / 9  # a tenth of the words may be others
+    if len(q) < 3 or sum(w.isalnum() and w not in q and w not in FRAME for w in set(tokens)) > most:
         return False
     a = set(WORD.findall(answer.lower().replace("'", "").replace("’", "")))
     return bool(a) and len(a - q - FRAME) <= len(a) // 10 and len(a & q) >= 0.6 * len(q)
@@ -111,7 +110,7 @@ class Languages:
     def __init__(self, rows: list[tuple[str, str]]):
         counts: dict[str, Counter] = {}
         for text, lang in rows:
-            counts.setdefault(lang, Counter()).update(set(LETTERS.findall(text.lower())))
+            counts.setdefault(lang, Counter()).update(set(w for w in text.lower().split() if not w.isdigit()))
         self.names = sorted(counts)
         total, words = {lang: sum(c.values()) for lang, c in counts.items()}, Counter()
         for c in counts.values():
@@ -125,14 +124,8 @@ class Languages:
 
     def scores(self, tokens) -> tuple[list[float], int]:
         """The log likelihood of every language, and how many words the model knows."""
-        out, n, known = [0.0] * len(self.names), 0, self.words.get
-        for w in tokens:
-            x = known(w)
-            if x is not None:
-                n += 1
-                for i, v in enumerate(x):
-                    out[i] += v
-        return out, n
+        found = [x for x in map(self.words.get, tokens) if x is not None]
+        return [sum(c) for c in zip(*found)] or [0.0] * len(self.names), len(found)
 
     def of(self, tokens) -> str | None:
         """The likeliest language; None where no word is known."""
@@ -152,16 +145,11 @@ class Languages:
 
 
 def labelled_rows(runs: DataFrame, questions: DataFrame) -> list[tuple[str, str]]:
-    """text, language of a bounded sample: the questions with their language, and answers with the language of their question."""
-    q = questions.where("lang IS NOT NULL AND question IS NOT NULL").select("question_id", "question", F.lower(F.trim("lang")).alias("lang")).orderBy(F.xxhash64("question_id")).limit(LABELLED_ROWS // 10)
-    answers = runs.where("answer IS NOT NULL").select("question_id", "answer", "record_id").join(broadcast_if_small(q.select("question_id", "lang").distinct()), "question_id").orderBy(F.xxhash64("record_id")).limit(LABELLED_ROWS - LABELLED_ROWS // 10).select("answer", "lang")
-    return [(r[0], r[1]) for df in (q.select("question", "lang"), answers) for r in df.collect()]
-
-
-def plain_words(text: str) -> list[str]:
-    """Lower-case words for the language model."""
-    low = text.lower()
-    return low.translate(APART).split()
+    """text, language: the questions with their language, and about LABELLED_ROWS answers, chosen by hash, with the language of their question."""
+    q = questions.where("lang IS NOT NULL AND question IS NOT NULL").select("question_id", "question", F.lower(F.trim("lang")).alias("lang"))
+    part = lambda df, c: df.where(F.pmod(F.xxhash64(c), F.lit(max(1, df.count() // LABELLED_ROWS))) == 0)
+    answers = part(runs.select("record_id", "question_id", "answer"), "record_id").where("answer IS NOT NULL").join(broadcast_if_small(q.select("question_id", "lang").distinct()), "question_id")
+    return [(r[0], r[1]) for df in (part(q, "question_id").select("question", "lang"), answers.select("answer", "lang")) for r in df.collect()]
 
 
 class Rules:
@@ -169,7 +157,7 @@ class Rules:
 
     def __init__(self, languages: Languages | None):
         self.languages = languages
-        self.asked = lru_cache(100_000)(lambda q: languages.of(plain_words(q)))
+        self.asked = lru_cache(100_000)(lambda q: languages.of(q.lower().split()))
 
     def __reduce__(self):
         return Rules, (self.languages,)
@@ -188,7 +176,7 @@ class Rules:
         if self.languages is None:
             return None, None, None, False
         asked = self.asked(question)
-        found, other = self.languages.differs(plain_words(answer), asked)
+        found, other = self.languages.differs(tokens, asked)
         return None, found, asked, other
 
 

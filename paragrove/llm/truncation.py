@@ -141,10 +141,12 @@ def passage(texts: DataFrame, rules=None, parts: bool = False, flush: int = 300_
         go_on, stop, final, inner = Counter(), Counter(), Counter(), Counter()
 
         def counts():
-            keys = {**go_on, **stop, **final}
-            rows = [{"w2": p, "w1": w, "go_on": go_on[p, w], "stop": stop[p, w], "final": final[p, w]} for p, w in keys] + [{"part": k, "inner": n} for k, n in inner.items()]
+            keys, n = [*{**go_on, **stop, **final}], len(inner)
+            have = {"w2": [k[0] for k in keys] + [None] * n, "w1": [k[1] for k in keys] + [None] * n, "part": [None] * len(keys) + [*inner], "inner": [None] * len(keys) + [*inner.values()]}
+            have |= {name: [c[k] for k in keys] + [None] * n for name, c in (("go_on", go_on), ("stop", stop), ("final", final))}
+            out = pa.RecordBatch.from_arrays([pa.array(have[f.name], f.type) if f.name in have else pa.nulls(len(keys) + n, f.type) for f in schema], schema=schema)
             go_on.clear(), stop.clear(), final.clear(), inner.clear()
-            return pa.RecordBatch.from_pylist(rows, schema=schema)
+            return out
 
         for b in batches:
             rows = []
