@@ -55,3 +55,60 @@ def keep_context(hits: DataFrame, terms: Column, text: str, least: int) -> DataF
     ok = F.forall(terms, lambda t: F.contains(F.lower(text), t))
     marked = hits.withColumn("ok", ok).withColumn("any", F.max("ok").over(Window.partitionBy("qid")))
     return marked.where("ok OR (NOT any AND rank <= %d)" % least).drop("ok", "any")
+
+
+#: What a page gains where its captions, tables, codes or text contain the query, and, for a visual query, where it has any of the first three.
+PAGE_BOOSTS = {"figure_captions": (0.30, 0.08), "table_titles": (0.25, 0.06), "sign_codes": (0.16, 0.04)}
+TEXT_BOOST, CAPTION_WORD_BOOST = 0.10, 0.30
+
+
+def match_text(c: Column) -> Column:
+    """Lower case, one blank for every run of white space."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
+
+
+def page_boost(query: Column, text: Column) -> Column:
+    """What a page record (figure_captions, table_titles, sign_codes) with a text gains for a query."""
+    q = match_text(query)
+    visual, out = has_any(query, VISUAL_TERMS), F.when((q != "") & F.contains(match_text(text), q), TEXT_BOOST).otherwise(0.0)
+    for column, (hit, there) in PAGE_BOOSTS.items():
+        out = out + F.when((q != "") & F.contains(match_text(F.array_join(column, " | ")), q), hit).otherwise(0.0) + F.when(visual & (F.size(column) > 0), there).otherwise(0.0)
+    return out
+
+
+def caption_word_boost(query: Column) -> Column:
+    """What a page gains before the best are taken, if any word of the query stands in its captions."""
+    captions = F.lower(F.array_join("figure_captions", " "))
+    return F.when(F.exists(F.filter(F.split(F.lower(query), r"\s+"), lambda w: w != ""), lambda w: F.contains(captions, w)), CAPTION_WORD_BOOST).otherwise(0.0)
+
+
+def hybrid_pages(scores: DataFrame, queries: DataFrame, pages: DataFrame, key: list[str], k: int = 5) -> DataFrame:
+    """qid, page key, score, rank: the k best pages after the boost of their captions, so that a boost can bring a page in.
+
+    scores: qid, key, score; queries: qid, query; pages: key, figure_captions.
+    """
+    rows = scores.join(queries.select("qid", "query"), "qid").join(pages.select(*key, "figure_captions"), key)
+    rows = rows.withColumn("score", F.col("score") + caption_word_boost(F.col("query")))
+    w = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), *key)
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", *key, "score", "rank")
+
+
+def joined_context(hits: DataFrame, keep: int = 3, same: int = 200) -> DataFrame:
+    """qid, context: the texts of a query's hits (qid, rank, text) without rule labels, those of equal beginnings once, the first `keep` joined."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace("text", r"(Standard|Option|Guidance):?\s*\d*", ""), r"\s+", " "))
+    rows = hits.select("qid", "rank", clean.alias("t")).withColumn("rn", F.row_number().over(Window.partitionBy("qid", F.substring("t", 1, same)).orderBy("rank"))).where("rn = 1")
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where(F.col("n") <= keep)
+    return rows.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]), "\n\n").alias("context"))
+
+
+def extractive_answer(queries: DataFrame, sentences: DataFrame, k: int = 5) -> DataFrame:
+    """qid, answer, citations: the k best distinct sentences by word overlap, and their distinct sources in that order.
+
+    queries: qid, question; sentences: qid, sentence, source (candidates of each query).
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    one = sentences.groupBy("qid", "sentence").agg(F.min("source").alias("source"))
+    rows = one.join(queries.select("qid", words(F.col("question")).alias("q")), "qid").withColumn("score", F.size(F.array_intersect("q", words(F.col("sentence")))))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "sentence"))).where(F.col("n") <= k)
+    listed = F.array_sort(F.collect_list(F.struct("n", "sentence", "source")))
+    return rows.groupBy("qid").agg(listed.alias("s")).select("qid", F.array_join(F.transform("s", lambda x: x["sentence"]), " ").alias("answer"), F.array_distinct(F.transform("s", lambda x: x["source"])).alias("citations"))

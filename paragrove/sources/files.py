@@ -122,6 +122,20 @@ def load_questions(spark: SparkSession, path: str, contract: Contract = Contract
     return parsed.select(*[F.try_element_at("m", F.lit(c)).alias(c) for c in ("question_id", "question", "benchmark_version")])
 
 
+def read_sections(spark: SparkSession, path: str) -> DataFrame:
+    """Sections of the first generation from a JSON list: section, title, page_num, text, image_path; missing texts are empty, a missing path is that of the page."""
+    raw = spark.read.schema("section string, title string, page_num int, text string, image_path string").option("multiLine", "true").json(path)
+    default = F.concat(F.lit("pages/page_"), F.lpad(F.coalesce("page_num", F.lit(0)).cast("string"), 4, "0"), F.lit(".png"))
+    blank = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    return raw.select(blank("section").alias("section"), blank("title").alias("title"), "page_num", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.nullif(F.trim("image_path"), F.lit("")), default).alias("image_path"))
+
+
+def whole_text(pages: DataFrame, by: str, page: str, text: str) -> DataFrame:
+    """by, text: the pages of every document joined by form feeds, in order."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.coalesce(text, F.lit("")).alias("t"))))  # one document
+    return pages.groupBy(by).agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\f").alias("text"))
+
+
 def merge_upsert(old: DataFrame, new: DataFrame, key: str, at: str) -> DataFrame:
     """old with new rows by key; the latest `at` wins."""
     w = Window.partitionBy(key).orderBy(F.col(at).desc_nulls_last())
