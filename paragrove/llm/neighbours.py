@@ -1,7 +1,9 @@
 """Most similar vectors for every vector, by an adaptive dimension scan over inverted lists.
 
-Vectors are normalised and rotated by a random orthogonal matrix, and stored in lists of near vectors (spherical k-means
-fitted on a bounded sample; every vector is indexed). Within a probed list, columns are read in blocks: after each block the
+Vectors are normalised and rotated by a random orthogonal matrix, and stored in lists of near vectors. The lists have two
+levels of spherical k-means: groups, fitted on a bounded sample, and the lists of each group, fitted in the group's task; a
+vector looks into its nearest groups alone, so the work per vector does not grow with the number of lists. Every vector is
+indexed. Within a probed list, columns are read in blocks: after each block the
 partial squared distance of a pair, scaled to all dimensions, is tested against the bound that the pair must keep
 (hypothesis: the true distance is within the bound), and rejected pairs are abandoned. List blocks and query blocks are
 bounded, so a hot list becomes a grid of bounded tasks.
@@ -20,14 +22,17 @@ from pyspark.sql import functions as F
 from paragrove.runtime import Shelf, broadcast_if_small, spread
 
 LIST_ROWS = 512        # rows that a list holds on average
-MOST_LISTS = 8_192     # bound on the centroids: 2 MB
-FIT_ROWS_PER_LIST = 24  # sampled rows per list for fitting, so at most 196,608 rows
+GROUP_LISTS = 64       # lists of a group on average
+GROUPS = 6             # nearest groups that a vector looks into, at least
+MOST_LISTS = 524_288   # bound on the centroids, 64 MB in half precision: lists of 512 rows up to 268 million vectors, longer ones beyond
+FIT_ROWS_PER_LIST = 24  # sampled rows per list for fitting
+FIT_ROWS = 65_536      # rows that one k-means is fitted on, at most
 BASE_BLOCK = 4_096     # rows of one list in one task
 QUERY_BLOCK = 16_384   # queries of one list in one task
 BLOCKS = (16, 32, 48)  # column boundaries that a pair is tested at
 EPS = 2.1              # width of the test: P(abandon a pair within the bound) is below 1e-4 at every block
 SLACK = 0.002          # half-precision error allowed in candidates before the exact check
-EXPAND_COPIES = 64     # classes of identical vectors up to this size are listed as all pairs
+EXPAND_COPIES = 64     # classes of identical vectors up to this size are listed as all pairs, by default
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -104,6 +109,30 @@ def halves(table: pa.Table, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(table["code"].to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
 
 
+def nearest_lists(r: np.ndarray, coarse: np.ndarray, centres: np.ndarray, bounds: np.ndarray, m: int, look: int) -> np.ndarray:
+    """The m nearest lists of every row, best first, among those of its `look` nearest groups; -1 where these have fewer.
+
+    bounds: where the lists of each group begin in centres.
+    """
+    near = r @ coarse.T
+    groups = np.argpartition(-near, look - 1, axis=1)[:, :look] if look < near.shape[1] else np.tile(np.arange(near.shape[1]), (len(r), 1))
+    best, at = np.full((len(r), m), -np.inf, np.float32), np.full((len(r), m), -1, np.int32)
+    asks = np.argsort(groups.ravel(), kind="stable")
+    rows, of = asks // groups.shape[1], groups.ravel()[asks]
+    start = np.r_[0, np.flatnonzero(np.diff(of)) + 1, len(of)]
+    for a, z in zip(start[:-1], start[1:]):
+        lo, hi = bounds[of[a]], bounds[of[a] + 1]
+        if hi == lo:
+            continue
+        i = rows[a:z]
+        s = np.concatenate([best[i], r[i] @ centres[lo:hi].T], axis=1)
+        ids = np.concatenate([at[i], np.broadcast_to(np.arange(lo, hi, dtype=np.int32), (len(i), hi - lo))], axis=1)
+        top = np.argpartition(-s, m - 1, axis=1)[:, :m]
+        best[i], at[i] = np.take_along_axis(s, top, 1), np.take_along_axis(ids, top, 1)
+    order = np.argsort(-best, axis=1, kind="stable")
+    return np.take_along_axis(at, order, 1)
+
+
 class Index:
     """Lists over one table of vectors.
 
@@ -113,36 +142,57 @@ class Index:
 
     def __init__(self, df: DataFrame, probes: int, id_col: str = "id", vec_col: str = "dense", seq_col: str | None = "upserted_at", dim: int = 64, seed: int = 7, shelf: Shelf | None = None, name: str = "v"):
         spark = df.sparkSession
-        self.dim, self.name, self.shelf = dim, name, shelf or Shelf(spark)
+        self.dim, self.name, self.shelf, self.grids = dim, name, shelf or Shelf(spark), 0
         src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec"), *([F.col(seq_col).cast("timestamp").alias("seq")] if seq_col else [])).where("id IS NOT NULL AND vec IS NOT NULL")
         n = max(1, df.count())
-        self.n_lists = lists = int(min(MOST_LISTS, max(1, round(n / LIST_ROWS))))
-        want = lists * FIT_ROWS_PER_LIST
-        bucket = max(1, n // want)
-        sample = src.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(bucket)) == 0).select("vec").limit(want + want // 4).toArrow()
-        x, _ = unit_rows(sample["vec"].combine_chunks() if sample.num_rows else pa.array([], pa.list_(pa.float32())), dim)
+        lists = int(min(MOST_LISTS, max(1, round(n / LIST_ROWS))))
+        groups = max(1, lists // GROUP_LISTS)
         turn = rotation(dim, seed)
+        want = min(FIT_ROWS, max(16_384, groups * FIT_ROWS_PER_LIST))
+        sample = src.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, n // want))) == 0).select("vec").limit(2 * want).toArrow()
+        x, _ = unit_rows(sample["vec"].combine_chunks() if sample.num_rows else pa.array([], pa.list_(pa.float32())), dim)
+        x = x @ turn
         self.empty = not len(x)
-        centres = fit_centroids(x @ turn, lists, seed) if len(x) else np.zeros((1, dim), np.float32)
+        coarse = fit_centroids(x, groups, seed) if len(x) else np.zeros((1, dim), np.float32)
+        first = spark.sparkContext.broadcast((turn, coarse))
+
+        def grouped(batches):
+            turn, coarse = first.value
+            for batch in batches:
+                unit, _ = unit_rows(batch.column("vec"), dim)
+                r = unit @ turn
+                at = np.concatenate([(r[i:i + 4_096] @ coarse.T).argmax(1) for i in range(0, len(r), 4_096)]) if len(r) else np.zeros(0, int)
+                yield pa.RecordBatch.from_pydict({"grp": pa.array(at.astype(np.int32)), "code": pa.array([c.tobytes() for c in r.astype(np.float16)], pa.binary())})
+
+        def fitted(t: pa.Table) -> pa.Table:
+            rows = halves(t, dim)
+            k = max(1, round(len(rows) * bucket / max(LIST_ROWS, n / MOST_LISTS)))
+            rows = rows[np.random.default_rng(seed).permutation(len(rows))[:FIT_ROWS]]
+            c = fit_centroids(rows, min(k, max(1, len(rows) // 4)), seed)
+            return pa.table({"grp": pa.array(np.full(len(c), t["grp"][0].as_py(), np.int32)), "code": pa.array([v.tobytes() for v in c.astype(np.float16)], pa.binary())})
+
+        bucket = max(1, n // max(16_384, lists * FIT_ROWS_PER_LIST))
+        fine = src.where(F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(bucket)) == 0).mapInArrow(grouped, "grp int, code binary").groupBy("grp").applyInArrow(fitted, "grp int, code binary").toArrow()  # the centroids
+        fine = fine.sort_by([("grp", "ascending"), ("code", "ascending")]) if len(fine) else pa.table({"grp": pa.array([0], pa.int32()), "code": pa.array([np.zeros(dim, np.float16).tobytes()], pa.binary())})
+        centres, of = halves(fine, dim).astype(np.float16), np.asarray(fine["grp"])
+        bounds = np.searchsorted(of, np.arange(len(coarse) + 1))
         self.n_lists = len(centres)
         m = min(probes, self.n_lists)
-        model = spark.sparkContext.broadcast((turn, centres))
-        reference = (x @ turn)[:8_192]
-        self.reference = spark.sparkContext.broadcast(reference)
+        look = min(len(coarse), max(GROUPS, -(-2 * m // GROUP_LISTS) + 2))
+        model = spark.sparkContext.broadcast((turn, coarse, centres, bounds))
+        self.reference = spark.sparkContext.broadcast(x[:8_192])
 
         def encode(batches):
             import hashlib
 
-            turn, centres = model.value
+            turn, coarse, centres, bounds = model.value
+            centres = centres.astype(np.float32)
             for batch in batches:
                 unit, at = unit_rows(batch.column("vec"), dim)
-                for lo in range(0, len(unit), 2_048):
-                    u, a = unit[lo:lo + 2_048], at[lo:lo + 2_048]
+                for lo in range(0, len(unit), 8_192):
+                    u, a = unit[lo:lo + 8_192], at[lo:lo + 8_192]
                     r = u @ turn
-                    near = r @ centres.T
-                    top = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < near.shape[1] else np.tile(np.arange(near.shape[1]), (len(r), 1))
-                    order = np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable")
-                    top = np.take_along_axis(top, order, 1).astype(np.int32)
+                    top = nearest_lists(r, coarse, centres, bounds, m, look)
                     marks = np.frombuffer(b"".join(hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in u), np.int64).reshape(-1, 2)
                     code = r.astype(np.float16)
                     took = batch.take(pa.array(a))
@@ -170,12 +220,13 @@ class Index:
 
     def grid(self, base: DataFrame, queries: DataFrame) -> DataFrame:
         """Base rows and query copies, united and keyed by bounded blocks (task) of lists."""
-        spark = base.sparkSession
-        nb = {r.home: r["count"] for r in base.groupBy("home").count().collect()}  # at most MOST_LISTS rows
-        ask = queries.select("id", F.explode("probes").alias("list"), "code", "tau2")
-        nq = {r.list: r["count"] for r in queries.select(F.explode("probes").alias("list")).groupBy("list").count().collect()}
-        cells = [(k, max(1, -(-nb[k] // BASE_BLOCK)), max(1, -(-nq.get(k, 0) // QUERY_BLOCK))) for k in nb]
-        lists = F.broadcast(spark.createDataFrame(cells or [(-1, 1, 1)], "list int, nb int, nq int"))
+        ask = queries.select("id", F.explode("probes").alias("list"), "code", "tau2").where("list >= 0")
+        nb = base.groupBy(F.col("home").alias("list")).agg(F.count("*").alias("b"))
+        nq = queries.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count("*").alias("q"))
+        blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(F.coalesce(n, F.lit(0)) / size)).cast("int")
+        self.grids += 1
+        lists = self.shelf.keep(nb.join(nq, "list", "left").select("list", blocks("b", BASE_BLOCK).alias("nb"), blocks("q", QUERY_BLOCK).alias("nq")), f"{self.name}-lists-{self.grids}")
+        lists = F.broadcast(lists)  # at most MOST_LISTS rows
         own = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         b = base.withColumnRenamed("home", "list").join(lists, "list").withColumns({"bb": own("nb", 1)}).select("id", "code", "list", "bb", every("nq").alias("qb"), F.lit(None).cast("float").alias("tau2"))
@@ -217,12 +268,12 @@ def exact_cosines(pairs: DataFrame, df: DataFrame, id_col: str, vec_col: str, se
     return joined.select("id_a", "id_b", (dot(F.col("va"), F.col("vb")) / F.sqrt(dot(F.col("va"), F.col("va")) * dot(F.col("vb"), F.col("vb")))).alias("cosine"))
 
 
-def similar_pairs(df: DataFrame, threshold: float = 0.9, probes: int = 6, id_col: str = "id", vec_col: str = "dense", seq_col: str | None = "upserted_at", dim: int = 64, seed: int = 7, name: str = "v") -> DataFrame:
+def similar_pairs(df: DataFrame, threshold: float = 0.9, probes: int = 6, id_col: str = "id", vec_col: str = "dense", seq_col: str | None = "upserted_at", dim: int = 64, seed: int = 7, name: str = "v", expand_copies: int | None = EXPAND_COPIES) -> DataFrame:
     """id_a < id_b of different ids whose vectors have a cosine of at least threshold.
 
     A pair is found if either vector's list is among the probed lists of the other. Identical unit vectors form classes: the
-    scan works on one representative of each; classes of up to EXPAND_COPIES ids are listed as all pairs, larger ones as
-    links from every copy to the representative, which alone carries the class's links to other vectors. An id upserted
+    scan works on one representative of each; classes of up to expand_copies ids are listed as all pairs (None: all classes),
+    larger ones as links from every copy to the representative, which alone carries the class's links to other vectors. An id upserted
     again counts once with its latest vector. Null, zero, not finite and wrongly sized vectors take no part; an empty table
     gives no pairs.
     """
@@ -242,12 +293,12 @@ def similar_pairs(df: DataFrame, threshold: float = 0.9, probes: int = 6, id_col
         sure = sure.unionByName(exact_cosines(edge, df, id_col, vec_col, seq_col).where(F.col("cosine") >= threshold).select("id_a", "id_b"))
     if members.isEmpty():
         return sure
-    few = members.where(F.col("n") <= EXPAND_COPIES)
+    few = members if expand_copies is None else members.where(F.col("n") <= expand_copies)
     left = few.select(F.col("rep").alias("id_a"), F.col("id").alias("a"))
     right = few.select(F.col("rep").alias("id_b"), F.col("id").alias("b"))
     wide = sure.join(left, "id_a", "left").join(right, "id_b", "left").select(F.coalesce("a", "id_a").alias("a"), F.coalesce("b", "id_b").alias("b"))
     inner = left.join(right, left.id_a == right.id_b).where("a < b").select("a", "b")
-    star = members.where((F.col("n") > EXPAND_COPIES) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    star = members.where((F.lit(False) if expand_copies is None else F.col("n") > expand_copies) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("id").alias("b"))
     return wide.unionByName(inner).unionByName(star).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
 
 
