@@ -129,7 +129,7 @@ class Pipeline:
         """
         shelf = Shelf(queries.sparkSession)
         q = shelf.keep(queries, "queries")
-        hits = shelf.keep(retrieve(q, self.corpus, self.settings, rerank=self.rerank), "hits")
+        hits = shelf.keep(retrieve(q, self.corpus, settings=self.settings, rerank=self.rerank), "hits")
         decisions = shelf.keep(decide(q, hits, self.corpus, self.settings), "decisions")
         listed = lambda df, c: df.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", c))), lambda x: x[c]).alias(f"{c}s"))
         out = q.select("qid", "question").join(decisions.select("qid", "needs_figures"), "qid", "left").join(listed(hits, "chunk_id"), "qid", "left")

@@ -9,6 +9,7 @@ from paragrove.functions import text
 from paragrove.operators import evalrun, lexical, prompt
 from paragrove.queries.text import C, FIG, KIND, chunks, figures
 from paragrove.runtime import table
+from paragrove.sources import files
 
 
 def runs(spark, sf):
@@ -92,7 +93,9 @@ def filter_response_parse(spark, sf):
 
 
 def figure_evidence(spark, sf):
-    md = figures(spark, sf).select("figure_key", F.concat(F.lit("**[Image "), F.coalesce("sheet", F.lit(1)).cast("string"), F.lit("]** "), F.col("figure_id"), F.lit(" (p."), F.col("page_pdf").cast("string"), F.lit(") — "), F.coalesce("title", F.lit("untitled"))).alias("md")).where(~F.col("md").rlike(r"[\n\r\f\x0b\x{85}\x{2028}\x{2029}]"))
+    """Figures written as image lines and read again; a title over several lines is one line."""
+    title = F.coalesce(F.regexp_replace("title", r"[\s\x{85}\x{2028}\x{2029}]+", " "), F.lit("untitled"))
+    md = figures(spark, sf).select("figure_key", F.concat(F.lit("**[Image "), F.coalesce("sheet", F.lit(1)).cast("string"), F.lit("]** "), F.col("figure_id"), F.lit(" (p."), F.col("page_pdf").cast("string"), F.lit(") — "), title).alias("md"))
     return evalrun.figure_evidence(md, "figure_key", "md")
 
 
@@ -101,9 +104,9 @@ def latency_by_model(spark, sf):
 
 
 def upsert_last_wins(spark, sf):
-    v = table(spark, sf, "vec_chunks")
-    w = Window.partitionBy("id").orderBy(F.col("upserted_at").desc())
-    return v.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("id", F.col("payload.chunk_id").alias("chunk_id"), "upserted_at")
+    """The chunk vectors put into an empty table by id."""
+    v = table(spark, sf, "vec_chunks").select("id", F.col("payload.chunk_id").alias("chunk_id"), "upserted_at")
+    return files.merge_upsert(v.limit(0), v, "id", "upserted_at")
 
 
 def incremental_missing(spark, sf):
@@ -238,7 +241,7 @@ ORACLE = {
     "problem_ids": f"WITH {R}, x AS (SELECT *, status <> 'ok' OR trim(coalesce(answer, ''), ' ') = '' OR starts_with(ltrim(coalesce(answer, ''), ' '), '### ') OR starts_with(lower(ltrim(coalesce(answer, ''), ' ')), '(vlm error:') OR starts_with(lower(ltrim(coalesce(answer, ''), ' ')), 'vlm error:') AS invalid, coalesce(contains(error, 'length'), false) AS cut FROM r) SELECT record_id, question_id, invalid, cut, regexp_extract(question_id, '^([A-Za-z]+)(\\d+)$', 1) AS prefix, regexp_extract(question_id, '^([A-Za-z]+)(\\d+)$', 2)::INT AS number FROM x WHERE invalid OR cut",
     "usage_extract": f"WITH {R} SELECT record_id, usage.input_tokens::BIGINT AS input_tokens, usage.output_tokens::BIGINT AS output_tokens FROM r",
     "filter_response_parse": f"WITH {R} SELECT record_id, CASE record_id % 3 WHEN 0 THEN [replicate, 3] WHEN 1 THEN [0, attempts] ELSE [] END AS kept FROM r",
-    "figure_evidence": f"WITH {FIG}, t AS (SELECT *, coalesce(title, 'untitled') AS tt FROM f) SELECT figure_key, coalesce(sheet, 1) AS image_no, figure_id AS label, page_pdf AS page, trim(tt, ' ') AS description FROM t WHERE NOT regexp_matches(tt, '[\\n\\r\\f\\x0b\\x{{85}}\\x{{2028}}\\x{{2029}}]')",
+    "figure_evidence": f"WITH {FIG}, t AS (SELECT *, coalesce(regexp_replace(title, '[\\s\\x{{85}}\\x{{2028}}\\x{{2029}}]+', ' ', 'g'), 'untitled') AS tt FROM f) SELECT figure_key, coalesce(sheet, 1) AS image_no, figure_id AS label, page_pdf AS page, trim(tt, ' ') AS description FROM t",
     "latency_by_model": f"WITH {R} SELECT model_alias, count(latency_ms) AS n, min(latency_ms) AS min_ms, max(latency_ms) AS max_ms, round(avg(latency_ms), 4) AS mean_ms FROM r GROUP BY 1",
     "upsert_last_wins": "SELECT id, payload.chunk_id AS chunk_id, upserted_at FROM vec_chunks QUALIFY row_number() OVER (PARTITION BY id ORDER BY upserted_at DESC) = 1",
     "incremental_missing": f"WITH {C} SELECT chunk_id FROM c WHERE chunk_id NOT IN (SELECT payload.chunk_id FROM vec_chunks WHERE len(dense) = 64 AND payload.chunk_id IS NOT NULL)",

@@ -69,11 +69,12 @@ def binary_first_pass(spark, sf):
 
 
 def score_formula(spark, sf):
-    """The whole formula per chunk and question of its language part: hierarchy prior and rule weight."""
-    q = table(spark, sf, "questions").groupBy("lang").agg(F.min_by("question", "question_id").alias("question"))
-    c = chunks(spark, sf).select("chunk_id", "part", "chapter", text.rule_weight(F.coalesce(text.content_type(F.col("content_type")), F.lit("Support"))).alias("w"), F.concat(F.lit("What does Part "), F.substring("section_id", 1, 1), F.lit(" say in Chapter "), F.substring("section_id", 1, 2), F.lit("?")).alias("query"))
-    prior = search.hierarchy_prior(F.col("query"), F.col("part"), F.col("chapter"))
-    return c.select("chunk_id", F.round(prior, 6).alias("hierarchy"), F.round(search.final_score(F.lit(0.03), F.lit(0.5), F.col("w"), prior), 6).alias("score"))
+    """The whole formula for every chunk and a question that names its part and chapter: base by the ordinal, graph by the number of figures cited, rule weight, hierarchy prior."""
+    question = F.concat(F.lit("What does Part "), F.substring("section_id", 1, 1), F.lit(" say in Chapter "), F.substring("section_id", 1, 2), F.lit("?"))
+    kind = F.coalesce(text.content_type(F.col("content_type")), F.lit("Support"))
+    prior = search.hierarchy_prior(question, F.col("part"), F.col("chapter"))
+    base, near = 1 / (60 + F.coalesce("ordinal", F.lit(0))), 1 / (1 + F.greatest(F.lit(0), F.coalesce(F.size("figure_refs"), F.lit(0))))
+    return chunks(spark, sf).select("chunk_id", F.round(prior, 6).alias("hierarchy"), F.round(search.final_score(base, near, text.rule_weight(kind), prior), 6).alias("score"))
 
 
 def rerank_topk(spark, sf):
@@ -120,8 +121,8 @@ SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(sum(x), 12) D
 SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank, round(score, 6) AS score FROM t QUALIFY rank <= 5""",
     "binary_first_pass": f"""WITH {E}, n AS (SELECT q.id AS qid, e.id, list_dot_product(q.vec, e.vec) AS score FROM e q, e WHERE q.id % 20 = 0)
 SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank, round(score, 6) AS score FROM n QUALIFY rank <= 10""",
-    "score_formula": f"""WITH {C}, p AS (SELECT chunk_id, {WEIGHT.format(KIND)} AS w, CASE WHEN contains(lower(coalesce(part, '')), 'part ' || left(section_id, 1)) AND regexp_matches(left(section_id, 1), '^\\d$') THEN 0.6::DOUBLE ELSE 0.0 END + CASE WHEN contains(lower(coalesce(chapter, '')), lower(left(section_id, 2))) THEN 0.6::DOUBLE ELSE 0.0 END AS h FROM c)
-SELECT chunk_id, round(h, 6) AS hierarchy, round(0.03::DOUBLE + 0.4::DOUBLE * 0.5 + 0.3::DOUBLE * (w - 1.0) + 0.2::DOUBLE * h, 6) AS score FROM p""",
+    "score_formula": f"""WITH {C}, p AS (SELECT chunk_id, 1.0::DOUBLE / (60 + coalesce(ordinal, 0)) AS base, 1.0::DOUBLE / (1 + coalesce(len(figure_refs), 0)) AS near, {WEIGHT.format(KIND)} AS w, CASE WHEN contains(lower(coalesce(part, '')), 'part ' || left(section_id, 1)) AND regexp_matches(left(section_id, 1), '^\\d$') THEN 0.6::DOUBLE ELSE 0.0 END + CASE WHEN contains(lower(coalesce(chapter, '')), lower(left(section_id, 2))) THEN 0.6::DOUBLE ELSE 0.0 END AS h FROM c)
+SELECT chunk_id, round(h, 6) AS hierarchy, round(base + 0.4::DOUBLE * near + 0.3::DOUBLE * (w - 1.0) + 0.2::DOUBLE * h, 6) AS score FROM p""",
     "rerank_topk": f"""WITH r AS (SELECT DISTINCT record_id, question_id, question, answer FROM runs WHERE answer IS NOT NULL AND question IS NOT NULL), w AS (SELECT question_id AS qid, record_id AS id, {_words('question')} AS q, {_words('answer')} AS a FROM r), s AS (SELECT qid, id, len(list_intersect(q, a)) / greatest(len(q), 1) AS score FROM w)
 SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 6""",
     "rerank_identity": f"WITH {E}, {_D(6)} SELECT qid, id, round(1 - (rank - 1) * 1e-6::DOUBLE, 8) AS score FROM d",

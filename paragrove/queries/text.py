@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paragrove.functions import ids, text
-from paragrove.runtime import table
+from paragrove.runtime import broadcast_if_small, table
 
 
 def chunks(spark, sf):
@@ -110,7 +110,7 @@ def provider_dispatch(spark, sf):
     """Alias resolution with identity as default, and the provider by prefix where none is given."""
     runs = table(spark, sf, "runs").select("model_alias").distinct()
     models = table(spark, sf, "models")
-    return runs.join(F.broadcast(models), F.col("model_alias") == F.col("alias"), "left").select("model_alias", F.coalesce("selector", "model_alias").alias("selector"), F.coalesce("provider", text.provider_of(F.coalesce("selector", "model_alias"))).alias("provider"), F.coalesce("enabled", F.lit(True)).alias("enabled"))
+    return runs.join(broadcast_if_small(models), F.col("model_alias") == F.col("alias"), "left").select("model_alias", F.coalesce("selector", "model_alias").alias("selector"), F.coalesce("provider", text.provider_of(F.coalesce("selector", "model_alias"))).alias("provider"), F.coalesce("enabled", F.lit(True)).alias("enabled"))
 
 
 def token_limits(spark, sf):

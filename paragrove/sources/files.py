@@ -39,14 +39,15 @@ def evolve_figures(raw: DataFrame) -> DataFrame:
     return have.withColumns({"canonical_id": cid, "extraction_method": F.coalesce("extraction_method", F.lit("caption_above_v1")), "chapter": F.coalesce("chapter", F.split_part(cid, F.lit("-"), F.lit(1))), "anchor_section": F.coalesce("anchor_section", F.lit("")), "sign_codes_depicted": F.coalesce("sign_codes_depicted", F.array().cast("array<string>"))})
 
 
-def code_map(registry: DataFrame) -> DataFrame:
-    """One JSON object keyed by code, keys sorted: for small registries at the edge of the system."""
+def code_map(registry: DataFrame, entries: int = 100_000) -> DataFrame:
+    """JSON objects keyed by code, keys sorted, of about `entries` codes each: one object for a small registry."""
+    n = max(1, -(-registry.count() // entries))
     entry = F.struct("code", F.struct(*[c for c in registry.columns if c != "code"]).alias("value"))
-    return registry.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("json"))
+    return registry.groupBy(F.pmod(F.xxhash64("code"), F.lit(n)).alias("part")).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("json")).select("json")
 
 
 def read_code_map(df: DataFrame, value: str) -> DataFrame:
-    """The rows of a JSON object keyed by code."""
+    """The rows of JSON objects keyed by code."""
     return df.select(F.explode(F.from_json("json", f"map<string, struct<{value}>>")).alias("code", "value")).select("code", "value.*")
 
 

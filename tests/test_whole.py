@@ -1,9 +1,9 @@
-"""Queries that once read only a part of their input, against SQL of the whole job."""
+"""What queries must read whole, beside the comparison of every query with its SQL."""
 
 import pytest
 
 from compare import connect, rows
-from paragrove.queries import evaluation, graph, pipeline, search
+from paragrove.queries import evaluation, graph, pipeline
 from tests.conftest import SF
 
 
@@ -18,24 +18,6 @@ def same(df, duck, sql):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(columns, cur.fetchall())
 
 
-def test_query_entities_reads_every_answer(spark, duck):
-    one, every = "SELECT question_id AS qid, translate(min(answer), '‐‑‒–—', '-----') AS t FROM runs WHERE answer IS NOT NULL GROUP BY 1", "SELECT question_id AS qid, translate(answer, '‐‑‒–—', '-----') AS t FROM runs WHERE answer IS NOT NULL"
-    assert one in graph.ORACLE["query_entities"]
-    same(graph.query_entities(spark, SF), duck, graph.ORACLE["query_entities"].replace(one, every))
-
-
-def test_nhop_starts_at_every_section_and_passes_hubs(spark, duck):
-    sql, seed, bar = graph.ORACLE["kg_nhop"], " AND id LIKE '%.05'", " AND NOT regexp_matches(id, '^(part|chapter|category):')"
-    assert seed in sql and bar in sql
-    same(graph.kg_nhop(spark, SF), duck, sql.replace(seed, "").replace(bar, ""))
-
-
-def test_binary_first_pass_is_brute_force(spark, duck):
-    cut = "bit_count(xor(q.bits, e.bits)), e.id) <= 40"
-    assert cut in search.ORACLE["binary_first_pass"]
-    same(search.binary_first_pass(spark, SF), duck, search.ORACLE["binary_first_pass"].replace(cut, "e.id) > 0"))
-
-
 def test_sign_bits_take_every_component(spark):
     from pyspark.sql import functions as F
 
