@@ -42,6 +42,7 @@ REFUSAL = r"(?iu)(?:" + "|".join((
 )) + ")"
 LABELLED_ROWS = 4_096     # labelled answers that the languages are fitted on, about; a sample by hash
 LABELLED_WORDS = 50_000   # words that the fitted model keeps, at most, the most frequent first
+LABELLED_PRIOR = 1_000    # words of the average language that every language is given besides its own
 MARGIN = 4.0              # log likelihood by which another language must win, and
 MARGIN_WORD = 0.25        # for every word that the model knows
 PREFIX_ODDS = 20.0        # how much likelier a cut text ends in the beginning of a longer sentence or item, inside a word
@@ -116,9 +117,11 @@ class Languages:
         for c in counts.values():
             words.update(c)
         kept = [w for w, n in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:LABELLED_WORDS] if n >= 2]
-        self.words = {}
+        self.words, every = {}, sum(words.values())
         for w in kept:
-            logs = [math.log((counts[lang][w] + 0.5) / (total[lang] + 0.5 * len(kept))) for lang in self.names]
+            # a language with few labelled words keeps near the average of all
+            share = LABELLED_PRIOR * words[w] / every
+            logs = [math.log((counts[lang][w] + share) / (total[lang] + LABELLED_PRIOR)) for lang in self.names]
             mean = sum(logs) / len(logs)
             self.words[w] = tuple(x - mean for x in logs)
 

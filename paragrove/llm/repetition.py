@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from paragrove.runtime import Shelf, spread
 
 GRAM = 8
+LEAST_PARTS = 4  # a text of fewer sentences, clauses or paragraphs says nothing about their repetition
 WORDS = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"(?<=[.!?…;])\s+|\n+")
 CLAUSE = re.compile(r"[,.;:!?…\n]+")
 #: rule: votes "not" up to the first value (never where it is None), "repetitive" from the second, abstains between
-RULES = {"phrase_share": (0.25, 0.45), "sentence_share": (0.0, 0.30), "clause_share": (0.0, 0.25), "paragraph_share": (None, 0.25), "top_phrase_share": (None, 0.20), "squeeze": (0.50, 0.65)}
+RULES = {"phrase_share": (0.15, 0.30), "sentence_share": (0.0, 0.30), "clause_share": (0.0, 0.25), "paragraph_share": (None, 0.25), "top_phrase_share": (None, 0.20), "squeeze": (0.50, 0.65)}
 MEASURES = ["n_words", "share", *RULES]
 
 
@@ -59,7 +60,9 @@ def passage_share(codes: np.ndarray, gram: int = GRAM) -> float:
 
 
 def repeated(parts: list[str], least: int) -> float:
-    """The share of characters in parts of at least so many characters that occurred before."""
+    """The share of characters in parts of at least so many characters that occurred before; -1 where there are too few parts to tell."""
+    if len(parts) < LEAST_PARTS:
+        return -1.0
     seen, again, total = set(), 0, 0
     for p in parts:
         p = p.strip().lower()
@@ -135,7 +138,7 @@ def repetition(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     spark = documents.sparkSession
     shelf = Shelf(spark)
-    vote = lambda r: F.when(F.col(r) >= RULES[r][1], 1).when(F.col(r) <= F.lit(-1.0 if RULES[r][0] is None else RULES[r][0]), 0).otherwise(-1)
+    vote = lambda r: F.when(F.col(r) >= RULES[r][1], 1).when((F.col(r) >= 0) & (F.col(r) <= F.lit(RULES[r][0])), 0).otherwise(-1)
     votes = shelf.keep(measured(documents, key, text).withColumns({f"v_{r}": vote(r) for r in RULES}), "votes")
     names = [f"v_{r}" for r in RULES]
     seen = votes.groupBy(*names).count().collect()  # at most 3 to the power of the number of rules

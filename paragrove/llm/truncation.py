@@ -231,6 +231,7 @@ def scored(records: DataFrame, shelf: Shelf, key: str = "record_id", text: str =
     limits = limit_posteriors(rows.where("has_text AND NOT whole").groupBy("source", "length").agg(F.count("*").alias("n")))
     forms = shelf.keep(rows.where("ending IS NOT NULL").groupBy("ending", "listed", *words).agg(F.count("*").alias("n")), "forms")
     natural = shelf.keep(ending_probability(forms, counts, shelf), "natural")
+    shelf.drop("keys", "used", "hot-keys", "thirds", "hot-thirds", "counts", "forms", *([] if parts else ["passage"]))
     slim = rows.drop("listed", *words)
     met = split_join(slim.where("ending IS NOT NULL"), natural, ["ending"], "n", shelf, "hot-endings").unionByName(slim.where("ending IS NULL").withColumn("natural", F.lit(None).cast("double")))
     joined = met.join(broadcast_if_small(limits), ["source", "length"], "left").fillna({"censored": 0.0})
@@ -238,7 +239,7 @@ def scored(records: DataFrame, shelf: Shelf, key: str = "record_id", text: str =
     p = F.greatest(F.least(F.when(F.col("marked"), p * 0.3).otherwise(p), F.lit(0.999)), F.lit(0.001))
     prior = F.greatest(F.least("censored", F.lit(MOST_CENSORED)), F.when(F.col("marked"), F.lit(MARKED_RATE)).otherwise(F.lit(BASE_RATE)))
     out = joined.select("record_id", *KEPT, "has_text", "censored", p.alias("natural"), (prior / (1 - prior) * (1 - p) / p).alias("odds"))
-    return out, both.where("part IS NOT NULL").select("part", "inner")
+    return out, both.where("part IS NOT NULL").select("part", "inner")  # without parts there is nothing to read
 
 
 def truncated(records: DataFrame, key: str = "record_id", text: str = "answer", source: str = "model_alias", rules=None) -> DataFrame:
