@@ -18,6 +18,7 @@ from paragrove.runtime import Shelf
 
 QUERY_BLOCK = 8_192   # queries of a cell, about
 ITEM_BLOCK = 32_768   # items of a cell, about
+HOT_PART = 20         # a token of more than one in so many of a cell's items is hot
 LEAST_BLOCK = 2_048   # items that a cell should have at least, before more cores share the work
 
 
@@ -94,7 +95,7 @@ def ranked(hits: DataFrame, k: int, score: str = "score", digits: int = 9) -> Da
 def sparse_topk(queries: DataFrame, items: DataFrame, k: int, step: int = 1_024) -> DataFrame:
     """qid, id, score, rank by the dot product of sparse vectors (map of token to weight).
 
-    In a cell the tokens of both sides are joined; products are added up per pair for `step` queries at a time, and the k best
+    In a cell hot tokens give a matrix product and the other tokens of both sides are joined; products are added up per pair for `step` queries at a time, and the k best
     of each query are kept. Pairs without a common token, and those whose product is 0, are no hits; empty and null maps have
     none, null weights count as 0.
     """
@@ -105,6 +106,19 @@ def sparse_topk(queries: DataFrame, items: DataFrame, k: int, step: int = 1_024)
 
     def score(t: pa.Table) -> pa.Table:
         (qid, q, qt, qw), (ids, d, dt, dw) = flat(t.filter(t["asks"])), flat(t.filter(pc.invert(t["asks"])))
+        # tokens of many items are columns of a matrix product, the others are joined
+        seen, times = np.unique(dt, return_counts=True)
+        hot = seen[times * HOT_PART > len(ids)]
+
+        def columns(row, token, weight, n):
+            at = np.minimum(np.searchsorted(hot, token), max(0, len(hot) - 1))
+            is_hot = hot[at] == token if len(hot) else np.zeros(len(token), bool)
+            x = np.zeros((n, len(hot)))
+            x[row[is_hot], at[is_hot]] = weight[is_hot]
+            return x, row[~is_hot], token[~is_hot], weight[~is_hot]
+
+        x, d, dt, dw = columns(d, dt, dw, len(ids))
+        v, q, qt, qw = columns(q, qt, qw, len(qid))
         order = np.argsort(dt, kind="stable")
         d, dt, dw, out = d[order], dt[order], dw[order], []
         width = max(1, min(step, 64_000_000 // max(1, len(ids))))
@@ -112,7 +126,7 @@ def sparse_topk(queries: DataFrame, items: DataFrame, k: int, step: int = 1_024)
             own = np.flatnonzero((q >= lo) & (q < lo + width))
             first, last = np.searchsorted(dt, qt[own], side="left"), np.searchsorted(dt, qt[own], side="right")
             m, n = len(qid[lo:lo + width]), last - first
-            s, at = np.zeros(m * len(ids)), 0
+            s, at = (v[lo:lo + width] @ x.T).ravel(), 0
             ends = np.cumsum(n)
             while at < len(own):  # a bounded number of products at a time
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 8_000_000, side="right")))
