@@ -23,10 +23,16 @@ def fingerprint(spark, sf, *names) -> tuple:
     return tuple(out)
 
 
+def _there(spark, root: str) -> bool:
+    """Whether a graph's tables are complete."""
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/_SUCCESS") for name in ("nodes", "edges")]
+    return all(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for p in paths)
+
+
 def built(spark, sf):
     """The graph of a data directory, built once a session and read by every query after that, as long as its files are the same."""
     key = fingerprint(spark, sf, "chunks", "figures")
-    if key not in _BUILT:
+    if key not in _BUILT or not _there(spark, _BUILT[key]):
         shelf = Shelf(spark)
         g = graph.build(chunks(spark, sf), figures(spark, sf))
         shelf.keep(g.nodes, "nodes"), shelf.keep(g.edges, "edges")
