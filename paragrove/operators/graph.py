@@ -1,13 +1,18 @@
 """The property graph as two tables, nodes (id, kind, manual, unresolved, attributes) and edges (src, dst, label), and its traversals.
 
-Node ids carry the manual, so one build holds many manuals. Edges are distinct. Traversals grow a frontier that is joined to
-the edges and stripped of visited nodes, with the lineage cut by a written table after every hop.
+Node ids carry the manual, so one build holds many manuals. Edges are distinct. reach() grows a frontier that is joined to
+the edges and stripped of visited nodes, with the lineage cut by a written table after every hop; proximity() needs no list
+of the nodes reached and keeps bits instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,13 +87,14 @@ def build(chunks: DataFrame, figures: DataFrame) -> Graph:
     Missing parts and chapters become 'Part ?' and 'Chapter ?'. Cited but absent figures and sections become unresolved
     placeholder nodes; a node that exists anywhere is resolved. Figures with several sheets are one node, with the attributes
     of the first sheet. A section has those of its first chunk by page, ordinal and id. A figure depicts its own codes, those of
-    the chunks that cite it and those of the chunks on its page. One scan of the chunks gives all their nodes and edges.
+    the chunks that cite it and those of the chunks on its page. The chunks are read once, and one scan of what is kept of them gives all their nodes, one all their edges.
     """
     shelf = Shelf(chunks.sparkSession)
     m = F.col("manual")
     norm = lambda refs, key: F.filter(F.array_distinct(F.transform(F.coalesce(refs, F.array().cast("array<string>")), key)), lambda x: x.isNotNull() & (x != ""))
     c = chunks.select("manual", F.coalesce("part", F.lit("Part ?")).alias("part"), F.coalesce("chapter", F.lit("Chapter ?")).alias("chapter"), "section_id", "section_title", "chunk_id", "content_type", "ordinal", "page_pdf", "page_printed",
                       norm(F.col("figure_refs"), reference_key).alias("figs"), norm(F.col("table_refs"), reference_key).alias("tabs"), norm(F.col("sign_codes"), lambda x: F.upper(F.trim(x))).alias("codes"), norm(F.col("section_refs"), section_key).alias("secs"))
+    c = shelf.keep(c, "chunks")
     part, chapter, section, chunk = node("part", "manual", "part"), node("chapter", "manual", "chapter"), node("section", "manual", "section_id"), node("chunk", "chunk_id")
     of = lambda kind, x: F.concat(F.lit(f"{kind}:"), F.concat_ws("/", m, x))
     other = F.filter("secs", lambda x: x != F.col("section_id"))
@@ -125,7 +131,7 @@ def build(chunks: DataFrame, figures: DataFrame) -> Graph:
     at = F.min_by("section_id", F.struct(F.col("ordinal"), F.col("chunk_id")))
     pages = c.groupBy("manual", "page_pdf").agg(at.alias("section_id"))
     page_codes = c.select("manual", "page_pdf", F.explode("codes").alias("code")).distinct()
-    short = chunks.where("chapter IS NOT NULL").select("manual", "chapter", F.upper(F.regexp_extract("chapter", r"(?i)^Chapter\s+([0-9A-Z]+)\b", 1)).alias("short")).where("short <> ''").groupBy("manual", "short").agg(F.min("chapter").alias("chapter"))
+    short = c.select("manual", "chapter", F.upper(F.regexp_extract("chapter", r"(?i)^Chapter\s+([0-9A-Z]+)\b", 1)).alias("short")).where("short <> ''").groupBy("manual", "short").agg(F.min("chapter").alias("chapter"))
     e = lambda df, s, d, label: df.select(s.alias("src"), d.alias("dst"), F.lit(label).alias("label"))
     parts = [
         c.select(F.explode(edges).alias("e")).select("e.*"),
@@ -222,11 +228,11 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, hops: int, barrier: Column | None = None, wanted: DataFrame | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, hops: int, barrier: Column | None = None) -> DataFrame:
     """qid, id, depth: nodes within so many undirected hops of each query's seeds (qid, id), the seeds included at depth 0.
 
     Duplicate seeds count once; seeds that are no node reach themselves alone. barrier: nodes (condition on id) that are
-    reached but not passed, for hubs. wanted (qid, id): a query ends once all its wanted nodes are reached.
+    reached but not passed, for hubs.
     """
     shelf = Shelf(edges.sparkSession)
     both = shelf.keep(undirected(edges), "both")
@@ -234,8 +240,6 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int, barrier: Column | None
     frontier = seen
     for d in range(1, hops + 1):
         start = frontier if barrier is None else frontier.where((F.col("depth") == 0) | ~barrier)
-        if wanted is not None:
-            start = start.join(wanted.join(seen.select("qid", "id"), ["qid", "id"], "left_anti").select("qid").distinct(), "qid", "left_semi")
         step = start.select("qid", F.col("id").alias("a")).join(both, "a").select("qid", F.col("b").alias("id")).distinct()
         frontier = shelf.keep(step.join(seen.select("qid", "id"), ["qid", "id"], "left_anti").withColumn("depth", F.lit(d)), f"hop-{d}")
         if frontier.isEmpty():
@@ -244,14 +248,103 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int, barrier: Column | None
     return seen
 
 
+def coded(edges: DataFrame, ids: DataFrame, shelf: Shelf, tries: int = 8) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """a, b: the ends of the edges as numbers, distinct for distinct ids, those of ids (id) included; and the numbers of a column.
+
+    Numbers are hashes. That no two ids share one is checked by a second hash of each; where two do, other hashes are taken.
+    """
+    for seed in range(tries):
+        number = lambda c, seed=seed: F.xxhash64(c, F.lit(seed))
+        other = lambda c: F.xxhash64(F.lit(-1), c)
+        pairs = shelf.keep(edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select(number("src").alias("a"), number("dst").alias("b"), other("src").alias("ca"), other("dst").alias("cb")), "pairs")
+        every = pairs.select("a", "ca").union(pairs.select("b", "cb")).union(ids.select(number("id"), other("id")))
+        if every.groupBy("a").agg((F.min("ca") < F.max("ca")).alias("two")).where("two").isEmpty():
+            return pairs.select("a", "b"), number
+    raise RuntimeError(f"no hash of {tries} tells all nodes apart")
+
+
+def _neighbours(first: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the neighbours of nodes stand in a list that has those of node i from first[i] to first[i + 1], and how many each node has."""
+    n = first[nodes + 1] - first[nodes]
+    return np.repeat(first[nodes] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()), n
+
+
+def _depths(first: np.ndarray, other: np.ndarray, seeds: tuple[np.ndarray, np.ndarray], wanted: tuple[np.ndarray, np.ndarray], hops: int) -> np.ndarray:
+    """The hops of every wanted (node, query) from its query's seeds, -1 beyond `hops`; for 64 queries, numbered from 0, that are bits of a word per node."""
+    bit = lambda q: np.left_shift(np.uint64(1), q.astype(np.uint64))
+    node, ask = wanted[0], bit(wanted[1])
+    seen, depth = np.zeros(len(first) - 1, np.uint64), np.full(len(node), -1)
+    np.bitwise_or.at(seen, seeds[0], bit(seeds[1]))
+    front, open_, linked = seen.copy(), np.arange(len(node)), np.flatnonzero(np.diff(first))
+    for d in range(hops + 1):
+        if d:
+            step, live = np.zeros_like(seen), np.flatnonzero(front)
+            few = np.unique(node[open_]) if d == hops else live  # after the last hop only the wanted nodes matter
+            few = few[first[few + 1] > first[few]]
+            at, n = _neighbours(first, few) if (first[few + 1] - first[few]).sum() * 4 < len(other) else (None, None)
+            if at is None:
+                step[linked] = np.bitwise_or.reduceat(front[other], first[linked]) if len(linked) else 0
+            elif d == hops:
+                step[few] = np.bitwise_or.reduceat(front[other[at]], np.r_[0, np.cumsum(n)[:-1]]) if len(few) else 0
+            else:
+                np.bitwise_or.at(step, other[at], np.repeat(front[few], n))
+            front = step & ~seen & np.bitwise_or.reduce(ask[open_])  # a query ends once all its wanted nodes are reached
+            seen |= front
+        hit = (seen[node[open_]] & ask[open_]) != 0
+        depth[open_[hit]] = d
+        open_ = open_[~hit]
+        if not len(open_) or not front.any():
+            break
+    return depth
+
+
 def proximity(edges: DataFrame, entities: DataFrame, chunks: DataFrame, hops: int = 6) -> DataFrame:
     """qid, id, score of candidate nodes: 1 / (1 + hops to the nearest entity of the query), 0 beyond `hops`.
 
-    entities: qid, id; chunks: qid, id (the candidates of each query).
+    entities: qid, id; chunks: qid, id (the candidates of each query). Queries are spread over the cores, each with all edges
+    as pairs of numbers (coded()), and walk the graph 64 at a time as the bits of one word per node, so that no row is made for a node
+    that a query passes: through codes and categories it passes most nodes of all manuals.
     """
-    chunks = Shelf(edges.sparkSession).keep(chunks, "candidates")
-    near = reach(edges, entities, hops, wanted=chunks.select("qid", "id")).withColumnRenamed("depth", "d")
-    return chunks.join(near, ["qid", "id"], "left").select("qid", "id", F.when(F.col("d").isNull(), 0.0).otherwise(1 / (1 + F.col("d"))).alias("score"))
+    shelf, kind = Shelf(edges.sparkSession), chunks.schema["qid"].dataType
+    entities = shelf.keep(entities.select(F.col("qid").cast(kind).alias("qid"), "id").where("qid IS NOT NULL AND id IS NOT NULL"), "entities")
+    chunks = shelf.keep(chunks.select("qid", "id"), "candidates")
+    pairs, number = coded(edges, entities.select("id").unionByName(chunks.select("id").where("id IS NOT NULL")), shelf)
+    asked = entities.agg(F.count_distinct("qid")).head()[0]
+    cells = max(1, min(edges.sparkSession.sparkContext.defaultParallelism, -(-asked // 64)))
+
+    def pack(batches):
+        for t in batches:
+            if t.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t[c]) for c in ("a", "b")], ["a", "b"])
+
+    def walk(links: pa.Table, rows: pa.Table) -> pa.Table:
+        query = np.asarray(pc.fill_null(pc.dictionary_encode(rows["qid"].combine_chunks()).indices, -1)) if len(rows) else np.zeros(0, np.int32)
+        code, seed = np.asarray(rows["n"]), np.asarray(rows["seed"])
+        depth = np.full(len(rows), -1)
+        wanted = np.flatnonzero(~seed & (query >= 0) & np.asarray(rows["id"].is_valid()) & np.isin(query, query[seed]))
+        queries = np.unique(query[wanted])
+        if len(queries):
+            a, b = (np.concatenate([np.zeros(0, np.int64), *(np.asarray(x.flatten()) for x in links[c].chunks)]) for c in ("a", "b"))
+            codes, node = np.unique(np.concatenate([a, b, code]), return_inverse=True)
+            node = node.astype(np.int32)
+            a, b, node = node[:len(a)], node[len(a):2 * len(a)], node[2 * len(a):]
+            a, b = np.r_[a, b], np.r_[b, a]
+            other, first = b[np.argsort(a, kind="stable")], np.r_[0, np.cumsum(np.bincount(a, minlength=len(codes)))]
+            seeds = np.flatnonzero(seed & np.isin(query, queries))
+            place = lambda at: np.searchsorted(queries, query[at])
+            s, w = place(seeds), place(wanted)
+            for lo in range(0, len(queries), 64):
+                x, y = (s >= lo) & (s < lo + 64), (w >= lo) & (w < lo + 64)
+                depth[wanted[y]] = _depths(first, other, (node[seeds[x]], s[x] - lo), (node[wanted[y]], w[y] - lo), hops)
+        out = rows.filter(pa.array(~seed))
+        return out.select(["qid", "id"]).append_column("score", pa.array(np.where(depth < 0, 0.0, 1 / (1 + np.maximum(depth, 0)))[~seed]))
+
+    own = F.pmod(F.xxhash64("qid"), F.lit(cells)).cast("int").alias("cell")
+    rows = entities.withColumn("seed", F.lit(True)).unionByName(chunks.withColumn("seed", F.lit(False))).select(own, "qid", "id", number("id").alias("n"), "seed")
+    packed = shelf.keep(pairs.mapInArrow(pack, "a array<bigint>, b array<bigint>"), "packed")
+    shelf.drop("pairs")
+    every = packed.select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), "a", "b")
+    return every.groupBy("cell").cogroup(rows.groupBy("cell")).applyInArrow(walk, f"qid {kind.simpleString()}, id string, score double")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

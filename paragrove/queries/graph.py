@@ -23,21 +23,23 @@ def fingerprint(spark, sf, *names) -> tuple:
     return tuple(out)
 
 
-def _there(spark, root: str) -> bool:
-    """Whether a graph's tables are complete."""
-    paths = [spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/_SUCCESS") for name in ("nodes", "edges")]
-    return all(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for p in paths)
+def _there(spark, root: str, name: str) -> bool:
+    """Whether a table of a graph is complete."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def built(spark, sf):
-    """The graph of a data directory, built once a session and read by every query after that, as long as its files are the same."""
+def built(spark, sf, names=("nodes", "edges")):
+    """The graph of a data directory, or one table of it, built once a session and read by every query after that, as long as its files are the same."""
     key = fingerprint(spark, sf, "chunks", "figures")
-    if key not in _BUILT or not _there(spark, _BUILT[key]):
+    lack = [n for n in names if (key, n) not in _BUILT or not _there(spark, _BUILT[key, n], n)]
+    if lack:
         shelf = Shelf(spark)
         g = graph.build(chunks(spark, sf), figures(spark, sf))
-        shelf.keep(g.nodes, "nodes"), shelf.keep(g.edges, "edges")
-        _BUILT[key] = shelf.root
-    return graph.read(spark, _BUILT[key])
+        for n in lack:
+            shelf.keep(getattr(g, n), n)
+            _BUILT[key, n] = shelf.root
+    return graph.Graph(*[spark.read.parquet(f"{_BUILT[key, n]}/{n}") if n in names else None for n in ("nodes", "edges")])
 
 
 def kg_nodes(spark, sf):
@@ -99,10 +101,8 @@ def kg_nhop(spark, sf):
 
 def kg_proximity(spark, sf):
     """1 / (1 + hops) of every chunk of a manual to the nearest of that manual's figures, up to 6 hops."""
-    shelf = Shelf(spark)
-    g = built(spark, sf)
-    edges = shelf.keep(g.edges, "edges")
-    ents = g.nodes.where("kind = 'Figure' AND NOT unresolved").select(F.col("manual").alias("qid"), "id")
+    edges = built(spark, sf, ("edges",)).edges
+    ents = figures(spark, sf).where("kind = 'Figure'").select(F.col("manual").alias("qid"), graph.node("figure", "manual", graph.reference_key(F.col("canonical_id"))).alias("id")).distinct()
     cand = chunks(spark, sf).select(F.col("manual").alias("qid"), graph.node("chunk", "chunk_id").alias("id"))
     return graph.proximity(edges, ents, cand).groupBy("qid", F.round("score", 6).alias("score")).agg(F.count("*").alias("n"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paragrove.functions import ids, text
 from paragrove.operators import evalrun, figures, graph, lexical, orphans, prompt, router, search, segment
+from paragrove.runtime import Shelf
 from paragrove.sources import files
 from paragrove.streaming import progress
 
@@ -212,3 +213,29 @@ def test_streams(spark, tmp_path):
     s = lambda: progress.log(spark, f"file://{tmp_path}/log", df.schema)
     assert progress.run_append(progress.dedup(s(), ["record_id"]), "x").count() == 2
     assert tuple(progress.run_complete(progress.progress(s(), "run_id"), "y").head()) == ("r", 3, 2, 1)
+
+
+def test_proximity_makes_no_row_per_node_passed(spark, monkeypatch):
+    from paragrove import runtime
+
+    links = [(f"m{i}", "hub") for i in range(90)] + [("hub", f"n{i}") for i in range(300)] + [("n0", "o"), ("o", "p"), ("p", "q"), ("q", "r"), ("x", "y"), ("y", "y")]
+    edges = spark.createDataFrame([(a, b, "l") for a, b in links], "src string, dst string, label string")
+    seeds = spark.createDataFrame([(f"q{i}", f"m{i}") for i in range(90)] + [("q0", "lone"), ("q0", None), (None, "hub")], "qid string, id string")
+    wanted = [(f"q{i}", f"n{i}", 1 / 3) for i in range(90)] + [("q0", "r", 1 / 7), ("q1", "m1", 1.0), ("q0", "lone", 1.0), ("q2", "y", 0.0), ("q2", "nowhere", 0.0), ("other", "hub", 0.0), (None, "hub", 0.0), ("q3", None, 0.0), ("q3", "hub", 0.5), ("q3", "hub", 0.5)]
+    cand = spark.createDataFrame([w[:2] for w in wanted], "qid string, id string")
+    kept, keep = [], runtime.Shelf.keep
+    monkeypatch.setattr(runtime.Shelf, "keep", lambda self, df, name: (kept.append(df), keep(self, df, name))[1])
+    order = lambda rows: sorted(repr(tuple(r)) for r in rows)
+    assert order(graph.proximity(edges, seeds, cand).collect()) == order(wanted)
+    assert order(graph.proximity(edges, seeds, cand, 5).where("id = 'r'").collect()) == order([("q0", "r", 0.0)])
+    assert max(df.count() for df in kept) <= len(links)
+
+
+def test_node_numbers_that_collide_are_made_anew(spark, monkeypatch):
+    hashed, calls = F.xxhash64, []
+    same = lambda *c: hashed(*c) if not isinstance(c[0], str) or (calls.append(1), len(calls) > 3)[1] else F.lit(5).cast("bigint")
+    monkeypatch.setattr(graph.F, "xxhash64", same)
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    pairs, number = graph.coded(edges, spark.createDataFrame([("a",), ("z",)], "id string"), Shelf(spark))
+    (a, b), (b2, c) = sorted(((r.a, r.b) for r in pairs.collect()), key=lambda p: p[0] != edges.where("src = 'a'").select(number("src")).head()[0])
+    assert b == b2 and len({a, b, c}) == 3 and len(calls) > 3
