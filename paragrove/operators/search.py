@@ -19,6 +19,8 @@ from paragrove.runtime import Shelf
 QUERY_BLOCK = 8_192   # queries of a cell, about
 ITEM_BLOCK = 32_768   # items of a cell, about
 HOT_PART = 20         # a token of more than one in so many of a cell's items is hot
+PAGE_QUERIES = 32_768   # query vectors of a cell of late interaction, about
+PAGE_PATCHES = 131_072  # patches of a cell of late interaction, about
 LEAST_BLOCK = 2_048   # items that a cell should have at least, before more cores share the work
 
 
@@ -166,12 +168,67 @@ def hierarchy_prior(query: Column, part: Column, chapter: Column) -> Column:
     return F.when((mp != "") & p.contains(F.concat(F.lit("part "), mp)), 0.6).otherwise(0.0) + F.when((mc != "") & c.contains(mc), 0.6).otherwise(0.0)
 
 
-def maxsim(queries: DataFrame, pages: DataFrame, k: int, dim: int = 64, block: int = ITEM_BLOCK) -> DataFrame:
+def _page_sums(v: np.ndarray, qs: np.ndarray, x: np.ndarray, start: np.ndarray):
+    """Yields, for some whole queries at a time, the number of the first, their float32 scores of all pages, and how far off two of these may be against each other; both in units of the query.
+
+    v: the vectors of queries that begin at qs; x: the patches of pages that begin at start. The patches of a page lie in
+    `deep` layers, the last repeated to fill them, so that most maxima are taken of whole products.
+    """
+    norm = np.sqrt((v * v).sum(1))
+    tokens, scale = np.diff(np.r_[qs, len(v)]), np.maximum.reduceat(norm, qs)
+    scale[scale == 0] = 1
+    most = np.sqrt((x * x).sum(1).max()) or 1.0
+    n = np.diff(np.r_[start, len(x)])
+    deep = int(max(1, min(16, n.mean() // 4)))
+    groups = -(-n // deep)
+    head = np.r_[0, np.cumsum(groups)[:-1]]
+    page = np.repeat(np.arange(len(n)), groups)
+    at = (np.arange(len(page)) - head[page]) * deep
+    layers = [(x[start[page] + np.minimum(at + i, n[page] - 1)] / most).astype(np.float32) for i in range(deep)]
+    v = (v / np.repeat(scale, tokens)[:, None]).astype(np.float32)
+    ends, lo, width = np.r_[qs, len(v)], 0, max(1, min(512, 16_000_000 // len(page)))
+    while lo < len(qs):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + width, side="right")) - 1)
+        q, s = v[ends[lo]:ends[hi]], np.empty((ends[hi] - ends[lo], len(page)), np.float32)
+        for g in range(0, len(page), 1_024):
+            top = q @ layers[0][g:g + 1_024].T
+            for layer in layers[1:]:
+                np.maximum(top, q @ layer[g:g + 1_024].T, out=top)
+            s[:, g:g + 1_024] = top
+        s = s if len(page) == len(start) else np.maximum.reduceat(s, head, axis=1)
+        s = s if len(q) == hi - lo else np.add.reduceat(s, qs[lo:hi] - qs[lo], axis=0)
+        t = tokens[lo:hi]
+        yield lo, s, t * (v.shape[1] + 8 + t) * 1.5e-7 + 2e-9 / (scale[lo:hi] * most)
+        lo = hi
+
+
+def _page_scores(v: np.ndarray, qs: np.ndarray, x: np.ndarray, start: np.ndarray, q: np.ndarray, p: np.ndarray, whole: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """q, p, the exact score of pairs of a query and a page; if not whole, the token and p of every part of a score, and the part."""
+    ends, stop, out = np.r_[qs, len(v)], np.r_[start, len(x)], []
+    order = np.argsort(p, kind="stable")
+    q, p = q[order], p[order]
+    cuts = np.flatnonzero(np.r_[True, np.diff(p) != 0]) if len(p) else p
+    for a, z in zip(cuts, np.r_[cuts[1:], len(p)]):
+        patches = x[start[p[a]]:stop[p[a] + 1]].T
+        while a < z:
+            n = ends[q[a:z] + 1] - ends[q[a:z]]
+            m = max(1, int(np.searchsorted(np.cumsum(n), 4_000_000 // patches.shape[1], side="right")))
+            n, own = n[:m], q[a:a + m]
+            tokens = np.repeat(ends[own] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            s = (v[tokens] @ patches).max(1)
+            out.append((own, np.add.reduceat(s, np.r_[0, np.cumsum(n)[:-1]]) if len(s) > m else s) if whole else (tokens, s))
+            out[-1] = (out[-1][0], np.full(len(out[-1][0]), p[a]), out[-1][1])
+            a += m
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (q, p, np.zeros(0))
+
+
+def maxsim(queries: DataFrame, pages: DataFrame, k: int, dim: int = 64, block: int = PAGE_PATCHES) -> DataFrame:
     """qid, id, score, rank of late interaction: the sum over a query's vectors of the largest dot product with a page's.
 
     queries: qid, vec (one row per query vector); pages: id, vec (one row per patch). The vectors of a query share a block, and
-    so do the patches of a page, so a cell has whole scores and keeps the k best pages of each query. Pages of more than
-    `block` patches are cut over cells; their maxima per query vector are merged and summed after that.
+    so do the patches of a page, so a cell has whole scores and keeps the k best pages of each query: products in single precision
+    show which may be among them, those are scored exactly. Pages of more than `block` patches are cut over cells; their maxima
+    per query vector are merged and summed after that, for queries of one vector only where they are among the k best of the cell.
     """
     shelf = Shelf(pages.sparkSession)
     q = shelf.keep(queries.select("qid", "vec", F.monotonically_increasing_id().alias("token")), "tokens")
@@ -193,16 +250,28 @@ def maxsim(queries: DataFrame, pages: DataFrame, k: int, dim: int = 64, block: i
             vo = np.argsort(qid, kind="stable")
             v, qid, token = v[vo], qid[vo], token[vo]
             qs = np.flatnonzero(np.r_[True, np.diff(qid) != 0])
-            for a, z in zip(qs, np.r_[qs[1:], len(qid)]):
-                top = np.maximum.reduceat(v[a:z] @ x.T, start, axis=1)
-                whole = _best(np.where(cut, -np.inf, top.sum(0))[None], qid[a:a + 1], page, k, 1e-9)
-                out.append(pa.table({"qid": whole["qid"], "token": pa.nulls(len(whole), pa.int64()), "id": whole["id"], "s": whole["score"]}))
+            one, pairs = np.diff(np.r_[qs, len(v)]) == 1, []
+            for lo, s, slack in _page_sums(v, qs, x, start):
                 if cut.any():
-                    n = int(cut.sum())
-                    out.append(pa.table({"qid": np.full(n * (z - a), qid[a]), "token": np.repeat(token[a:z], n), "id": np.tile(page[cut], z - a), "s": top[:, cut].ravel()}))
+                    s = np.where(cut[None] & ~one[lo:lo + len(s), None], -np.inf, s)
+                least = np.partition(s, -min(k, len(page)), axis=1)[:, -min(k, len(page))]
+                i, j = np.nonzero((s >= (least - slack)[:, None]) & np.isfinite(s))
+                pairs.append((i + lo, j))
+            i, j, s = _page_scores(v, qs, x, start, *(np.concatenate(c) for c in zip(*pairs)))
+            order = np.lexsort((-s, i))
+            i, j, s = i[order], j[order], s[order]
+            first = np.searchsorted(i, i, side="left")
+            n = np.searchsorted(i, i, side="right") - first
+            ok = s >= s[first + np.minimum(n, k) - 1] - 1e-9
+            i, j, s = i[ok], j[ok], s[ok]
+            out.append(pa.table({"qid": qid[qs[i]], "token": pa.array(token[qs[i]], mask=~cut[j]), "id": page[j], "s": s}))
+            many, parts = np.flatnonzero(~one), np.flatnonzero(cut)
+            if len(many) and len(parts):
+                i, j, s = _page_scores(v, qs, x, start, np.tile(many, len(parts)), np.repeat(parts, len(many)), False)
+                out.append(pa.table({"qid": qid[i], "token": token[i], "id": page[j], "s": s}))
         return pa.concat_tables(out)
 
-    tops = _cells(q, p, ["vec", "token"], i_block=block, part=F.struct("id", "token")).applyInArrow(best, "qid bigint, token bigint, id bigint, s double")
+    tops = _cells(q, p, ["vec", "token"], q_block=PAGE_QUERIES, i_block=block, part=F.struct("id", "token")).applyInArrow(best, "qid bigint, token bigint, id bigint, s double")
     tops = shelf.keep(tops, "tops")
     merged = tops.where("token IS NOT NULL").groupBy("qid", "token", "id").agg(F.max("s").alias("s")).groupBy("qid", "id").agg(F.sum("s").alias("score"))
     return ranked(tops.where("token IS NULL").select("qid", "id", F.col("s").alias("score")).unionByName(merged), k)

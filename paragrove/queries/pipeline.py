@@ -7,6 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from paragrove.functions.ids import reference_key
+from paragrove.operators import search
 from paragrove.plans import ask
 from paragrove.queries.graph import G, _K, built
 from paragrove.queries.search import vec_chunks
@@ -57,16 +58,25 @@ def code_map_round_trip(spark, sf):
     return files.read_code_map(files.code_map(c), "first_section: string, n: bigint")
 
 
+def vectors(spark, sf, *columns):
+    """The chunk vectors of a data directory, kept: id, vec, chunk_id, page, and further columns."""
+    v = vec_chunks(spark, sf).select("id", "vec", *columns, F.col("payload.chunk_id").alias("chunk_id"), F.col("payload.page_pdf").alias("page"))
+    return Shelf(spark).keep(v, "vectors")
+
+
+def patches(v):
+    """Pages whose patches are the vectors of their chunks."""
+    return v.where("page IS NOT NULL").select(F.col("page").cast("bigint").alias("id"), "vec")
+
+
 def corpus(spark, sf):
     """The corpus of a data directory: chunk vectors, figure vectors as crops of one patch, and pages whose patches are the vectors of their chunks."""
-    shelf = Shelf(spark)
-    v = shelf.keep(vec_chunks(spark, sf).select("id", "vec", "sparse", F.col("payload.chunk_id").alias("chunk_id"), F.col("payload.page_pdf").alias("page")), "vectors")
+    v = vectors(spark, sf, "sparse")
     t = table(spark, sf, "vec_figures")
     f = t.groupBy("id").agg(F.max_by(F.struct("dense", "payload"), "upserted_at").alias("r")).select("id", F.col("r.dense").alias("vec"), F.col("r.payload").alias("p"))
     kind = F.when(F.col("p.kind") == "Table", "table").otherwise("figure")
     node = F.concat(kind, F.lit(":"), "p.manual", F.lit("/"), reference_key(F.col("p.figure_id")))
-    g = built(spark, sf)
-    return ask.Corpus(chunks(spark, sf), figures(spark, sf), g, v, shelf.keep(f.select("id", "vec", node.alias("figure")), "figure-vectors"), v.where("page IS NOT NULL").select(F.col("page").cast("bigint").alias("id"), "vec"))
+    return ask.Corpus(chunks(spark, sf), figures(spark, sf), built(spark, sf), v, Shelf(spark).keep(f.select("id", "vec", node.alias("figure")), "figure-vectors"), patches(v))
 
 
 def asked(spark, sf, c):
@@ -84,10 +94,11 @@ def ask_plan(spark, sf):
 
 
 def ask_pages(spark, sf):
-    """The four best pages of every query."""
-    c = corpus(spark, sf)
-    decided = asked(spark, sf, c).select("qid", F.lit(True).alias("needs_figures"))
-    return ask.pages_for(asked(spark, sf, c), c, decided).select("qid", "rank", "page")
+    """The four best pages of every query; vectors alone decide, so neither chunks nor the graph are read."""
+    v = vectors(spark, sf)
+    q = v.where("id % 20 = 0").select(F.col("id").alias("qid"), "vec")
+    got = search.maxsim(q.where("vec IS NOT NULL"), patches(v), ask.MOST_PAGES)
+    return got.select("qid", "rank", F.col("id").alias("page"))
 
 
 def ask_figures(spark, sf):

@@ -202,3 +202,38 @@ def test_first_generation(spark, tmp_path):
     assert [round(r.b, 6) for r in boost] == [round(0.10 + 0.30 + 0.08 + 0.04, 6), 0.10]
     hits = spark.createDataFrame([("q", i, t) for i, t in enumerate(["Standard: 01 same text", "Guidance 02 same text", "b", "c", "d"])], "qid string, rank int, text string")
     assert lexical.joined_context(hits).head().context == "same text\n\nb\n\nc"
+
+
+def test_late_interaction_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    page = rng.integers(0, 12, 400)
+    page[:150] = 3  # a page that is cut over cells
+    x, v, owner = rng.standard_normal((400, 8)), rng.standard_normal((70, 8)) * 10.0 ** rng.integers(-3, 4, 70)[:, None], np.r_[np.arange(60), np.full(10, 60)]
+    x[200] = x[300] = 5 * v[0]  # one best patch of two pages
+    pages = spark.createDataFrame([(int(i), a.tolist()) for i, a in zip(page, x)] + [(99, None), (98, [1.0])], "id bigint, vec array<double>")
+    queries = spark.createDataFrame([(int(i), a.tolist()) for i, a in zip(owner, v)] + [(70, None)], "qid bigint, vec array<double>")
+    top = np.stack([(v @ x[page == p].T).max(1) for p in range(12)], axis=1)
+    score = np.stack([top[owner == q].sum(0) for q in range(61)])
+    want = {(q, n + 1, int(p)) for q in range(61) for n, p in enumerate(np.lexsort((np.arange(12), -np.round(score[q], 9)))[:3])}
+    for block in (40, 10_000):
+        assert {(r.qid, r["rank"], r.id) for r in search.maxsim(queries, pages, 3, dim=8, block=block).collect()} == want
+
+
+def test_late_interaction_multiplies_queries_together():
+    rng = np.random.default_rng(6)
+    v, x, start = rng.standard_normal((300, 8)), rng.standard_normal((500, 8)), np.array([0, 1, 90, 400])
+    qs = np.r_[np.arange(250), 250]
+    got = list(search._page_sums(v, qs, x, start))
+    assert len(got) == 1 and got[0][1].shape == (251, 4)
+    top = np.maximum.reduceat(v @ x.T, start, axis=1)
+    exact = np.r_[top[:250], top[250:].sum(0)[None]]
+    norm = np.sqrt((v * v).sum(1))
+    unit = np.r_[norm[:250], norm[250:].max()][:, None] * np.sqrt((x * x).sum(1).max())
+    assert (np.abs(got[0][1] * unit - exact) <= got[0][2][:, None] * unit).all()
+
+
+def test_ask_pages_needs_no_graph(spark, monkeypatch):
+    from paragrove.queries import pipeline
+
+    monkeypatch.setattr(pipeline, "built", None)
+    assert pipeline.ask_pages(spark, "/root/testdata/sf0.001").count() > 0
