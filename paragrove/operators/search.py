@@ -59,10 +59,21 @@ def _best(s: np.ndarray, qid: np.ndarray, ids: np.ndarray, k: int, slack: float)
     """qid, id, score of the k largest finite values of every row, and of those that tie with the last."""
     if not s.size:
         return pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-    top = min(k, s.shape[1])
-    cut = np.partition(s, -top, axis=1)[:, -top]
-    i, j = np.nonzero((s >= cut[:, None] - slack) & np.isfinite(s))
-    return pa.table({"qid": qid[i], "id": ids[j], "score": s[i, j]})
+    top, few = min(k, s.shape[1]), s
+    if s.shape[1] >= 256 * k:  # the k-th of the maxima of stretches is a lower bound
+        few = np.maximum.reduceat(s, np.arange(0, s.shape[1], 64), axis=1)
+    cut = np.partition(few, -top, axis=1)[:, -top]
+    i, j = np.nonzero(s >= np.maximum(cut - slack, -np.finfo(s.dtype).max)[:, None])
+    score = s[i, j]
+    ok = np.isfinite(score)
+    if few is not s:
+        order = np.lexsort((-score, i))
+        i, j, score = i[order], j[order], score[order]
+        first = np.searchsorted(i, i, side="left")
+        n = np.searchsorted(i, i, side="right") - first
+        ok = np.isfinite(score) & (score >= score[first + np.minimum(n, top) - 1] - slack)
+    i, j, score = i[ok], j[ok], score[ok]
+    return pa.table({"qid": qid[i], "id": ids[j], "score": score})
 
 
 HITS = "qid bigint, id bigint, score double"
@@ -78,11 +89,11 @@ def dense_topk(queries: DataFrame, items: DataFrame, k: int, dim: int = 64, keep
         ask, base = t.filter(t["asks"]), t.filter(pc.invert(t["asks"]))
         (q, qa), (x, xa) = _matrix(ask["vec"], dim), _matrix(base["vec"], dim)
         qid, ids, out = np.asarray(ask["id"])[qa], np.asarray(base["id"])[xa], []
-        for lo in range(0, len(q), 512):
-            s = q[lo:lo + 512] @ x.T
+        for lo in range(0, len(q), 256):
+            s = q[lo:lo + 256] @ x.T
             if not keep_self:
-                s[qid[lo:lo + 512, None] == ids[None]] = -np.inf
-            out.append(_best(s, qid[lo:lo + 512], ids, k, 1e-12))
+                s[qid[lo:lo + 256, None] == ids[None]] = -np.inf
+            out.append(_best(s, qid[lo:lo + 256], ids, k, 1e-12))
         return pa.concat_tables(out) if out else _best(np.zeros((0, 0)), qid, ids, k, 0)
 
     return ranked(_cells(queries.select("qid", "vec"), items.select("id", "vec"), ["vec"]).applyInArrow(score, HITS), k)
@@ -123,7 +134,7 @@ def sparse_topk(queries: DataFrame, items: DataFrame, k: int, step: int = 1_024)
         v, q, qt, qw = columns(q, qt, qw, len(qid))
         order = np.argsort(dt, kind="stable")
         d, dt, dw, out = d[order], dt[order], dw[order], []
-        width = max(1, min(step, 64_000_000 // max(1, len(ids))))
+        width = max(1, min(step, 8_000_000 // max(1, len(ids))))
         for lo in range(0, len(qid) if len(ids) else 0, width):
             own = np.flatnonzero((q >= lo) & (q < lo + width))
             first, last = np.searchsorted(dt, qt[own], side="left"), np.searchsorted(dt, qt[own], side="right")
@@ -131,7 +142,7 @@ def sparse_topk(queries: DataFrame, items: DataFrame, k: int, step: int = 1_024)
             s, at = (v[lo:lo + width] @ x.T).ravel(), 0
             ends = np.cumsum(n)
             while at < len(own):  # a bounded number of products at a time
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 8_000_000, side="right")))
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2_000_000, side="right")))
                 c = n[at:to]
                 j = np.repeat(first[at:to] - np.r_[0, np.cumsum(c)[:-1]], c) + np.arange(c.sum())
                 s += np.bincount(np.repeat(q[own[at:to]] - lo, c) * len(ids) + d[j], weights=np.repeat(qw[own[at:to]], c) * dw[j], minlength=len(s))

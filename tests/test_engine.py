@@ -237,3 +237,15 @@ def test_ask_pages_needs_no_graph(spark, monkeypatch):
 
     monkeypatch.setattr(pipeline, "built", None)
     assert pipeline.ask_pages(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_best_of_rows_by_a_bound_of_stretches(monkeypatch):
+    rng = np.random.default_rng(8)
+    s = np.round(rng.standard_normal((20, 3_000)), 2)
+    s[3], s[4], s[4, [5, 7]] = 1.0, -np.inf, [2.0, -3.0]
+    sorted_, sizes, plain = np.sort(s, axis=1), [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *x, **k: (sizes.append(a.size), plain(a, *x, **k))[1])
+    t = search._best(s, np.arange(20), np.arange(3_000) * 10, 4, 1e-12)
+    got = sorted(zip(t["qid"].to_pylist(), t["id"].to_pylist(), t["score"].to_pylist()))
+    assert got == [(i, int(j) * 10, s[i, j]) for i in range(20) for j in np.flatnonzero((s[i] >= sorted_[i, -4]) & np.isfinite(s[i]))]
+    assert sum(sizes) < s.size / 50
